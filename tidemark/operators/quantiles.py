@@ -1,0 +1,84 @@
+"""Percentiles of very large numeric columns, from mergeable signed logarithmic buckets.
+
+A sketch is an ordinary table: one row per group and bucket with its count. Sketches of parts
+or days are combined by adding the counts of equal buckets, and any percentile is read from the
+running count. A bucket's values differ by at most the factor (1+e)/(1-e), so the value returned
+is within e of the true one, relative to it.
+"""
+
+from __future__ import annotations
+
+import math
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from tidemark.functions.cols import require, round_sig
+
+#: The buckets are this much narrower than the promise, so rounding in the logarithm can't break it.
+SLACK = 0.999
+
+
+def log_width(error: float) -> float:
+    """Natural logarithm of the ratio of a bucket's bounds."""
+    if not 0 < error < 1:
+        raise ValueError("error must be between 0 and 1")
+    e = error * SLACK
+    return math.log((1 + e) / (1 - e))
+
+
+def bucket(col: Column, error: float) -> Column:
+    """Signed bucket as a struct of sign (-1, 0, 1) and index; infinities have one bucket each at the far ends."""
+    mag = F.abs(col)
+    big = F.lit(float("inf"))
+    idx = F.when(mag == big, F.lit(2**31 - 1)).when(mag == 0, F.lit(0)).otherwise(F.ceil(F.log(mag) / F.lit(log_width(error))).cast("int"))
+    return F.struct(F.signum(col).cast("int").alias("sgn"), idx.cast("int").alias("idx"))
+
+
+def sketch(df: DataFrame, by: list[str], value: str, error: float = 0.01) -> DataFrame:
+    """Count the values of each group in signed logarithmic buckets.
+
+    Returns the group columns, `sgn`, `idx`, `n`, `lo` and `hi` (smallest and greatest value in the bucket).
+    Null and NaN are left out; zeros of both signs share a bucket; infinities have their own. Null group
+    values form a group. The counts are combined on the map side, so a hot group costs its number of
+    buckets, not of rows. An empty table gives an empty sketch.
+    """
+    require(df, *by, value)
+    val = F.col(value).cast("double")
+    keep = df.select(*by, val.alias("_v")).where(F.col("_v").isNotNull() & ~F.isnan("_v"))
+    # adding 0.0 turns -0.0 into 0.0
+    return (
+        keep.withColumn("_v", F.col("_v") + F.lit(0.0)).withColumn("_b", bucket(F.col("_v"), error))
+        .groupBy(*by, F.col("_b.sgn").alias("sgn"), F.col("_b.idx").alias("idx"))
+        .agg(F.count(F.lit(1)).alias("n"), F.min("_v").alias("lo"), F.max("_v").alias("hi"))
+    )
+
+
+def merge_sketches(parts: DataFrame, by: list[str]) -> DataFrame:
+    """Add up sketches (of the same error) to the coarser groups `by`; the order of merging doesn't matter."""
+    return parts.groupBy(*by, "sgn", "idx").agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+
+
+def percentiles(sk: DataFrame, by: list[str], ps: list[float], error: float = 0.01) -> DataFrame:
+    """Read percentiles from a sketch: one row per group and `p`.
+
+    `estimate` is within `error`, relatively, of the value of rank floor(p*(n-1)) of the sorted values
+    (rank 0 is the smallest). `n_values` is the number of values of the group.
+    A group's window holds its buckets only.
+    """
+    if any(not 0 <= p <= 1 for p in ps):
+        raise ValueError("percentiles are between 0 and 1")
+    width = log_width(error)
+    order = [F.col("sgn") * F.col("idx").cast("bigint") + F.col("sgn").cast("bigint") * F.lit(2**33)]
+    run = Window.partitionBy(*by).orderBy(*order)
+    cum = sk.withColumn("_c", F.sum("n").over(run.rowsBetween(Window.unboundedPreceding, 0))).withColumn(
+        "_n", F.sum("n").over(Window.partitionBy(*by))
+    )
+    rank = F.floor(F.col("p") * (F.col("_n") - 1)).cast("bigint")
+    mid = F.col("sgn") * F.exp((F.col("idx") - 1) * F.lit(width)) * F.lit(2 * math.exp(width) / (math.exp(width) + 1))
+    # never outside the values that were really there
+    est = F.when(F.col("sgn") == 0, F.lit(0.0)).otherwise(F.greatest(F.col("lo"), F.least(F.col("hi"), mid)))
+    hit = cum.withColumn("p", F.explode(F.array(*[F.lit(float(p)) for p in ps]))).where(
+        (rank >= F.col("_c") - F.col("n")) & (rank < F.col("_c"))
+    )
+    return hit.select(*by, "p", F.col("_n").alias("n_values"), round_sig(est, 9).alias("estimate"))
