@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.operators import quantiles, regrid, snapshots
+from tidemark.operators import outliers, quantiles, regrid, snapshots
 from tidemark.sources.tables import table
 
 PERCENTS = [0.0, 0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99, 1.0]
@@ -132,6 +132,19 @@ FROM q WHERE floor(p * (t - 1)) >= c - n AND floor(p * (t - 1)) < c
 """
 
 
+# -- p5: implausible spikes, stuck and impossible values
+
+def p5_found(spark: SparkSession, base: str) -> DataFrame:
+    found = outliers.implausible(table(spark, base, "bars"))
+    return found.select("broker", "symbol", F.unix_millis("time").alias("time_ms"))
+
+
+def p5_by_source(spark: SparkSession, base: str) -> DataFrame:
+    """Number of affected bars of each series, by kind."""
+    found = outliers.implausible(table(spark, base, "bars"))
+    return found.groupBy("broker", "symbol").agg(*[F.count_if(k).alias(f"n_{k}") for k in ("impossible", "spike", "stuck")])
+
+
 _FILLS = "SELECT symbol, side, substr(exit_ts, 1, 10) AS exit_day, pnl FROM (SELECT DISTINCT * FROM fills)"
 _RUNS = "SELECT DISTINCT * FROM run_metrics"
 
@@ -140,6 +153,7 @@ QUERIES = {
     "p3_found": p3_found, "p3_grid": p3_grid,
     "p4_pnl_by_exit_day": p4_pnl_by_exit_day, "p4_pnl_by_symbol": p4_pnl_by_symbol, "p4_pnl_by_side": p4_pnl_by_side,
     "p4_equity_by_symbol": p4_equity_by_symbol, "p4_equity_by_timeframe": p4_equity_by_timeframe,
+    "p5_found": p5_found, "p5_by_source": p5_by_source,
 }
 
 SQL = {
