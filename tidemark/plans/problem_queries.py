@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.operators import outliers, quantiles, regrid, snapshots
+from tidemark.operators import drift, outliers, quantiles, regrid, snapshots
 from tidemark.sources.tables import table
 
 PERCENTS = [0.0, 0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99, 1.0]
@@ -46,6 +46,40 @@ x AS (
 """
 
 
+# -- p2: schemas that drift between files
+
+TRACKED = {"bars_csv": ["tick_volume", "real_volume"], "metrics_json": ["git_commit", "n_trades"]}
+TARGETS = {"bars_csv": drift.BARS_TARGET, "metrics_json": drift.METRICS_TARGET}
+
+
+def p2_changes(spark: SparkSession, base: str) -> DataFrame:
+    schemas = drift.file_schemas(drift.parse_lines(table(spark, base, "raw_records")))
+    return drift.schema_changes(drift.match_files(schemas, TARGETS), TRACKED)
+
+
+def p2_found(spark: SparkSession, base: str) -> DataFrame:
+    return p2_changes(spark, base).select("stream_id", "file_name", "field", "change_kind")
+
+
+def _p2_table(spark: SparkSession, base: str, kind: str, columns: dict[str, str]) -> DataFrame:
+    parsed = drift.parse_lines(table(spark, base, "raw_records"))
+    return drift.unify(parsed, drift.match_files(drift.file_schemas(parsed), TARGETS), kind, columns)
+
+
+def p2_bars(spark: SparkSession, base: str) -> DataFrame:
+    """All bar files as one table."""
+    prices = dict.fromkeys(("open", "high", "low", "close"), "double")
+    return _p2_table(spark, base, "bars_csv", {"time": "timestamp", **prices, "tick_volume": "bigint", "spread": "bigint", "real_volume": "bigint"})
+
+
+def p2_metrics(spark: SparkSession, base: str) -> DataFrame:
+    """All metrics files as one table."""
+    return _p2_table(spark, base, "metrics_json", {
+        "run_id": "string", "symbol": "string", "timeframe": "string", "n_bars": "bigint", "starting_capital": "double",
+        "ending_equity": "double", "win_rate": "double", "max_drawdown_pct": "double", "n_trades": "bigint", "git_commit": "string", "git_dirty": "boolean",
+    })
+
+
 # -- p3: irregular readings onto a regular grid
 
 def p3_grid(spark: SparkSession, base: str) -> DataFrame:
@@ -150,6 +184,7 @@ _RUNS = "SELECT DISTINCT * FROM run_metrics"
 
 QUERIES = {
     "p1_found": p1_found, "p1_summary": p1_summary,
+    "p2_found": p2_found, "p2_bars": p2_bars, "p2_metrics": p2_metrics,
     "p3_found": p3_found, "p3_grid": p3_grid,
     "p4_pnl_by_exit_day": p4_pnl_by_exit_day, "p4_pnl_by_symbol": p4_pnl_by_symbol, "p4_pnl_by_side": p4_pnl_by_side,
     "p4_equity_by_symbol": p4_equity_by_symbol, "p4_equity_by_timeframe": p4_equity_by_timeframe,
