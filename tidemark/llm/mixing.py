@@ -18,6 +18,16 @@ from pyspark.sql import functions as F
 EPS = 1e-9
 
 
+def _trade(x, w, i, j, rng) -> None:
+    """One trade of mass in every pair i[k], j[k], in place."""
+    xi, xj, r = x[i], x[j], w[j] / w[i]
+    up, down = np.minimum(1 - xi, xj * r), np.minimum(xi, (1 - xj) * r)
+    rise = rng.random(len(i)) * (up + down) < down  # up with probability down/(up+down)
+    step = np.where(rise, up, -down)
+    for k, v in ((i, xi + step), (j, xj - step / r)):
+        x[k] = np.where(v < EPS, 0.0, np.where(v > 1 - EPS, 1.0, v))
+
+
 def round_dependently(x: np.ndarray, w: np.ndarray, rng: np.random.Generator) -> np.ndarray:
     """Round the fractions `x` to 0 or 1 with sum(w*x) kept, all but at most one.
 
@@ -27,21 +37,25 @@ def round_dependently(x: np.ndarray, w: np.ndarray, rng: np.random.Generator) ->
     x, w = np.clip(np.asarray(x, float).copy(), 0.0, 1.0), np.asarray(w, float)
     x[x < EPS], x[x > 1 - EPS] = 0.0, 1.0
     octave = np.floor(np.log2(w)).astype(int)
-    live = np.zeros(0, int)
-    # Heavy records first, their last one among ones half as heavy, and so on: what stays fractional in the end is light.
+    hub = -1
+    # Heavy records first. What an octave leaves trades with the lighter records one by one until it is whole, so what stays fractional
+    # in the end is light, or a heavy record that all of the lighter ones couldn't settle.
     for o in np.unique(octave)[::-1]:
-        here = np.flatnonzero((octave == o) & (x > 0) & (x < 1))
-        live = np.concatenate((live, here))
+        live = np.flatnonzero((octave == o) & (x > 0) & (x < 1))
+        at = 0
+        while hub >= 0 and at < len(live):
+            _trade(x, w, np.array([hub]), live[at:at + 1], rng)
+            hub = next((k for k in (hub, live[at]) if 0 < x[k] < 1), -1)
+            at += 1
+            if hub == live[at - 1]:
+                at, hub = at - 1, -1  # the heavy one is whole, the light one goes on with its own octave
+        live = live[at:]
         while len(live) > 1:
             n = len(live) // 2 * 2
-            i, j = live[0:n:2], live[1:n:2]
-            xi, xj, r = x[i], x[j], w[j] / w[i]
-            up, down = np.minimum(1 - xi, xj * r), np.minimum(xi, (1 - xj) * r)
-            rise = rng.random(len(i)) * (up + down) < down  # up with probability down/(up+down)
-            step = np.where(rise, up, -down)
-            x[i], x[j] = xi + step, xj - step / r
-            x[x < EPS], x[x > 1 - EPS] = 0.0, 1.0
+            _trade(x, w, live[0:n:2], live[1:n:2], rng)
             live = live[(x[live] > 0) & (x[live] < 1)]
+        if len(live):
+            hub = live[0]
     return x
 
 
