@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import mixing, packing, tokens
+from tidemark.llm import mixing, packing, tokens, truncation
 from tidemark.sources.tables import table
 
 
@@ -42,6 +42,25 @@ def p7_shares(spark: SparkSession, base: str) -> DataFrame:
     return _mix(spark, base)[1]
 
 
-QUERIES = {"p6_placements": p6_placements, "p6_report": p6_report, "p7_copies": p7_copies, "p7_shares": p7_shares}
+# -- p8: texts cut off
+
+def _cut(spark: SparkSession, base: str) -> tuple[DataFrame, DataFrame]:
+    return truncation.truncated(table(spark, base, "documents"))
+
+
+def p8_found(spark: SparkSession, base: str) -> DataFrame:
+    return _cut(spark, base)[0].where("p_cut > 0.5").select("doc_id")
+
+
+def p8_by_source(spark: SparkSession, base: str) -> DataFrame:
+    return truncation.truncation_report(_cut(spark, base)[0])
+
+
+def p8_limits(spark: SparkSession, base: str) -> DataFrame:
+    return _cut(spark, base)[1]
+
+
+QUERIES = {"p6_placements": p6_placements, "p6_report": p6_report, "p7_copies": p7_copies, "p7_shares": p7_shares,
+           "p8_found": p8_found, "p8_by_source": p8_by_source, "p8_limits": p8_limits}
 #: Packing and rounding have no SQL; they are tested against brute force and for what they keep.
 SQL: dict[str, str] = {}
