@@ -29,4 +29,4 @@ def require(df: DataFrame, *names: str) -> None:
 
 def round_sig(col: Column, digits: int = 7) -> Column:
     """Round to significant digits; the same text format exists in other engines."""
-    return F.format_string(f"%.{digits - 1}e", col).cast("double")
+    return F.when(col.isNotNull(), F.format_string(f"%.{digits - 1}e", col).cast("double"))

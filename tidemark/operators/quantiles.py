@@ -81,4 +81,4 @@ def percentiles(sk: DataFrame, by: list[str], ps: list[float], error: float = 0.
     hit = cum.withColumn("p", F.explode(F.array(*[F.lit(float(p)) for p in ps]))).where(
         (rank >= F.col("_c") - F.col("n")) & (rank < F.col("_c"))
     )
-    return hit.select(*by, "p", F.col("_n").alias("n_values"), round_sig(est, 9).alias("estimate"))
+    return hit.select(*by, "p", F.col("_n").alias("n_values"), round_sig(est, 12).alias("estimate"))

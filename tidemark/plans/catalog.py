@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.plans import problem_queries
+from tidemark.plans import bar_queries, problem_queries
 
-QUERIES = {**problem_queries.QUERIES}
-SQL = {**problem_queries.SQL}
+QUERIES = {**bar_queries.QUERIES, **problem_queries.QUERIES}
+SQL = {**bar_queries.SQL, **problem_queries.SQL}
 
 
 def flagship(spark: SparkSession, base: str) -> DataFrame:
-    return QUERIES["p1_found"](spark, base)
+    return QUERIES["metrics"](spark, base)

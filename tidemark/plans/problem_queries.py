@@ -84,7 +84,7 @@ def p2_metrics(spark: SparkSession, base: str) -> DataFrame:
 
 def p3_grid(spark: SparkSession, base: str) -> DataFrame:
     grid = regrid.regrid(table(spark, base, "bars"))
-    return grid.select("broker", "symbol", "slot_epoch", F.round("value", 6).alias("value"), "status", "n_readings")
+    return grid.select("broker", "symbol", "slot_epoch", F.round("value", 8).alias("value"), "status", "n_readings")
 
 
 def p3_found(spark: SparkSession, base: str) -> DataFrame:
@@ -104,7 +104,7 @@ WITH r AS (
   FROM s WINDOW w AS (PARTITION BY broker, symbol ORDER BY slot)
 ), g AS (SELECT *, unnest(range(slot, coalesce(ns, slot + 1))) AS k FROM e)
 SELECT broker, symbol, k * 300 AS slot_epoch,
-  round(CASE WHEN k = slot THEN lv WHEN nt - lt <= 3600000000 THEN lv + (nv - lv) * ((k * 300000000 - lt) / (nt - lt)::DOUBLE) END, 6) AS value,
+  round(CASE WHEN k = slot THEN lv WHEN nt - lt <= 3600000000 THEN lv + (nv - lv) * ((k * 300000000 - lt) / (nt - lt)::DOUBLE) END, 8) AS value,
   CASE WHEN k = slot THEN 'observed' WHEN nt - lt <= 3600000000 THEN 'filled' ELSE 'missing' END AS status,
   CASE WHEN k = slot THEN n ELSE 0 END AS n_readings
 FROM g
@@ -160,7 +160,7 @@ b AS (
 ), c AS (
   SELECT *, sum(n) OVER (PARTITION BY {by} ORDER BY lo ROWS UNBOUNDED PRECEDING) AS c, sum(n) OVER (PARTITION BY {by}) AS t FROM b
 ), q AS (SELECT *, unnest([{ps}]) AS p FROM c)
-SELECT {by}, p, CAST(t AS BIGINT) AS n_values, CAST(printf('%.8e', CASE WHEN sgn = 0 THEN 0.0
+SELECT {by}, p, CAST(t AS BIGINT) AS n_values, CAST(printf('%.11e', CASE WHEN sgn = 0 THEN 0.0
     WHEN isinf(lo) THEN lo ELSE greatest(lo, least(hi, sgn * exp((idx - 1) * {width!r}::DOUBLE) * {scale!r}::DOUBLE)) END) AS DOUBLE) AS estimate
 FROM q WHERE floor(p * (t - 1)) >= c - n AND floor(p * (t - 1)) < c
 """
