@@ -1,0 +1,85 @@
+import datetime as dt
+import itertools
+import json
+
+import pytest
+
+from tidemark.functions import matching
+from tidemark.operators import drift
+
+SCHEMA = "stream_id string, kind string, file_name string, file_date date, line_no int, line_text string, landed_utc timestamp, field string, name int"
+TARGETS = {"bars_csv": drift.BARS_TARGET, "metrics_json": drift.METRICS_TARGET}
+TRACKED = {"bars_csv": ["tick_volume", "real_volume"], "metrics_json": ["git_commit", "n_trades"]}
+
+
+def lines(stream, kind, day, texts):
+    return [(stream, kind, f"{stream}/{day}", dt.date(2024, 1, day), i + 1, t, None, "clash", 1) for i, t in enumerate(texts)]
+
+
+def changes(spark, rows):
+    raw = spark.createDataFrame(rows, SCHEMA)
+    matched = drift.match_files(drift.file_schemas(drift.parse_lines(raw)), TARGETS)
+    return {(r["file_name"], r["field"], r["change_kind"]) for r in drift.schema_changes(matched, TRACKED).collect()}
+
+
+BASE = "time,open,high,low,close,spread"
+
+
+def test_bars(spark):
+    rows = lines("s", "bars_csv", 1, [f"{BASE},tick_volume", "t,1,1,1,1,1,5", ""])
+    rows += lines("s", "bars_csv", 2, ["﻿" + ";".join(f'"{c}"' for c in [*BASE.split(","), "TickVol", "vwap"]), 't;1;1;1;1;1;"7";3'])
+    rows += lines("s", "bars_csv", 3, [f"{BASE}, real_volume, TickVol", 't,1,1,1,1,1,"1,200",NULL'])
+    rows += lines("s", "bars_csv", 4, [f"{BASE}\treal_volume\tTickVol".replace(",", "\t"), "t,1,1,1,1,1,9,4.5".replace(",", "\t")])
+    rows += rows[:2]  # landed twice
+    assert changes(spark, rows) == {
+        ("s/2", "tick_volume", "renamed"), ("s/3", "real_volume", "added"), ("s/4", "real_volume", "type_changed"), ("s/4", "tick_volume", "type_changed"),
+    }
+
+
+def test_metrics(spark):
+    one = lambda **kw: json.dumps({"run_id": "x", "git_dirty": False, "flags": [], **kw})
+    rows = lines("m", "metrics_json", 1, [one(git_commit="ab"), one(git_commit=None, n_trades=3)])
+    rows += lines("m", "metrics_json", 2, [one(vcs={"revision": "cd"}, n_trades=None)])
+    rows += lines("m", "metrics_json", 3, [one(vcs={"revision": ["cd"]}, stats={"n_trades": 4.0}), "not json", "[1]"])
+    rows += lines("m", "metrics_json", 4, [one(stats={"n_trades": "nan"})])
+    rows += lines("m", "metrics_json", 5, [one(stats={"n_trades": "5"}, git_commit="ff")])
+    assert changes(spark, rows) == {
+        ("m/2", "git_commit", "renamed"), ("m/3", "git_commit", "type_changed"), ("m/3", "n_trades", "renamed"), ("m/3", "n_trades", "type_changed"),
+        ("m/4", "git_commit", "removed"), ("m/5", "git_commit", "added"), ("m/5", "git_commit", "type_changed"), ("m/5", "n_trades", "type_changed"),
+    }
+
+
+def test_one_table(spark):
+    rows = lines("s", "bars_csv", 1, [f"{BASE},tick_volume", "2024-01-01 00:00:00+00:00,1,2,0.5,1,3,~78"])
+    rows += lines("s", "bars_csv", 2, [f"real vol,{BASE}", '"1,107",2024-01-02 00:00:00+00:00,1,2,0.5,1,3', "0.2k,,1,2,0.5,1,3", "NA,x,1,2,0.5,oops,3", "short"])
+    raw = spark.createDataFrame(rows, SCHEMA)
+    parsed = drift.parse_lines(raw)
+    out = drift.unify(parsed, drift.match_files(drift.file_schemas(parsed), TARGETS), "bars_csv", {"time": "timestamp", "close": "double", "tick_volume": "bigint", "real_volume": "bigint"})
+    got = {(r["file_name"], r["line_no"]): (r["close"], r["tick_volume"], r["real_volume"]) for r in out.collect()}
+    assert got == {("s/1", 2): (1.0, 78, None), ("s/2", 2): (1.0, None, 1107), ("s/2", 3): (1.0, None, 200), ("s/2", 4): (None, None, None), ("s/2", 5): (None, None, None)}
+
+
+def test_empty_null_and_unknown(spark):
+    assert changes(spark, []) == set()
+    rows = lines("s", "bars_csv", 1, [None]) + lines("s", "bars_csv", 2, ["", "1"]) + lines("s", "other", 3, ["{}"]) + lines("s", "metrics_json", 4, [None, "", "{}"])
+    assert changes(spark, rows) == set()
+
+
+@pytest.mark.parametrize("text,kind", [("1", 0), ("-1", 0), ("+07", 0), ("1.", 1), ("1e5", 1), (".5", 1), ("1,000", 2), ("3 lots", 2), ("", None), (" NaN ", None), ("null", None), ("#3", 2)])
+def test_kind_of_text(text, kind):
+    assert matching.text_kind(text) == kind
+
+
+def test_flooding_finds_spellings_and_leaves_absent_fields_out():
+    rest = {"run_id": 2, "symbol": 2, "n_bars": 0, "win_rate": 1, "git_dirty": 2, "flags": 3}
+    trades = [None, "n_trades", "trades", "tradeCount", "stats.n_trades", "NUM_TRADES", "trades.count"]
+    commits = [None, "git_commit", "gitSha", "commit", "vcs.revision", "build.git_commit"]
+    for a, b, kind in itertools.product(trades, commits, (0, 2, None)):
+        found = matching.correspond({**rest, **{n: kind for n in (a, b) if n}}, drift.METRICS_TARGET)
+        assert (found.get("n_trades"), found.get("git_commit")) == (a, b)
+    assert matching.correspond({}, drift.BARS_TARGET) == {}
+
+
+def test_flooding_converges_to_scores_up_to_one():
+    scores = matching.flood({"open": 1, "hi": 1, "vol": 0}, drift.BARS_TARGET)
+    assert max(scores.values()) <= 1 and scores["open", "open"] == max(scores.values())

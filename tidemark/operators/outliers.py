@@ -20,17 +20,24 @@ HALO = 48  # readings of the neighbouring blocks; also the longest limit for a r
 FIELDS = ("high", "low", "close", "spread")
 
 
-def block_seconds(df: DataFrame, source: tuple[str, ...], time: str, rows: int = 50_000) -> int:
-    """Length of a block in which no source is expected to have more than `rows` readings.
+def with_blocks(rows: DataFrame, keys: list[str], us: str, size: int = 50_000, few: int = 10_000) -> DataFrame:
+    """Add `_block`: a number of stretches of time in which no source is expected to have more than `size` readings.
 
-    Taken from the source and hour with most readings; the count is combined before it is shuffled and one number comes
-    to the driver.
+    The stretch is the source's own, from its hour with most readings (counted before anything is shuffled), at most 180 days. The table of
+    stretches has a row per source; it is broadcast only if it was seen to have at most `few` rows, and joined like any table otherwise.
     """
-    hour = F.floor(F.unix_seconds(F.col(time).cast("timestamp")) / 3600)
-    most = (
-        df.where(F.col(time).isNotNull()).groupBy(*source, hour.alias("_hour")).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n")).first()[0]
-    )
-    return int(min(180 * 86_400, max(1, 3600 * rows // max(1, most or 1))))
+    hour = F.floor(F.col(us) / F.lit(3_600_000_000)).cast("bigint")
+    per_hour = rows.groupBy(*keys, hour.alias("_hour")).agg(F.count(F.lit(1)).alias("_n"))
+    span = F.least(F.lit(180 * 86_400_000_000), F.greatest(F.lit(1_000_000), F.floor(F.lit(3_600_000_000) * F.lit(size) / F.max("_n")))).cast("bigint")
+    spans = per_hour.groupBy(*keys).agg(span.alias("_span")).select(*[F.col(k).alias(f"{k}p") for k in keys], "_span")
+    seen = spans.take(few + 1)
+    if len(seen) <= few:
+        spans = F.broadcast(rows.sparkSession.createDataFrame(seen, spans.schema))
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"{k}p"))
+    block = F.floor(F.col(us) / F.col("_span")).cast("bigint")
+    return rows.join(spans, same).withColumn("_block", block).drop("_span", *[f"{k}p" for k in keys])
 
 
 def implausible(
@@ -53,7 +60,7 @@ def implausible(
     * `spike`: a Hampel filter. The logarithm of a price is further from the rolling median of `2*half_window+1` readings than
       `price_limit` times the source's median nonzero change from reading to reading, and than `local_limit` times the rolling
       median absolute deviation; a spread further than `spread_limit` times the greatest of its source's median, its
-      deviation and the rolling one. The former level must be back after at most `longest_spike` readings.
+      deviation and the rolling one. A source whose price never changes from reading to reading has no price spikes. The former level must be back after at most `longest_spike` readings.
     * `stuck`: high, low and close repeat the previous reading's in a run longer than the source's rate of
       repeats can explain (see `robust.repeat_limit`); the first reading of the run is none.
 
@@ -63,8 +70,6 @@ def implausible(
     empty table gives an empty result.
     """
     require(df, *source, time, *FIELDS)
-    if block_s is None:
-        block_s = block_seconds(df, source, time)
     keys = [f"_s{i}" for i in range(len(source))]
     at = [*keys, "_block"]
     us = F.unix_micros(F.col(time).cast("timestamp"))
@@ -72,7 +77,8 @@ def implausible(
     rows = df.where(F.col(time).isNotNull()).select(
         *[F.col(s).alias(k) for s, k in zip(source, keys)], us.alias("_t"), ver.alias("_ver"),
         *[no_nan(F.col(c).cast("double")).alias(c) for c in FIELDS],
-    ).withColumn("_block", F.floor(F.col("_t") / F.lit(block_s * 1_000_000)).cast("bigint"))
+    )
+    rows = with_blocks(rows, keys, "_t") if block_s is None else rows.withColumn("_block", F.floor(F.col("_t") / F.lit(block_s * 1_000_000)).cast("bigint"))
     newest = Window.partitionBy(*at).orderBy("_t", F.desc_nulls_last("_ver"), *[F.desc_nulls_last(c) for c in FIELDS])
     core = (
         rows.repartition(*at).withColumn("_before", F.lag("_t").over(newest))
@@ -157,7 +163,7 @@ def _judge(left, other, keys, half, price_limit, spread_limit, local_limit, long
         for x in prices:
             y = np.log(np.where((x > 0) & (x < max_price), x, np.nan))
             dev, mad = robust.hampel(y, half)
-            limit = np.maximum(price_limit * max(move, 1e-12), local_limit * robust.MAD_TO_SIGMA * mad)
+            limit = np.maximum(price_limit * move if move > 0 else np.inf, local_limit * robust.MAD_TO_SIGMA * mad)
             score, spike = _merge(y, dev, limit, longest, score, spike)
         y = np.where(spread >= 0, spread, np.nan)
         dev, mad = robust.hampel(y, half)
