@@ -104,7 +104,8 @@ def simulate_numpy(spark: SparkSession, scenarios: list[Scenario], n_trades: int
 def histogram(values: DataFrame, column: str, by: list[str], bins: int = 80) -> DataFrame:
     """Counts in equal bins between each group's smallest and greatest value; the last bin is closed."""
     span = values.groupBy(*by).agg(F.min(column).alias("_lo"), F.max(column).alias("_hi"))
-    where = F.least(F.floor((F.col(column) - F.col("_lo")) / F.nullif(F.col("_hi") - F.col("_lo"), F.lit(0.0)) * bins).cast("int") + 1, F.lit(bins))
-    return values.join(span, by).groupBy(*by, F.coalesce(where, F.lit(1)).alias("bin"), "_lo", "_hi").agg(F.count(F.lit(1)).alias("n")).select(
+    place = F.floor((F.col(column) - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * bins).cast("int") + 1
+    where = F.when(F.col("_hi") > F.col("_lo"), F.least(place, F.lit(bins))).otherwise(F.lit(1))
+    return values.join(span, by).groupBy(*by, where.alias("bin"), "_lo", "_hi").agg(F.count(F.lit(1)).alias("n")).select(
         *by, "bin", (F.col("_lo") + (F.col("bin") - 1) * (F.col("_hi") - F.col("_lo")) / bins).alias("from_value"), "n"
     )

@@ -18,7 +18,7 @@ from tidemark.schema import BAR_COLUMNS, RAW_BARS, coalesce_volume
 
 def data_files(directory: str, suffix: str = ".csv") -> list[Path]:
     """The directory's files in order of their names; files in folders below it don't count."""
-    return sorted(p for p in Path(directory).iterdir() if p.is_file() and p.suffix == suffix)
+    return sorted(p for p in Path(directory).resolve().iterdir() if p.is_file() and p.suffix == suffix)
 
 
 def read_snapshot(spark: SparkSession, directory: str, arrival: bool = True) -> DataFrame:
@@ -78,7 +78,7 @@ def write_yearly(bars: DataFrame, directory: str, symbol: str, timeframe: str =
     Spark writes each year by a task of its own into a folder beside the target, from which the files are renamed. Years without new bars stay untouched.
     Returns the names of the files written. No bars write nothing.
     """
-    spark, base = bars.sparkSession, Path(directory)
+    spark, base = bars.sparkSession, Path(directory).resolve()
     new = bars.select(*[c for c in BAR_COLUMNS if c in bars.columns]).where(F.col("time").isNotNull())
     years = sorted(r[0] for r in _by_year(new).select("_year").distinct().collect())
     old = [str(p) for y in years if (p := base / f"{symbol}_{timeframe}_{y}.csv").exists()]
