@@ -114,9 +114,22 @@ _PRICE = re.compile(r"[.,]\s+\d+\s?/\s?\d+$")
 _SIGNED = re.compile(r"^[—–-]\s?[A-Z0-9]\.(?:\s?[A-Z]\.)*\s?\w+$")
 
 
+# Initials and a name; "M." stands for a title in French prose.
+_INITIALS = re.compile(r"^(?!M\.)[A-Z]\.\s(?:[A-Z]\.\s)*\w{3,}$")
+
+
+def ornament(text: str) -> bool:
+    """Ends with a line of its own of at least three strokes, stars or spaced points."""
+    last = text.rstrip().rsplit("\n", 1)[-1].strip(" |·•°¦`´'")
+    strokes = sum(c in "*—–-._=~#" for c in last)
+    return "\n" in text.rstrip() and strokes >= 3 and not any(c.isalnum() for c in last) and last not in ("...", "....")
+
+
 def announced(text: str) -> bool:
-    """Ends with a line that is plainly none of running prose: an ornament, a price after leaders, a signature after a dash, or at most four words
+    """Ends with a line that is plainly none of running prose: an ornament, a price after leaders, a signature after a dash or, below a finished sentence, with initials, or at most four words
     of which one announces a pointer, an imprint or an advert (the name of a place may follow after a comma or hyphen)."""
+    if ornament(text[-2000:]):
+        return True
     t, omitted = bare(text[-2000:])
     lines = [x.strip() for x in t.rsplit("\n", 2)]
     last, prev = lines[-1], lines[-2] if len(lines) > 1 else ""
@@ -124,7 +137,7 @@ def announced(text: str) -> bool:
         return not omitted and bool(text.strip())
     if omitted:
         return False
-    if _PRICE.search(last) or _SIGNED.match(last):
+    if _PRICE.search(last) or _SIGNED.match(last) or _INITIALS.match(last) and _STOP.search(prev):
         return True
     words = last.split()
     plain = lambda line: any("~" not in k for k in _cues(line))

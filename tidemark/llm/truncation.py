@@ -158,7 +158,7 @@ def truncated(
     """
     named = docs.select(
         F.col(id).alias("_id"), F.col(source).alias("_source"), F.col(text).alias("text"), F.xxhash64(F.col(id), F.length(text)).alias("_hash")
-    ).where(F.trim("text") != "")
+    ).where(F.col("text").rlike(r"[^\s\u00a0]"))
     train = _training_rows(named, sample, cuts)
     rows = [np.asarray(f, np.int64) for f in train["f"]]
     cut, half = (train["k"].to_numpy() > 0).astype(int), (train["h"].to_numpy() & 1).astype(int)
