@@ -68,7 +68,7 @@ def test_likelihood_curve_rises():
     assert endings.likelihood_curve(whole[:3], cut[:3])[2] == 0.05
 
 
-WORDS = "the council of a small town was asked to repair its old bridge near harbour before winter and Mr Smith has said that cost would be high for many people who live there".split()
+WORDS = "the council of a small town was asked to repair its old bridge near harbour before winter and Smith has said that cost would be high for many people who live there".split()
 
 
 def text_of(rng, n):
