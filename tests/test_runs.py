@@ -100,6 +100,7 @@ def test_histogram(spark):
 def test_command_line(spark, project, monkeypatch, capsys):
     root, config = project
     monkeypatch.chdir(root)
+    monkeypatch.setattr("tidemark.sources.feed.time.sleep", lambda s: None)
     assert main(["backtest", "--config", save(root, "c.yaml", config)]) == 0 and "runs" in capsys.readouterr().out
     assert main(["experiments", save(root, "c.yaml", config), "nix"]) == 0 and "1 of 2" in capsys.readouterr().out
     assert main(["loader", "--client", "tests.test_sources:Empty", "--symbol", "X", "--start", "2024-01-01", "--end", "2024-01-02", "--root", str(root / "d")]) == 0
