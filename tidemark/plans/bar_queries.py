@@ -258,14 +258,27 @@ def metrics(spark, base):
     return _six(found, "ending_equity", "total_pnl", "win_rate", "average_win", "average_loss", "max_drawdown_pct")
 
 
-_FLAT = "strategy"
-_SIGNAL_CTE = f"""b AS MATERIALIZED ({_NUMBERED}),
-avgs AS (SELECT *, round({_sql_sma(FAST, 'close', 'symbol')}, {DIGITS}) AS f, round({_sql_sma(SLOW, 'close', 'symbol')}, {DIGITS}) AS g FROM b),
-sig AS MATERIALIZED (SELECT *, CASE WHEN i < {SLOW} OR f IS NULL OR g IS NULL THEN 0.0::DOUBLE WHEN f > g THEN 1.0::DOUBLE WHEN f < g THEN -1.0::DOUBLE ELSE 0.0::DOUBLE END AS direction,
-  CASE WHEN i < {SLOW} OR f IS NULL OR g IS NULL THEN '{strategy.WARMUP}' WHEN f > g THEN 'cross_above' WHEN f < g THEN 'cross_below' ELSE 'equal' END AS reason FROM avgs)"""
+def _signal_cte(bars, fast, slow):
+    return f"""b AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY time) - 1 AS i FROM ({bars})),
+avgs AS (SELECT *, round({_sql_sma(fast, 'close', 'symbol')}, {DIGITS}) AS f, round({_sql_sma(slow, 'close', 'symbol')}, {DIGITS}) AS g FROM b),
+sig AS MATERIALIZED (SELECT *, CASE WHEN i < {slow} OR f IS NULL OR g IS NULL THEN 0.0::DOUBLE WHEN f > g THEN 1.0::DOUBLE WHEN f < g THEN -1.0::DOUBLE ELSE 0.0::DOUBLE END AS direction,
+  CASE WHEN i < {slow} OR f IS NULL OR g IS NULL THEN '{strategy.WARMUP}' WHEN f > g THEN 'cross_above' WHEN f < g THEN 'cross_below' ELSE 'equal' END AS reason FROM avgs)"""
 
 
-def _exec_cte(name, source, direction):
+_SIGNAL_CTE = _signal_cte(_HOURLY, FAST, SLOW)
+
+
+def market_backtest(spark, base):
+    """The crossover of 10 and 30 bars on every series of the bars table, with a global limit: metrics by series."""
+    made, specs = strategy.build_strategy({"type": "ma_crossover", "fast_period": 10, "slow_period": 30, "digits": DIGITS})
+    bars = market(spark, base).withColumn("symbol", F.concat_ws("/", "broker", "symbol")).drop("broker")
+    risk = backtest.RiskConfig(LIMIT)
+    signals = strategy.with_signal(FeaturePipeline(specs, HOURLY.keys).transform(bars), made, HOURLY)
+    found = backtest.metrics(backtest.run(signals, HOURLY, 100_000.0, 1.0, risk), HOURLY, 100_000.0, risk)
+    return found.select("symbol", "n_bars", "n_trades", F.round("total_pnl", 4).alias("total_pnl"), F.round("ending_equity", 4).alias("ending_equity"), "risk_halted")
+
+
+def _exec_cte(name, source, direction, capital=CAPITAL):
     w = "(PARTITION BY symbol ORDER BY time)"
     return f"""{name}1 AS (SELECT *, coalesce(lag({direction}) OVER {w}, 0.0::DOUBLE) AS position FROM {source}),
 {name}2 AS (SELECT *, coalesce(lag(position) OVER {w}, 0.0::DOUBLE) AS prev FROM {name}1),
@@ -275,16 +288,23 @@ def _exec_cte(name, source, direction):
 {name}5 AS (SELECT *, CASE WHEN position <> prev AND prev <> 0 THEN (open - was) * prev END AS pnl FROM {name}4),
 {name}6 AS (SELECT *, coalesce(sum(pnl) OVER (PARTITION BY symbol ORDER BY time ROWS UNBOUNDED PRECEDING), 0.0::DOUBLE) AS realized_pnl,
   CASE WHEN position <> 0 THEN (close - entry) * position ELSE 0.0::DOUBLE END AS unrealized_pnl FROM {name}5),
-{name}7 AS (SELECT *, {CAPITAL}::DOUBLE + realized_pnl + unrealized_pnl AS equity FROM {name}6),
-{name}8 AS (SELECT *, greatest({CAPITAL}::DOUBLE, max(equity) OVER (PARTITION BY symbol ORDER BY time ROWS UNBOUNDED PRECEDING)) AS peak_equity FROM {name}7),
+{name}7 AS (SELECT *, {capital}::DOUBLE + realized_pnl + unrealized_pnl AS equity FROM {name}6),
+{name}8 AS (SELECT *, greatest({capital}::DOUBLE, max(equity) OVER (PARTITION BY symbol ORDER BY time ROWS UNBOUNDED PRECEDING)) AS peak_equity FROM {name}7),
 {name} AS MATERIALIZED (SELECT *, CASE WHEN peak_equity <= 0 THEN 0.0 ELSE greatest((peak_equity - equity) / peak_equity * 100, 0.0) END AS drawdown_pct FROM {name}8)"""
 
 
 _RUN = f"WITH {_SIGNAL_CTE}, {_exec_cte('x', 'sig', 'direction')}"
-_HALT = f"""{_RUN}, h AS (SELECT *, max(drawdown_pct >= {LIMIT}) OVER (PARTITION BY symbol ORDER BY time ROWS UNBOUNDED PRECEDING) AS halted FROM x),
+
+
+def _halt_sql(signals, capital):
+    return f"""WITH {signals}, {_exec_cte('x', 'sig', 'direction', capital)},
+h AS (SELECT *, max(drawdown_pct >= {LIMIT}) OVER (PARTITION BY symbol ORDER BY time ROWS UNBOUNDED PRECEDING) AS halted FROM x),
 h2 AS (SELECT symbol, time, i, open, close, halted, CASE WHEN halted THEN 0.0::DOUBLE ELSE direction END AS allowed,
   CASE WHEN halted AND NOT coalesce(lag(halted) OVER (PARTITION BY symbol ORDER BY time), FALSE) THEN printf('Global DD %.2f%% >= limit {LIMIT:.2f}%%', drawdown_pct) ELSE '' END AS risk_reason FROM h),
-{_exec_cte('y', 'h2', 'allowed')}"""
+{_exec_cte('y', 'h2', 'allowed', capital)}"""
+
+
+_HALT = _halt_sql(_SIGNAL_CTE, CAPITAL)
 
 _PAUSE = f"""WITH RECURSIVE {_SIGNAL_CTE},
 p AS (
@@ -330,7 +350,7 @@ _VALUES = ", ".join(f"('{s.name}', {s.p_win}::DOUBLE, {s.avg_win}::DOUBLE, {s.av
 
 QUERIES = {f.__name__: f for f in (
     bars_hourly, market_bars, validate_counts, dedupe_first_wins, yearly_split_counts, snapshot_meta, sma, ema, diff, lag, rescale, zscore, feature_pipeline,
-    true_range_dm, adx, signal_ma, signal_adx, positions, trades, equity_curve, drawdown, global_halt, period_pause, metrics, expectancy_analytic, expectancy_sim, expectancy_numpy,
+    true_range_dm, adx, signal_ma, signal_adx, positions, trades, equity_curve, drawdown, global_halt, period_pause, metrics, market_backtest, expectancy_analytic, expectancy_sim, expectancy_numpy,
 )}
 
 SQL = {
@@ -367,6 +387,8 @@ SQL = {
       count(pnl) AS n_trades, round(coalesce(sum(pnl), 0), 6) AS total_pnl, round(coalesce(avg(CASE WHEN pnl > 0 THEN 1.0 WHEN pnl IS NOT NULL THEN 0.0 END), 0), 6) AS win_rate,
       round(coalesce(avg(pnl) FILTER (pnl > 0), 0), 6) AS average_win, round(coalesce(avg(pnl) FILTER (pnl < 0), 0), 6) AS average_loss, round(max(drawdown_pct), 6) AS max_drawdown_pct,
       max(halted) AS risk_halted, min(time) FILTER (halted) AS risk_halted_at FROM y GROUP BY symbol""",
+    "market_backtest": _halt_sql(_signal_cte(f"SELECT * EXCLUDE (broker) REPLACE (broker || '/' || symbol AS symbol) FROM ({_MARKET})", 10, 30), 100_000.0)
+    + " SELECT symbol, count(*) AS n_bars, count(pnl) AS n_trades, round(coalesce(sum(pnl), 0), 4) AS total_pnl, round(arg_max(equity, time), 4) AS ending_equity, max(halted) AS risk_halted FROM y GROUP BY symbol",
     "expectancy_analytic": f"""SELECT name, round(p * w - (1 - p) * l - c, 6) AS expectancy_per_trade, round(p * (w - (p * w - (1 - p) * l)) ** 2 + (1 - p) * (-l - (p * w - (1 - p) * l)) ** 2, 6) AS variance_per_trade
       FROM (VALUES {_VALUES}) AS t(name, p, w, l, c)""",
 }
