@@ -106,22 +106,25 @@ def json_entries(line: str | None) -> list[tuple[str, int | None, str | None]]:
     return out
 
 
-def parse_lines(raw: DataFrame) -> DataFrame:
+def parse_lines(raw: DataFrame, once: bool = True) -> DataFrame:
     """One row per line: the file's columns, `line_no` and `entries` (name, kind, value).
 
     Lines of kind `bars_csv` take their names from the file's line 1, which stays in with the names and no values, so that a field
-    without values is known too. A line delivered twice counts once. Lines of other kinds, null lines and lines that can't be
-    read have no entries.
+    without values is known too. With `once`, a line delivered twice counts once, which costs a shuffle of the lines; schemas don't need it, as
+    repeated lines don't change them. Lines of other kinds, null lines and lines that can't be read have no entries.
     """
     require(raw, *FILE, "kind", "file_date", "line_no", "line_text")
-    lines = raw.groupBy(*FILE, "kind", "line_no").agg(F.min("file_date").alias("file_date"), F.max("line_text").alias("line_text"))
+    lines = raw.select(*FILE, "kind", "file_date", "line_no", "line_text")
+    if once:
+        lines = lines.groupBy(*FILE, "kind", "line_no").agg(F.min("file_date").alias("file_date"), F.max("line_text").alias("line_text"))
+    is_csv = F.coalesce(F.col("kind") == "bars_csv", F.lit(False))
     heads = (
-        raw.where((F.col("kind") == "bars_csv") & (F.col("line_no") == 1)).groupBy(*FILE).agg(F.max("line_text").alias("header"))
+        raw.where(is_csv & (F.col("line_no") == 1)).groupBy(*FILE).agg(F.max("line_text").alias("header"))
         .select(F.col("stream_id").alias("_hs"), F.col("file_name").alias("_hf"), "header")
     )
-    joined = lines.join(
-        heads, (F.col("kind") == "bars_csv") & (F.col("stream_id") == F.col("_hs")) & (F.col("file_name") == F.col("_hf")), "left"
-    ).drop("_hs", "_hf")
+    # only lines that need a header meet the headers
+    with_head = lines.where(is_csv).join(heads, (F.col("stream_id") == F.col("_hs")) & (F.col("file_name") == F.col("_hf")), "left").drop("_hs", "_hf")
+    joined = with_head.unionByName(lines.where(~is_csv).withColumn("header", F.lit(None).cast("string")))
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:

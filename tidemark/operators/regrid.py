@@ -1,8 +1,8 @@
 """Irregular readings onto a regular grid.
 
 Readings are first reduced to one row per source and slot, combined before they are
-shuffled, so a source is never larger than its number of slots. Slots are then joined as-of to
-their neighbours within blocks of time, the edges of the blocks through a much smaller table of block
+shuffled, so a source is never larger than its number of slots. Slots then meet their neighbours as of
+their time within blocks, the edges of the blocks in a much smaller table of block
 ends; one hot source is thereby spread over as many tasks as it has blocks.
 """
 
@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.cols import require
 
+_EDGE = ("_slot", "_n", "_lt", "_lv", "_ns", "_nt", "_nv")
 RUN = 4096  # slots generated per row of the first of two expansions
 
 
@@ -58,23 +59,19 @@ def regrid(
         F.col("_first._t").alias("_ft"), (-F.col("_first._nv")).alias("_fv"),
         F.floor(F.col("_slot") / F.lit(block_slots)).cast("bigint").alias("_block"),
     )
-    nxt = F.struct(F.col("_slot").alias("slot"), F.col("_ft").alias("t"), F.col("_fv").alias("v"))
+    # Within a block a slot's right neighbour is the next row. The last slot of a block meets the first one of the source's next block in a
+    # table of one row per block, so the slots themselves are never joined. Single columns, not structs: both sides then need the same
+    # ones and share the exchange of the slots.
     inside = Window.partitionBy(*keys, "_block").orderBy("_slot")
-    linked = slots.withColumn("_next", F.lead(nxt).over(inside)).withColumn("_head", F.row_number().over(inside) == 1)
-    # The last slot of a block takes its right neighbour from the first of the source's next block.
-    heads = linked.where("_head").select(*keys, "_block", nxt.alias("_h"))
-    across = heads.select(
-        *[F.col(k).alias(f"{k}b") for k in keys], F.col("_block").alias("_bb"),
-        F.lead("_h").over(Window.partitionBy(*keys).orderBy("_block")).alias("_after"),
-    )
-    same = F.col("_block") == F.col("_bb")
-    for k in keys:
-        same = same & F.col(k).eqNullSafe(F.col(f"{k}b"))
-    nb = F.coalesce("_next", "_after")
-    edge = linked.join(across, same, "left").select(
-        *keys, "_slot", "_n", "_lt", "_lv", nb["slot"].alias("_ns"), nb["t"].alias("_nt"), nb["v"].alias("_nv")
-    )
-    return _expand(edge, source, keys, step_s, max_gap_s)
+    follow = {"_ns": F.lead("_slot").over(inside), "_nt": F.lead("_ft").over(inside), "_nv": F.lead("_fv").over(inside)}
+    within = slots.withColumns(follow).where(F.col("_ns").isNotNull()).select(*keys, *_EDGE)
+    ends = slots.groupBy(*keys, "_block").agg(
+        F.min("_slot").alias("_hs"), F.min_by("_ft", "_slot").alias("_ht"), F.min_by("_fv", "_slot").alias("_hv"), F.max("_slot").alias("_s"),
+        *[F.max_by(c, "_slot").alias(c) for c in ("_n", "_lt", "_lv")],
+    ).withColumnRenamed("_s", "_slot")
+    blocks = Window.partitionBy(*keys).orderBy("_block")
+    across = ends.withColumns({n: F.lead(h).over(blocks) for n, h in (("_ns", "_hs"), ("_nt", "_ht"), ("_nv", "_hv"))}).select(*keys, *_EDGE)
+    return _expand(within.unionByName(across), source, keys, step_s, max_gap_s)
 
 
 def _expand(edge: DataFrame, source, keys, step_s: int, max_gap_s: int) -> DataFrame:
