@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.functions.cols import round_sig
 from tidemark.operators import drift, outliers, quantiles, regrid, snapshots
 from tidemark.sources.tables import table
 
@@ -85,7 +84,7 @@ def p2_metrics(spark: SparkSession, base: str) -> DataFrame:
 
 def p3_grid(spark: SparkSession, base: str) -> DataFrame:
     grid = regrid.regrid(table(spark, base, "bars"))
-    return grid.select("broker", "symbol", "slot_epoch", round_sig(F.col("value"), 12).alias("value"), "status", "n_readings")
+    return grid.select("broker", "symbol", "slot_epoch", "value", "status", "n_readings")
 
 
 def p3_found(spark: SparkSession, base: str) -> DataFrame:
@@ -105,8 +104,7 @@ WITH r AS (
   FROM s WINDOW w AS (PARTITION BY broker, symbol ORDER BY slot)
 ), g AS (SELECT *, unnest(range(slot, coalesce(ns, slot + 1))) AS k FROM e)
 SELECT broker, symbol, k * 300 AS slot_epoch,
-  CASE WHEN k = slot THEN CAST(printf('%.11e', lv) AS DOUBLE)
-    WHEN nt - lt <= 3600000000 THEN CAST(printf('%.11e', lv + (nv - lv) * ((k * 300000000 - lt) / (nt - lt)::DOUBLE)) AS DOUBLE) END AS value,
+  CASE WHEN k = slot THEN lv WHEN nt - lt <= 3600000000 THEN lv + (nv - lv) * ((k * 300000000 - lt) / (nt - lt)::DOUBLE) END AS value,
   CASE WHEN k = slot THEN 'observed' WHEN nt - lt <= 3600000000 THEN 'filled' ELSE 'missing' END AS status,
   CASE WHEN k = slot THEN n ELSE 0 END AS n_readings
 FROM g
