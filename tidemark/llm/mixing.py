@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.tokens import cut_lineage
+
 EPS = 1e-9
 
 
@@ -145,6 +147,8 @@ def mix(
     for level in range(levels):
         settle = _settler(seed, level, level == levels - 1)
         settled = rows.groupBy("mix_id", "_source", "_shard").applyInPandas(settle, schema)
+        if level < levels - 1:  # both what is ready and what goes on come from it
+            settled = cut_lineage(settled)
         open_ = (F.col("_x") > 0) & (F.col("_x") < 1)
         ready = settled.where(~open_)
         done = ready if done is None else done.unionByName(ready)

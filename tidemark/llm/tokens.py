@@ -40,7 +40,8 @@ def with_token_counts(df: DataFrame, text: str = "text", name: str = "n_tokens",
 
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write `df` to the folder of spark.checkpoint.dir and go on from there; a folder is set only where there is none."""
-    sc = df.sparkSession.sparkContext
-    if not df.sparkSession.conf.get("spark.checkpoint.dir", None) and not sc.getCheckpointDir():
-        sc.setCheckpointDir(os.path.join(tempfile.gettempdir(), "tidemark-checkpoints"))
+    spark = df.sparkSession
+    sc = spark.sparkContext
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "tidemark-checkpoints"))
     return df.checkpoint()
