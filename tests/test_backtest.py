@@ -150,3 +150,15 @@ def test_registry():
         strategy.build_strategy({"type": "x"})
     strategy.register("mine", lambda **kw: (kw, []))
     assert strategy.build_strategy({"type": "mine", "a": 1}) == ({"a": 1}, [])
+
+
+@pytest.mark.parametrize("risk", [RiskConfig(), RiskConfig(5.0), RiskConfig(5.0, 3.0)])
+def test_clashing_columns_are_replaced(spark, risk):
+    clean = curve(spark, path(RAMP), risk=risk)
+    sig = signals(spark, path(RAMP)).withColumns({"position": F.lit("x"), "equity": F.lit(1), "halted": F.lit("y"), "note": F.lit("kept")})
+    dirty = backtest.run(sig, FRAME, 100.0, 1.0, risk)
+    columns = ["time", "position", "equity", "halted", "drawdown_pct"]
+    assert sorted(map(tuple, dirty.select(columns).collect())) == sorted(map(tuple, clean.select(columns).collect()))
+    assert dirty.columns.count("position") == 1 and dirty.where("note = 'kept'").count() == 40
+    again = strategy.with_signal(sig, strategy.Crossover("sma_2_close", "sma_5_close", 5), FRAME)
+    assert again.columns.count("direction") == 1 and again.where("direction != 0").count() > 0

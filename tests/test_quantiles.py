@@ -46,6 +46,8 @@ def test_empty_and_bad_arguments(spark):
         log_width(1.5)
     with pytest.raises(ValueError):
         percentiles(df, ["grp"], [1.5])
+    with pytest.raises(ValueError, match="named like those of a sketch: n"):
+        sketch(df.withColumnRenamed("grp", "n"), ["n"], "v")
     with pytest.raises(ValueError, match="Missing columns: nix"):
         sketch(df, ["grp"], "nix")
 

@@ -40,7 +40,8 @@ def execute(bars: DataFrame, frame: Frame, capital: float, size: float = 1.0, di
 
     `position` is held during the bar, `entry_price`/`entry_time` are of the open position or the one closed at this bar's open, `fill_pnl` is of a
     trade closed here (else null), and `equity`, `unrealized_pnl`, `realized_pnl` are after the close. The direction on a series' last bar is never
-    filled, and a position open at the end stays open.
+    filled, and a position open at the end stays open. Columns of the added names are replaced; other extra columns stay. Null directions are flat; bars with
+    null prices give null equity.
     """
     w, run = frame.ordered, frame.so_far
     flat = F.lit(0.0)
@@ -151,6 +152,7 @@ def run_with_pauses(bars: DataFrame, frame: Frame, capital: float, size: float,
     A period's base is the equity at the close before it; reaching the limit flattens until the period ends (UTC days and months). Each series is one task's
     work: the recurrence runs over all of its bars.
     """
+    bars = bars.drop(*_ADDED, "peak_equity", "drawdown_pct", "max_drawdown_pct", "halted", "risk_reason", "flatten", "daily_halts", "monthly_halts")
     kinds = {f.name: f.dataType.simpleString() for f in bars.schema.fields}
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:

@@ -17,6 +17,7 @@ from tidemark.functions.cols import require, round_sig
 
 #: The buckets are this much narrower than the promise, so rounding in the logarithm can't break it.
 SLACK = 0.999
+_COLUMNS = ("sgn", "idx", "n", "lo", "hi", "_v", "_b", "_c", "_n")
 
 
 def log_width(error: float) -> float:
@@ -41,9 +42,13 @@ def sketch(df: DataFrame, by: list[str], value: str, error: float = 0.01) -> Dat
     Returns the group columns, `sgn`, `idx`, `n`, `lo` and `hi` (smallest and greatest value in the bucket).
     Null and NaN are left out; zeros of both signs share a bucket; infinities have their own. Null group
     values form a group. The counts are combined on the map side, so a hot group costs its number of
-    buckets, not of rows. An empty table gives an empty sketch.
+    buckets, not of rows. An empty table gives an empty sketch. Extra columns are
+    ignored; group columns may not be named like the sketch's own.
     """
     require(df, *by, value)
+    taken = {*_COLUMNS, "p", "n_values", "estimate"} & set(by)
+    if taken:
+        raise ValueError(f"Group columns named like those of a sketch: {', '.join(sorted(taken))}")
     val = F.col(value).cast("double")
     keep = df.select(*by, val.alias("_v")).where(F.col("_v").isNotNull() & ~F.isnan("_v"))
     # adding 0.0 turns -0.0 into 0.0

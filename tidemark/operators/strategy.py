@@ -47,10 +47,10 @@ class Crossover:
 
 
 def with_signal(bars: DataFrame, strategy, frame: Frame) -> DataFrame:
-    """Add `direction`, `strength` and `reason` to bars that have the strategy's features."""
-    index = F.row_number().over(frame.ordered) - 1
-    staged = bars.withColumn("_index", index)
-    return staged.withColumn("_signal", strategy.signal(bars.columns, F.col("_index"))).select(*bars.columns, "_signal.*")
+    """Add `direction`, `strength` and `reason` to bars that have the strategy's features; columns of these names are replaced."""
+    kept = [c for c in bars.columns if c not in ("direction", "strength", "reason")]
+    staged = bars.withColumn("_index", F.row_number().over(frame.ordered) - 1)
+    return staged.withColumn("_signal", strategy.signal(bars.columns, F.col("_index"))).select(*kept, "_signal.*")
 
 
 _BUILDERS: dict[str, Callable] = {}
