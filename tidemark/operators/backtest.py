@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators.features import Frame
+from tidemark.session import ship
 
 
 @dataclass(frozen=True)
@@ -152,6 +153,7 @@ def run_with_pauses(bars: DataFrame, frame: Frame, capital: float, size: float,
     A period's base is the equity at the close before it; reaching the limit flattens until the period ends (UTC days and months). Each series is one task's
     work: the recurrence runs over all of its bars.
     """
+    ship(bars.sparkSession)
     bars = bars.drop(*_ADDED, "peak_equity", "drawdown_pct", "max_drawdown_pct", "halted", "risk_reason", "flatten", "daily_halts", "monthly_halts")
     kinds = {f.name: f.dataType.simpleString() for f in bars.schema.fields}
 

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import matching
 from tidemark.functions.cols import require
+from tidemark.session import ship
 
 # Fields and kinds of the two file formats (fixed values; indices of matching.KINDS).
 BARS_TARGET = {"time": 2, "open": 1, "high": 1, "low": 1, "close": 1, "tick_volume": 0, "spread": 0, "real_volume": 0}
@@ -114,6 +115,7 @@ def parse_lines(raw: DataFrame, once: bool = True) -> DataFrame:
     repeated lines don't change them. Lines of other kinds, null lines and lines that can't be read have no entries.
     """
     require(raw, *FILE, "kind", "file_date", "line_no", "line_text")
+    ship(raw.sparkSession)
     lines = raw.select(*FILE, "kind", "file_date", "line_no", "line_text")
     if once:
         lines = lines.groupBy(*FILE, "kind", "line_no").agg(F.min("file_date").alias("file_date"), F.max("line_text").alias("line_text"))
@@ -160,6 +162,7 @@ def _match(fields: tuple, target: tuple) -> list[dict]:
 def match_files(schemas: DataFrame, targets: dict[str, dict[str, int]]) -> DataFrame:
     """Adds `matches`: target field, how the file spells it, and its kind. Schemas that are alike are matched once per task."""
 
+    ship(schemas.sparkSession)
     known = {k: tuple(t.items()) for k, t in targets.items()}
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

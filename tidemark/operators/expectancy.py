@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidemark.session import ship
+
 
 @dataclass(frozen=True)
 class Scenario:
@@ -81,6 +83,7 @@ def simulate(scenarios: DataFrame, n_trades: int, n_sims: int, capital: float, s
 
 def simulate_numpy(spark: SparkSession, scenarios: list[Scenario], n_trades: int, n_sims: int, capital: float, seed: int = 42) -> DataFrame:
     """The same figures with numpy's generator, one task per scenario and seed `seed` plus the scenario's number: for results that must equal a run outside Spark."""
+    ship(spark)
     table = scenario_table(spark, scenarios).repartition(max(1, len(scenarios)), "scenario")
 
     def run(batches):

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from tidemark.schema import require_ohlcv
+from tidemark.session import ship
 
 EXACT = "decimal(30,12)"
 
@@ -358,6 +359,7 @@ def fold_features(bars: DataFrame, recurrences: list[Recurrence], frame: Frame)
     todo = list({r.name: r for r in recurrences}.values())
     if not todo:
         return bars
+    ship(bars.sparkSession)
     outputs = [n for r in todo for n in (getattr(r, "outputs", None) or [r.name])]
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import robust
 from tidemark.functions.cols import no_nan, require
 from tidemark.operators import quantiles
+from tidemark.session import ship
 
 HALO = 48  # readings of the neighbouring blocks; also the longest limit for a run of repeats
 FIELDS = ("high", "low", "close", "spread")
@@ -70,6 +71,7 @@ def implausible(
     empty table gives an empty result.
     """
     require(df, *source, time, *FIELDS)
+    ship(df.sparkSession)
     keys = [f"_s{i}" for i in range(len(source))]
     at = [*keys, "_block"]
     us = F.unix_micros(F.col(time).cast("timestamp"))

@@ -1,9 +1,15 @@
-"""A Spark session with the settings the operators expect."""
+"""A Spark session with the settings the operators expect, and the package on its executors."""
 
 from __future__ import annotations
 
+import tempfile
+import zipfile
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
+_shipped: set[str] = set()
+
 
 def session(name: str = "tidemark", **conf: str) -> SparkSession:
     """Times are UTC and plans adapt at run time; everything else is the cluster's own configuration."""
@@ -11,3 +17,20 @@ def session(name: str = "tidemark", **conf: str) -> SparkSession:
     for k, v in conf.items():
         builder = builder.config(k, v)
     return builder.getOrCreate()
+
+
+def ship(spark: SparkSession) -> None:
+    """Give the executors' Python workers this package, once per application.
+
+    Operators with Python functions call it, so nothing needs to be installed on the executors. The archive is made on the driver and
+    served by Spark like any file added to a job.
+    """
+    sc, root = spark.sparkContext, Path(__file__).resolve().parent
+    if sc.applicationId in _shipped or not root.is_dir():
+        return
+    path = Path(tempfile.mkdtemp(prefix="tidemark-")) / "tidemark.zip"
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for p in sorted(root.rglob("*.py")):
+            z.write(p, p.relative_to(root.parent))
+    sc.addPyFile(str(path))
+    _shipped.add(sc.applicationId)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tidemark.operators import quantiles
+from tidemark.session import ship
 
 _OUT = "symbol string, time timestamp, close double, fast double, slow double, direction double, n bigint"
 _STATE = "last bigint, n bigint, fast double, slow double"
@@ -21,6 +22,7 @@ def live_crossover(bars: DataFrame, fast: int, slow: int) -> DataFrame:
     The state of a series is its last time and both averages, so it doesn't grow. Bars of a batch are taken in order of time; a bar that isn't later
     than the last one of its series is dropped, as the averages can't be taken back, and so are bars without time or close. The direction is 0 for the first `slow` bars.
     """
+    ship(bars.sparkSession)
     a, b = 2.0 / (fast + 1), 2.0 / (slow + 1)
 
     def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
