@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.tokens import cut_lineage
+from tidemark.session import ship
 
 EPS = 1e-9
 
@@ -114,6 +115,7 @@ def mix(
     mix in proportion. `targets` is a small table of settings: it is read to the driver. `docs` is read several times, so it should be cut from its
     lineage if it is dear to compute. Empty tables give empty results.
     """
+    ship(docs.sparkSession)
     slim = docs.select(
         F.col(source).alias("_source"), F.col(id).alias("_id"), F.greatest(F.coalesce(F.col(size), F.lit(0)), F.lit(0)).cast("bigint").alias("_w")
     )

@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.session import ship
+
 
 class BestFit:
     """Online best-fit with at most `n_open` open containers.
@@ -105,6 +107,7 @@ def pack(
     the same id, null ids included, are packed as items of their own. Every shard holds about `shard_items` items and leaves at most a few
     containers unfilled. Extra columns are ignored; an empty table gives an empty result.
     """
+    ship(items.sparkSession)
     small = items.select(F.col(id).alias("_id"), F.coalesce(F.col(size), F.lit(0)).cast("bigint").alias("_size"))
     shards = max(1, -(-items.count() // shard_items))
     # Round-robin after Spark's own sort, then a fixed order: a lost shard is packed again in the same way.

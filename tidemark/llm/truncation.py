@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import endings
 from tidemark.llm.tokens import cut_lineage
+from tidemark.session import ship
 
 NO_SOURCE = "\0none"
 WINDOW = 12  # lengths below a limit at which texts cut back to a word's end still pile up
@@ -156,6 +157,7 @@ def truncated(
     with the same id are separate texts. Null, empty and blank texts aren't in the result; very long texts are read whole for their lengths,
     while an ending is judged by its last lines. Extra columns are ignored. Empty tables give empty results.
     """
+    ship(docs.sparkSession)
     named = docs.select(
         F.col(id).alias("_id"), F.col(source).alias("_source"), F.col(text).alias("text"), F.xxhash64(F.col(id), F.length(text)).alias("_hash")
     ).where(F.col("text").rlike(r"[^\s\u00a0]"))
