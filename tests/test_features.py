@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators.features import ADX, EMA, SMA, Diff, FeaturePipeline, FeatureSpec, Frame, Indicator, Lag, Recurrence, Rescale, Transform, ZScore, directional_moves, true_range
+from tidemark.operators.features import ADX, EMA, SMA, Diff, FeaturePipeline, FeatureSpec, Frame, Indicator, Lag, Recurrence, Rescale, Transform, ZScore, directional_moves, has_long_series, true_range
 from tidemark.schema import coalesce_volume, missing_as_null
 
 START = dt.datetime(2024, 1, 1)
@@ -152,3 +152,32 @@ def test_volume_and_nan(spark):
     assert coalesce_volume(df).first()["volume"] == 2 and coalesce_volume(df.drop("tick_volume")).first()["volume"] == 3
     assert "volume" not in coalesce_volume(df.select("close")).columns
     assert missing_as_null(spark.createDataFrame([(float("nan"), "a")], "x double, y string")).first()["x"] is None
+
+
+def test_split_series_give_the_same(spark):
+    rng = np.random.default_rng(5)
+    df, base = None, int(START.replace(tzinfo=dt.UTC).timestamp() * 1e6)
+    for sym, n, gap in (("a", 900, 1), ("b", 40, 30), (None, 3, 1)):
+        part = bars(spark, np.round(100 + rng.normal(size=n).cumsum(), 4).tolist(), symbol=sym)
+        part = part.withColumn("time", F.timestamp_micros((F.unix_micros("time") - base) * gap + base))
+        df = part if df is None else df.unionByName(part)
+    pipe = FeaturePipeline([FeatureSpec(SMA(7), (Diff(2),)), FeatureSpec(EMA(4)), FeatureSpec(ADX(3)), FeatureSpec(SMA(3, "volume"))])
+    order = lambda d: d.orderBy("symbol", "time").toPandas()
+    whole = order(pipe.transform(df))
+    pd.testing.assert_frame_equal(order(pipe.transform_split(df)), whole, rtol=1e-12)
+    small = pipe.transform_split(df, block_rows=1)  # as short as memory allows
+    pd.testing.assert_frame_equal(order(small), whole, rtol=1e-12)
+    assert pipe.transform_split(df.limit(0)).count() == 0
+    assert has_long_series(df, ("symbol",), 899) and not has_long_series(df, ("symbol",), 900) and not has_long_series(df.limit(0), ("symbol",))
+
+
+def test_halo_reaches_over_short_blocks(spark):
+    from tidemark.functions.blocks import halo
+
+    rows = [("s", b, i) for i, b in enumerate([0, 0, 0, 1, 2, 2, 5, 5, 5, 5, 9])] + [(None, 0, 1), (None, 1, 2)]
+    core = spark.createDataFrame(rows, "k string, _block bigint, t int")
+    got = {(r["k"], r["_block"], r["t"]) for r in halo(core, ["k"], "t", 3).collect()}
+    want = {(k, b, t) for k in ("s", None) for b in {r[1] for r in rows if r[0] == k} for t in sorted(r[2] for r in rows if r[0] == k and r[1] < b)[-3:]}
+    assert got == want
+    got = {(r["k"], r["_block"], r["t"]) for r in halo(core, ["k"], "t", 3, after=True).collect()}
+    assert got == {(k, b, t) for k in ("s", None) for b in {r[1] for r in rows if r[0] == k} for t in sorted(r[2] for r in rows if r[0] == k and r[1] > b)[:3]}

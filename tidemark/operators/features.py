@@ -7,6 +7,7 @@ Recurrences (EMA, ADX) run together in one ordered pass per series.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass, field
 from typing import Protocol, runtime_checkable
 
@@ -15,10 +16,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from tidemark.functions.blocks import halo, with_blocks
 from tidemark.schema import require_ohlcv
 from tidemark.session import ship
 
 EXACT = "decimal(30,12)"
+FADED = 40.0  # a weight of exp(-40) is below the last digit of a double
 
 
 @dataclass(frozen=True)
@@ -63,6 +66,7 @@ class Recurrence(Protocol):
     name: str
     lookback: int
     sources: tuple[str, ...]
+    memory: int  # rows after which earlier ones no longer show in a double
 
     def fold(self, rows: pd.DataFrame) -> dict[str, np.ndarray]: ...
 
@@ -124,6 +128,10 @@ class EMA:
     def sources(self) -> tuple[str, ...]:
         return (self.source,)
 
+    @property
+    def memory(self) -> int:
+        return self.period + math.ceil(FADED / -math.log1p(-min(0.999, 2.0 / (self.period + 1))))
+
     def fold(self, rows: pd.DataFrame) -> dict[str, np.ndarray]:
         x = rows[self.source].astype(float)
         return {self.name: x.ewm(span=self.period, min_periods=self.period, adjust=False).mean().to_numpy()}
@@ -165,6 +173,10 @@ class ADX:
     def sources(self) -> tuple[str, ...]:
         return ("high", "low", "close")
 
+    @property
+    def memory(self) -> int:
+        return 2 * self.period + 2 * math.ceil(FADED / -math.log1p(-min(0.999, 1.0 / self.period)))
+
     def fold(self, rows: pd.DataFrame) -> dict[str, np.ndarray]:
         p, n = self.period, len(rows)
         out = np.full(n, np.nan)
@@ -315,6 +327,22 @@ class FeaturePipeline:
         many = getattr(spec.base, "outputs", None)
         return [m + "".join(t.name for t in spec.transforms) for m in many] if many and len(many) > 1 else [spec.name]
 
+    def transform_split(self, bars: DataFrame, block_rows: int = 50_000) -> DataFrame:
+        """Like `transform`, with every series cut into blocks of about `block_rows` bars, for series too long for one task.
+
+        A block sees as many bars before it as its features look back; averages with endless memory get as many as still show in a double, so
+        they equal those of the whole series but for the last digits. An ADX that went null for good is null from there on within its
+        block and its memory only.
+        """
+        memory = max([self.max_lookback, *(s.base.memory + s.lookback for s in self.specs if isinstance(s.base, Recurrence))])
+        keys, time = list(self.frame.keys), self.frame.time
+        us = F.unix_micros(F.to_timestamp(time))
+        core = with_blocks(bars.withColumn("_us", us), keys, "_us", max(block_rows, 10 * memory)).drop("_us")
+        before = halo(core, keys, time, memory) if memory else core.limit(0)
+        both = core.withColumn("_mine", F.lit(True)).unionByName(before.withColumn("_mine", F.lit(False)))
+        inner = FeaturePipeline(self.specs, (*keys, "_block"), time)
+        return inner.transform(both).where("_mine").drop("_mine", "_block")
+
     def transform(self, bars: DataFrame) -> DataFrame:
         require_ohlcv(bars)
         for s in self.specs:
@@ -347,14 +375,21 @@ class FeaturePipeline:
             out = out.withColumns({temp[n]: t[depth].apply(F.col(temp[n]), self.frame) for _, n, t in pending if depth < len(t)})
         return out.select(*bars.columns, *[F.col(temp[n]).alias(n) for n in names])
 
-    def features(self, bars: DataFrame) -> DataFrame:
-        return self.transform(bars).select(*self.frame.keys, self.frame.time, *self.names())
+    def features(self, bars: DataFrame, split: bool = False) -> DataFrame:
+        done = self.transform_split(bars) if split else self.transform(bars)
+        return done.select(*self.frame.keys, self.frame.time, *self.names())
+
+
+def has_long_series(bars: DataFrame, keys: tuple[str, ...], rows: int = 2_000_000) -> bool:
+    """Whether some series has more rows than a task should hold; counted before it is shuffled, one number comes back."""
+    most = bars.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n")).first()[0]
+    return (most or 0) > rows
 
 
 def fold_features(bars: DataFrame, recurrences: list[Recurrence], frame: Frame) -> DataFrame:
     """Add the columns of recurrences, all in one pass over each series.
 
-    A series (one source's bars) goes through one task; at five-minute bars a century is ten million rows of a few numbers.
+    A group goes through one task: a whole series in `transform` (at five-minute bars a century is ten million rows), a block in `transform_split`.
     """
     todo = list({r.name: r for r in recurrences}.values())
     if not todo:

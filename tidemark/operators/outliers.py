@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import robust
+from tidemark.functions.blocks import halo, same_keys, with_blocks
 from tidemark.functions.cols import no_nan, require
 from tidemark.operators import quantiles
 from tidemark.session import ship
@@ -21,26 +22,6 @@ HALO = 48  # readings of the neighbouring blocks; also the longest limit for a r
 FIELDS = ("high", "low", "close", "spread")
 
 
-def with_blocks(rows: DataFrame, keys: list[str], us: str, size: int = 50_000, few: int = 10_000) -> DataFrame:
-    """Add `_block`: a number of stretches of time in which no source is expected to have more than `size` readings.
-
-    The stretch is the source's own, from its hour with most readings (counted before anything is shuffled), at most 180 days. The table of
-    stretches has a row per source; it is broadcast only if it was seen to have at most `few` rows, and joined like any table otherwise.
-    """
-    hour = F.floor(F.col(us) / F.lit(3_600_000_000)).cast("bigint")
-    per_hour = rows.groupBy(*keys, hour.alias("_hour")).agg(F.count(F.lit(1)).alias("_n"))
-    span = F.least(F.lit(180 * 86_400_000_000), F.greatest(F.lit(1_000_000), F.floor(F.lit(3_600_000_000) * F.lit(size) / F.max("_n")))).cast("bigint")
-    spans = per_hour.groupBy(*keys).agg(span.alias("_span")).select(*[F.col(k).alias(f"{k}p") for k in keys], "_span")
-    seen = spans.take(few + 1)
-    if len(seen) <= few:
-        spans = F.broadcast(rows.sparkSession.createDataFrame(seen, spans.schema))
-    same = F.lit(True)
-    for k in keys:
-        same = same & F.col(k).eqNullSafe(F.col(f"{k}p"))
-    block = F.floor(F.col(us) / F.col("_span")).cast("bigint")
-    return rows.join(spans, same).withColumn("_block", block).drop("_span", *[f"{k}p" for k in keys])
-
-
 def implausible(
     df: DataFrame,
     source: tuple[str, ...] = ("broker", "symbol"),
@@ -86,7 +67,8 @@ def implausible(
         rows.repartition(*at).withColumn("_before", F.lag("_t").over(newest))
         .where(F.col("_before").isNull() | (F.col("_before") != F.col("_t"))).drop("_before", "_ver")
     )
-    right = _neighbours(core, keys).unionByName(_normal(core, keys, max_price), allowMissingColumns=True)
+    beside = halo(core, keys, "_t", HALO).unionByName(halo(core, keys, "_t", HALO, after=True))
+    right = beside.unionByName(_normal(core, keys, max_price), allowMissingColumns=True)
     right = right.select(*[F.col(c).alias(c) for c in right.columns])  # other attributes than those of `core`
 
     def judge(left: pa.Table, other: pa.Table) -> pa.Table:
@@ -99,17 +81,6 @@ def implausible(
                         "impossible", "spike", "stuck", "score")
 
 
-def _neighbours(core: DataFrame, keys: list[str]) -> DataFrame:
-    """The last readings before each block and the first after it, under that block's number."""
-    at, out = [*keys, "_block"], []
-    for order, near in ((F.desc("_t"), (1, HALO)), (F.asc("_t"), (-HALO, -1))):
-        edge = core.withColumn("_r", F.row_number().over(Window.partitionBy(*at).orderBy(order))).where(F.col("_r") <= HALO).drop("_r")
-        span = Window.partitionBy(*keys).orderBy("_t").rowsBetween(*near)
-        goes = edge.withColumn("_to", F.collect_set("_block").over(span)).withColumn("_to", F.explode("_to"))
-        out.append(goes.where(F.col("_to") != F.col("_block")).withColumn("_block", F.col("_to")).drop("_to"))
-    return out[0].unionByName(out[1])
-
-
 def _normal(core: DataFrame, keys: list[str], max_price: float) -> DataFrame:
     """What is normal for a source, as one row for each of its blocks."""
     at = [*keys, "_block"]
@@ -135,10 +106,7 @@ def _normal(core: DataFrame, keys: list[str], max_price: float) -> DataFrame:
     )
     blocks = core.groupBy(*at).agg(F.min("_t").alias("_t"))
     named = stats.select(*[F.col(k).alias(f"{k}n") for k in keys], *[c for c in stats.columns if c not in keys])
-    same_source = F.lit(True)
-    for k in keys:
-        same_source = same_source & F.col(k).eqNullSafe(F.col(f"{k}n"))
-    return blocks.join(named, same_source).drop(*[f"{k}n" for k in keys])
+    return blocks.join(named, same_keys(keys, "n")).drop(*[f"{k}n" for k in keys])
 
 
 def _column(t: pa.Table, name: str) -> np.ndarray:

@@ -115,10 +115,15 @@ def _sql_sma(n, source, keys):
     return f"CASE WHEN count({source}) OVER {frame} = {n} THEN CAST(sum({d}) OVER {frame} AS DOUBLE) / {n} END"
 
 
+def _market_features(spark, base, pipe):
+    """Series too long for a task are cut into blocks; the result is the same."""
+    return pipe.features(market(spark, base), split=features.has_long_series(table(spark, base, "bars"), SERIES.keys))
+
+
 def sma(spark, base):
     """Averages over 10 and 200 bars of every series."""
     pipe = FeaturePipeline(FEATURES[:2], SERIES.keys)
-    return _rounded(pipe.features(market(spark, base)), ["broker", "symbol", "time"], pipe.names())
+    return _rounded(_market_features(spark, base, pipe), ["broker", "symbol", "time"], pipe.names())
 
 
 def ema(spark, base):
@@ -128,12 +133,12 @@ def ema(spark, base):
 
 def diff(spark, base):
     pipe = FeaturePipeline([FEATURES[2]], SERIES.keys)
-    return _rounded(pipe.features(market(spark, base)), ["broker", "symbol", "time"], pipe.names(), sma_5_close_diff_1=6)
+    return _rounded(_market_features(spark, base, pipe), ["broker", "symbol", "time"], pipe.names(), sma_5_close_diff_1=6)
 
 
 def lag(spark, base):
     pipe = FeaturePipeline([FEATURES[3]], SERIES.keys)
-    return _rounded(pipe.features(market(spark, base)), ["broker", "symbol", "time"], pipe.names())
+    return _rounded(_market_features(spark, base, pipe), ["broker", "symbol", "time"], pipe.names())
 
 
 def rescale(spark, base):
@@ -149,7 +154,7 @@ def zscore(spark, base):
 def feature_pipeline(spark, base):
     """Several averages with transforms from one shuffle and sort."""
     pipe = FeaturePipeline(FEATURES, SERIES.keys)
-    return _rounded(pipe.features(market(spark, base)), ["broker", "symbol", "time"], pipe.names(), sma_5_close_diff_1=6, slope=9)
+    return _rounded(_market_features(spark, base, pipe), ["broker", "symbol", "time"], pipe.names(), sma_5_close_diff_1=6, slope=9)
 
 
 def true_range_dm(spark, base):
