@@ -51,5 +51,6 @@ def halo(core: DataFrame, keys: list[str], order: str, rows: int, after: bool =
     wanted = table.withColumn("_ends", ends).withColumn("_x", F.explode("_ends")).select(
         *[F.col(k).alias(f"{k}h") for k in keys], F.col("_block").alias("_to"), F.col("_x.b").alias("_of"), (rows - F.col("_start") + F.col("_x.e")).alias("_need")
     )
-    joined = edge.join(wanted, same_keys(keys, "h") & (F.col("_block") == F.col("_of")) & (F.col("_back") <= F.col("_need")))
+    # null-safe also for the block, which is never null: a plain equality would push a filter below the exchange that `core` shares with others
+    joined = edge.join(wanted, same_keys(keys, "h") & F.col("_block").eqNullSafe(F.col("_of")) & (F.col("_back") <= F.col("_need")))
     return joined.withColumn("_block", F.col("_to")).select(*core.columns)
