@@ -173,6 +173,24 @@ def p5_found(spark: SparkSession, base: str) -> DataFrame:
     return found.select("broker", "symbol", F.unix_millis("time").alias("time_ms"))
 
 
+def p5_impossible(spark: SparkSession, base: str) -> DataFrame:
+    """The bars that no market could show, which needs no comparison with others."""
+    found = outliers.implausible(table(spark, base, "bars")).where("impossible")
+    return found.select("broker", "symbol", F.unix_millis("time").alias("time_ms"))
+
+
+P5_IMPOSSIBLE_SQL = """
+WITH o AS (
+  SELECT * FROM (SELECT * REPLACE (CASE WHEN isnan(high) THEN NULL ELSE high END AS high, CASE WHEN isnan(low) THEN NULL ELSE low END AS low, CASE WHEN isnan(close) THEN NULL ELSE close END AS close) FROM bars)
+  WHERE time IS NOT NULL
+  QUALIFY row_number() OVER (PARTITION BY broker, symbol, time ORDER BY arrived_utc DESC NULLS LAST, high DESC NULLS LAST, low DESC NULLS LAST, close DESC NULLS LAST, spread DESC NULLS LAST) = 1
+)
+SELECT broker, symbol, CAST(floor(epoch_us(time) / 1000.0) AS BIGINT) AS time_ms FROM o
+WHERE coalesce(high < low, FALSE) OR coalesce(close > high, FALSE) OR coalesce(close < low, FALSE) OR coalesce(spread < 0, FALSE)
+  OR coalesce(high <= 0, FALSE) OR coalesce(low <= 0, FALSE) OR coalesce(close <= 0, FALSE) OR coalesce(greatest(high, low, close) >= 5000000.0, FALSE)
+"""
+
+
 def p5_by_source(spark: SparkSession, base: str) -> DataFrame:
     """Number of affected bars of each series, by kind."""
     found = outliers.implausible(table(spark, base, "bars"))
@@ -188,7 +206,7 @@ QUERIES = {
     "p3_found": p3_found, "p3_grid": p3_grid,
     "p4_pnl_by_exit_day": p4_pnl_by_exit_day, "p4_pnl_by_symbol": p4_pnl_by_symbol, "p4_pnl_by_side": p4_pnl_by_side,
     "p4_equity_by_symbol": p4_equity_by_symbol, "p4_equity_by_timeframe": p4_equity_by_timeframe,
-    "p5_found": p5_found, "p5_by_source": p5_by_source,
+    "p5_found": p5_found, "p5_impossible": p5_impossible, "p5_by_source": p5_by_source,
 }
 
 SQL = {
@@ -201,4 +219,5 @@ SQL = {
     "p4_pnl_by_side": _p4_sql(_FILLS, "side", "pnl"),
     "p4_equity_by_symbol": _p4_sql(_RUNS, "symbol", "ending_equity"),
     "p4_equity_by_timeframe": _p4_sql(_RUNS, "timeframe", "ending_equity"),
+    "p5_impossible": P5_IMPOSSIBLE_SQL,
 }
