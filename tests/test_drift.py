@@ -59,6 +59,34 @@ def test_one_table(spark):
     assert got == {("s/1", 2): (1.0, 78, None), ("s/2", 2): (1.0, None, 1107), ("s/2", 3): (1.0, None, 200), ("s/2", 4): (None, None, None), ("s/2", 5): (None, None, None)}
 
 
+def test_fields_without_a_column_are_kept(spark):
+    rows = lines("s", "bars_csv", 1, [f"{BASE},TickVol,vwap,flags", "2024-01-01 00:00:00+00:00,1,2,0.5,1,3,78,1.25,a", "x,1,2,0.5,1,3,78,NA"])
+    rows += lines("m", "metrics_json", 2, ['{"runId": "r", "totalPnl": 1.5, "daily_halts": 2, "n_trades": "many", "git_dirty": null, "flags": [], "env": {"host": "h"}}'])
+    rows += lines("m", "metrics_json", 3, ['{"run_id": "q"}'])
+    parsed = drift.parse_lines(spark.createDataFrame(rows, SCHEMA))
+    matched = drift.match_files(drift.file_schemas(parsed), TARGETS)
+    bars = drift.unify(parsed, matched, "bars_csv", {"time": "timestamp", "tick_volume": "bigint"})
+    prices = {"open": "1", "high": "2", "low": "0.5", "close": "1", "spread": "3"}
+    assert {r["line_no"]: (r["tick_volume"], r["other"]) for r in bars.collect()} == {
+        2: (78, {**prices, "vwap": "1.25", "flags": "a"}), 3: (78, {"time": "x", **prices, "vwap": None, "flags": None}),
+    }
+    metrics = drift.unify(parsed, matched, "metrics_json", {"run_id": "string", "total_pnl": "double", "n_trades": "bigint", "git_dirty": "boolean"})
+    assert {tuple(r)[3:7]: r["other"] for r in metrics.collect()} == {
+        ("r", 1.5, None, None): {"daily_halts": "2", "n_trades": "many", "flags": "[]", "env.host": "h"}, ("q", None, None, None): {},
+    }
+    with pytest.raises(ValueError, match="other"):
+        drift.unify(parsed, matched, "bars_csv", {"other": "string"})
+
+
+def test_queries_have_all_target_columns(spark, tables):
+    from tidemark.plans import problem_queries as q
+
+    bars, metrics = q.p2_bars(spark, tables), q.p2_metrics(spark, tables)
+    assert set(bars.columns) == {*drift.FILE, "line_no", *drift.BARS_TARGET, "other"}
+    assert set(metrics.columns) == {*drift.FILE, "line_no", *drift.METRICS_TARGET, "other"}
+    assert bars.where("other['vwap'] IS NOT NULL").count() > 0
+
+
 def test_empty_null_and_unknown(spark):
     assert changes(spark, []) == set()
     rows = lines("s", "bars_csv", 1, [None]) + lines("s", "bars_csv", 2, ["", "1"]) + lines("s", "other", 3, ["{}"]) + lines("s", "metrics_json", 4, [None, "", "{}"])

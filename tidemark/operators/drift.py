@@ -221,10 +221,14 @@ def as_number(text: Column, kind: str) -> Column:
 
 
 def unify(parsed: DataFrame, matched: DataFrame, kind: str, columns: dict[str, str]) -> DataFrame:
-    """All lines of one kind of file as one table: the file, `line_no` and the given columns, cast to the given types.
+    """All lines of one kind of file as one table: the file, `line_no`, the given columns, cast to the given types, and `other`.
 
-    Columns that a file doesn't have are null, and so are values that can't be cast. Header lines and lines without entries aren't in it.
+    Columns that a file doesn't have are null, and so are values that can't be cast. `other` maps the name, as spelled in the file, to the text of
+    every field that isn't in a column: fields without a match, or with one that isn't asked for, and values that can't be cast. A field
+    without a value has a null there. Header lines and lines without entries aren't in it.
     """
+    if "other" in columns:
+        raise ValueError("'other' holds the remaining fields and can't be a column")
     fields = matched.where(F.col("kind") == kind).select(
         F.col("stream_id").alias("_ms"), F.col("file_name").alias("_mf"), F.map_from_entries(F.transform("matches", lambda m: F.struct(m["field"], m["name"]))).alias("_map")
     )
@@ -233,8 +237,12 @@ def unify(parsed: DataFrame, matched: DataFrame, kind: str, columns: dict[str, s
         data = data.where(F.col("line_no") > 1)
     joined = data.join(fields, (F.col("stream_id") == F.col("_ms")) & (F.col("file_name") == F.col("_mf")))
     values = joined.withColumn("_v", F.map_from_entries(F.transform("entries", lambda e: F.struct(e["name"], e["value"]))))
-    out = []
+    out, held = [], []
     for c, typ in columns.items():
-        text = F.element_at("_v", F.element_at("_map", F.lit(c)))
-        out.append((as_number(text, typ) if typ in ("bigint", "double") else text.try_cast(typ)).alias(c))
-    return values.select(*FILE, "line_no", *out)
+        name = F.element_at("_map", F.lit(c))
+        text = F.element_at("_v", name)
+        value = as_number(text, typ) if typ in ("bigint", "double") else text.try_cast(typ)
+        out.append(value.alias(c))
+        held.append(F.when(value.isNotNull() | text.isNull(), name))
+    rest = values.select(*FILE, "line_no", *out, "_v", F.array_compact(F.array(*held)).alias("_held"))
+    return rest.select(*FILE, "line_no", *columns, F.map_filter("_v", lambda k, _: ~F.array_contains("_held", k)).alias("other"))

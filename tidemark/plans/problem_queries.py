@@ -67,16 +67,18 @@ def _p2_table(spark: SparkSession, base: str, kind: str, columns: dict[str, str]
 
 
 def p2_bars(spark: SparkSession, base: str) -> DataFrame:
-    """All bar files as one table."""
+    """All bar files as one table; fields of none of its columns are in `other`."""
     prices = dict.fromkeys(("open", "high", "low", "close"), "double")
     return _p2_table(spark, base, "bars_csv", {"time": "timestamp", **prices, "tick_volume": "bigint", "spread": "bigint", "real_volume": "bigint"})
 
 
 def p2_metrics(spark: SparkSession, base: str) -> DataFrame:
-    """All metrics files as one table."""
+    """All metrics files as one table; fields of none of its columns are in `other`."""
     return _p2_table(spark, base, "metrics_json", {
-        "run_id": "string", "symbol": "string", "timeframe": "string", "n_bars": "bigint", "starting_capital": "double",
-        "ending_equity": "double", "win_rate": "double", "max_drawdown_pct": "double", "n_trades": "bigint", "git_commit": "string", "git_dirty": "boolean",
+        "run_id": "string", "symbol": "string", "timeframe": "string", "n_bars": "bigint", "start_ts": "string", "end_ts": "string", "starting_capital": "double",
+        "ending_equity": "double", "n_trades": "bigint", "total_pnl": "double", "win_rate": "double", "average_win": "double", "average_loss": "double",
+        "max_drawdown_pct": "double", "risk_halted": "boolean", "risk_halted_at": "string", "daily_drawdown_pct_limit": "double",
+        "monthly_drawdown_pct_limit": "double", "daily_halts": "bigint", "monthly_halts": "bigint", "git_commit": "string", "git_dirty": "boolean",
     })
 
 
