@@ -36,6 +36,15 @@ def test_rates_reach_the_shares_within_the_repeats():
     assert capped["a"] == 1 and capped["b"] == 4
 
 
+@pytest.mark.parametrize("repeats", [None, 0, -1])
+def test_a_source_without_repeats_leaves_the_mix_to_the_others(repeats):
+    t = pd.DataFrame({"mix_id": ["m"] * 3, "source": ["a", "b", "c"], "target_share": [0.5, 0.3, 0.2], "max_repeats": [1, 4, repeats]})
+    sizes = {"a": (1000, 10), "b": (100, 5), "c": (70, 1)}
+    got = rates(t, sizes).set_index("source")["rate"]
+    assert got["c"] == 0 and got["b"] == 4 and got["a"] == pytest.approx(400 / 0.3 * 0.5 / 1000)
+    assert rates(t, sizes, total=10_000)["rate"].tolist() == [1, 4, 0]
+
+
 def docs(spark, n=6000):
     rng = np.random.default_rng(2)
     rows = [(i if i % 11 else 0, ["a", "b", "c", "b", None, "other"][min(5, int(rng.exponential(1.5)))], int(rng.lognormal(5, 1)) if i % 13 else [0, None][i % 2], "clash") for i in range(n)]

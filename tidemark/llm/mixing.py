@@ -65,7 +65,7 @@ def round_dependently(x: np.ndarray, w: np.ndarray, rng: np.random.Generator) ->
 def rates(targets: pd.DataFrame, sizes: dict[str, tuple[int, int]], total: float | None = None) -> pd.DataFrame:
     """Copies per record of each source of each mix: columns mix_id, source, target_share, max_repeats, rate.
 
-    `sizes` has (tokens, records) by source. Sources without tokens can't contribute. Without `total` the size of a mix is the greatest at which all
+    `sizes` has (tokens, records) by source. Sources without tokens or repeats can't contribute. Without `total` the size of a mix is the greatest at which all
     other sources reach their shares within their repeats; with it, sources stop at their repeats and the report shows what is missing.
     Targets with a null mix, source or share, or a share not above 0, count as a share of 0; a null number of repeats as 0.
     """
@@ -75,7 +75,7 @@ def rates(targets: pd.DataFrame, sizes: dict[str, tuple[int, int]], total: float
     t["tokens"] = [sizes.get(s, (0, 0))[0] for s in t["source"]]
     t["rate"] = 0.0
     for _, rows in t.groupby("mix_id"):
-        can = rows[(rows.tokens > 0) & (rows.target_share > 0)]
+        can = rows[(rows.tokens > 0) & (rows.target_share > 0) & (rows.max_repeats > 0)]
         if not len(can):
             continue
         size = (can.max_repeats * can.tokens / can.target_share).min() if total is None else float(total)
