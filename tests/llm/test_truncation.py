@@ -27,6 +27,13 @@ def test_announced(text, want):
     assert endings.announced(text) is want
 
 
+@pytest.mark.parametrize("pad", [" " * 3000, "\n" * 2500, "|" * 2500, " ·" * 1500])
+def test_long_padding_hides_no_ending(pad):
+    cut, whole = "the bridge was old\nand the coun", "the bridge was old\nContinued on page 4"
+    assert not endings.closed(cut + pad) and endings.features(cut + pad).tolist() == endings.features(cut).tolist()
+    assert endings.announced(whole + pad) and endings.announced("prose goes on\n———" + pad)
+
+
 def test_folding_joins_misread_words():
     assert endings.fold("Continued") == endings.fold("C0ntinued") == endings.fold("Continned") and endings.fold("modern") == endings.fold("modem")
 

@@ -15,8 +15,9 @@ import xxhash
 
 BITS = 17
 SIZE = 1 << BITS
+LAST = 2000  # characters of an ending, without blanks and marks behind it
 # Signs that a cut or the scanner leaves behind the last word (fixed values).
-_MARKS = re.compile(r"[\s…�|·•°¦`´'\[\]<>^~*_]+$")
+_MARKS = "".join(filter(str.isspace, map(chr, range(0x3001)))) + "…�|·•°¦`´'[]<>^~*_"
 _DOTS = re.compile(r"(?<=[^\s.])\s?\.\.\.$")
 _STOP = re.compile(r"[.!?][\"”“»'’)\]]*$|[.!?]\s[»“”\"]$")
 _SHORT = re.compile(r"(?:^|[\s(\"“„«])(?:[A-ZÀ-Þ][a-zß-ÿ]{0,2}|Messrs|[A-ZÀ-Þ]{4,}[\w'’]*,\s\d+)\.$")
@@ -40,10 +41,10 @@ COMMON = set("let lost col box cash post office street company station council o
 
 def bare(text: str) -> tuple[str, bool]:
     """The text without blanks and marks at its end, and whether a mark of omission was among them."""
-    t = _MARKS.sub("", text)
-    dots = _DOTS.search(t)
+    t = text.rstrip(_MARKS)
+    dots = _DOTS.search(t, max(0, len(t) - 5))
     if dots:
-        return _MARKS.sub("", t[:dots.start()]), True
+        return t[:dots.start()].rstrip(_MARKS), True
     return t, "…" in text[len(t):] or "�" in text[len(t):]
 
 
@@ -84,7 +85,8 @@ def _shape(line: str) -> str:
 
 def features(text: str) -> np.ndarray:
     """Hashed features of the last lines: words, letters, shapes, and how the last line stands to those before."""
-    t, omitted = bare(text[-2000:])
+    t, omitted = bare(text)
+    t = t[-LAST:]
     lines = [x.strip() for x in t.rsplit("\n", 5)]
     last, prev = lines[-1], lines[-2] if len(lines) > 1 else ""
     line = re.sub(r"\d+", "9", last)
@@ -128,10 +130,10 @@ def ornament(text: str) -> bool:
 def announced(text: str) -> bool:
     """Ends with a line that is plainly none of running prose: an ornament, a price after leaders, a signature after a dash or, below a finished sentence, with initials, or at most four words
     of which one announces a pointer, an imprint or an advert (the name of a place may follow after a comma or hyphen)."""
-    if ornament(text[-2000:]):
+    if ornament(text):
         return True
-    t, omitted = bare(text[-2000:])
-    lines = [x.strip() for x in t.rsplit("\n", 2)]
+    t, omitted = bare(text)
+    lines = [x.strip() for x in t[-LAST:].rsplit("\n", 2)]
     last, prev = lines[-1], lines[-2] if len(lines) > 1 else ""
     if not last or not any(c.isalnum() for c in last):
         return not omitted and bool(text.strip())
