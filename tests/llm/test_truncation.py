@@ -4,6 +4,7 @@ import random
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.llm import endings, truncation
 
@@ -75,6 +76,41 @@ def test_likelihood_curve_rises():
     assert endings.likelihood_curve(whole[:3], cut[:3])[2] == 0.05
 
 
+def test_share_and_curve_are_those_of_all_texts(spark):
+    rng = np.random.default_rng(5)
+    z = np.concatenate((rng.normal(-4, 1.5, 6000), rng.normal(4, 1.5, 2000)))
+    first = endings.likelihood_curve(z[:6100], rng.normal(4, 1.5, 1000))
+    seen = endings.Evidence((None, None), first[:2], first[2], rng.normal(4, 1.5, 1000))
+    scored = spark.createDataFrame(pd.DataFrame({"closed": False, "score": z})).unionByName(spark.sql("SELECT true AS closed, double('nan') AS score FROM range(500)"))
+    curve, share = truncation._of_all(scored, seen)
+    assert seen.share < 0.03 and abs(share - 0.25) < 0.01
+    want = endings.likelihood_curve(z, seen.cuts)
+    assert np.allclose(curve[1], want[1], atol=0.02) and abs(share - want[2]) < 1e-3
+    at = np.array([-20, -12, -0.13, 0.0, 3.3, 12, 20])
+    got = [r[0] for r in spark.createDataFrame([(float(v),) for v in at], "z double").select(truncation._along(F.col("z"), *curve)).collect()]
+    assert np.allclose(got, np.interp(at, *curve))
+
+
+@pytest.fixture
+def first_curve(monkeypatch):
+    """Evidence of a sample that saw hardly any cut texts."""
+    learn = endings.learn
+
+    def poor(*args, **kw):
+        found = learn(*args, **kw)
+        found.share = 1e-4
+        return found
+
+    monkeypatch.setattr(endings, "learn", poor)
+
+
+def test_the_share_of_the_sample_decides_nothing(spark, corpus, first_curve):
+    df, cut = corpus
+    got = truncation.truncated(df)[0].toPandas()
+    found = set(got[got.p_cut > 0.5].doc_id)
+    assert len(found & cut) / len(cut) > 0.93 and len(found & cut) / len(found) > 0.93
+
+
 WORDS = "the council of a small town was asked to repair its old bridge near harbour before winter and Smith has said that cost would be high for many people who live there".split()
 
 

@@ -7,8 +7,9 @@ the model that hasn't seen it.
 
 from __future__ import annotations
 
+import math
 import re
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import xxhash
@@ -16,6 +17,7 @@ import xxhash
 BITS = 17
 SIZE = 1 << BITS
 LAST = 2000  # characters of an ending, without blanks and marks behind it
+LOWEST, POINTS = -12.0, 97  # scores at which the curve of likelihood ratios is kept
 # Signs that a cut or the scanner leaves behind the last word (fixed values).
 _MARKS = "".join(filter(str.isspace, map(chr, range(0x3001)))) + "…�|·•°¦`´'[]<>^~*_"
 _DOTS = re.compile(r"(?<=[^\s.])\s?\.\.\.$")
@@ -186,19 +188,29 @@ def fit(rows: list[np.ndarray], y: np.ndarray, weight: np.ndarray, epochs: int =
     return Model(w, b)
 
 
-def likelihood_curve(as_is: np.ndarray, cut: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+def _quantile(x: np.ndarray, n: np.ndarray, q: float) -> float:
+    order = np.argsort(x, kind="stable")
+    upto = np.cumsum(n[order])
+    return float(x[order][np.searchsorted(upto, q * upto[-1])])
+
+
+def likelihood_curve(as_is: np.ndarray, cut: np.ndarray, count: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, float]:
     """Score -> log likelihood ratio of cut against whole at some scores, and the share of cut ones among the texts as they are.
 
     Two normal distributions fitted by expectation maximisation; the texts cut on purpose count as cut ones with little weight, so
     that the upper distribution stays where cut endings are even if hardly any text as it is was cut. The ratio never falls with the score.
+    With `count`, each score in `as_is` stands for so many texts.
     """
-    at = np.linspace(-12, 12, 97)
-    if len(as_is) < 20 or len(cut) < 20:
+    at = np.linspace(LOWEST, -LOWEST, POINTS)
+    count = np.ones(len(as_is)) if count is None else np.asarray(count, float)
+    n = count.sum()
+    if n < 20 or len(cut) < 20:
         return at, np.clip(at, -8, 8), 0.05
     x = np.concatenate((as_is, cut))
-    w = np.concatenate((np.ones(len(as_is)), np.full(len(cut), 0.05 * len(as_is) / len(cut))))
+    w = np.concatenate((count, np.full(len(cut), 0.05 * n / len(cut))))
     fixed = np.arange(len(x)) >= len(as_is)
-    mu, sd, share = np.array([np.quantile(as_is, 0.3), np.median(cut)]), np.array([as_is.std() / 2 + 0.1, cut.std() + 0.1]), 0.2
+    spread = math.sqrt(np.average((as_is - np.average(as_is, weights=count)) ** 2, weights=count))
+    mu, sd, share = np.array([_quantile(as_is, count, 0.3), np.median(cut)]), np.array([spread / 2 + 0.1, cut.std() + 0.1]), 0.2
     density = lambda v, k: np.exp(-0.5 * ((v - mu[k]) / sd[k]) ** 2) / sd[k]
     for _ in range(200):
         one, two = (1 - share) * density(x, 0), share * density(x, 1)
@@ -206,7 +218,7 @@ def likelihood_curve(as_is: np.ndarray, cut: np.ndarray) -> tuple[np.ndarray, np
         q = w - r
         mu = np.array([(q * x).sum() / q.sum(), (r * x).sum() / r.sum()])
         sd = np.sqrt([(q * (x - mu[0]) ** 2).sum() / q.sum() + 0.05, (r * (x - mu[1]) ** 2).sum() / r.sum() + 0.05])
-        share = float(np.clip(r[~fixed].sum() / len(as_is), 1e-4, 0.9))
+        share = float(np.clip(r[~fixed].sum() / n, 1e-4, 0.9))
     ratio = np.log(density(at, 1) + 1e-300) - np.log(density(at, 0) + 1e-300)
     middle = int(np.argmin(np.abs(at - mu.mean())))
     ratio[middle:] = np.maximum.accumulate(ratio[middle:])
@@ -216,11 +228,12 @@ def likelihood_curve(as_is: np.ndarray, cut: np.ndarray) -> tuple[np.ndarray, np
 
 @dataclass
 class Evidence:
-    """Models of both halves and the likelihood ratio by score."""
+    """Models of both halves and the likelihood ratio by score; `cuts` has the scores of the open texts that were cut on purpose."""
 
     models: tuple[Model, Model]
     curve: tuple[np.ndarray, np.ndarray]
     share: float = 0.05
+    cuts: np.ndarray = field(default_factory=lambda: np.zeros(0))
 
     def scores(self, rows: list[np.ndarray], half: np.ndarray) -> np.ndarray:
         """Scores; texts of one half are judged by the model of the other."""
@@ -250,7 +263,8 @@ def learn(rows: list[np.ndarray], cut: np.ndarray, half: np.ndarray, done: np.nd
             models.append(fit([rows[i] for i in at], y[at], weight[at]) if len(at) else Model(np.zeros(SIZE), 0.0))
         found = Evidence((models[0], models[1]), (np.zeros(1), np.zeros(1)))
         z = found.scores(rows, half)
-        *curve, found.share = likelihood_curve(z[unsure], z[(y == 1) & ~done])
+        found.cuts = z[(y == 1) & ~done]
+        *curve, found.share = likelihood_curve(z[unsure], found.cuts)
         found.curve = tuple(curve)
         odds = np.exp(found.log_ratio(z[unsure])) * found.share / (1 - found.share)
         weight[unsure] = 1 / (1 + odds)

@@ -13,7 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import endings
@@ -21,6 +21,7 @@ from tidemark.llm.tokens import cut_lineage
 from tidemark.session import ship
 
 NO_SOURCE = "\0none"
+BINS = 256  # of a score, in the histogram of all open endings
 WINDOW = 12  # lengths below a limit at which texts cut back to a word's end still pile up
 LIMITS = "_src string, unit string, length bigint, limit bigint, at_limit bigint, censored double, mu double, sigma double"
 
@@ -143,6 +144,24 @@ def _training_rows(docs: DataFrame, sample: int, cuts: int) -> pd.DataFrame:
     return found[found.h.isin(set(most))].sort_values(["h", "k"]).reset_index(drop=True)
 
 
+def _of_all(scored: DataFrame, evidence: endings.Evidence) -> tuple[tuple[np.ndarray, np.ndarray], float]:
+    """The curve and the share of cut ones among open endings, from the scores of all texts; a histogram of these comes to the driver."""
+    bins = scored.where(~F.col("closed")).groupBy(F.round(F.col("score") * BINS).try_cast("bigint").alias("_b")).agg(F.count(F.lit(1)).alias("n"))
+    hist = bins.toPandas().sort_values("_b")
+    *curve, share = endings.likelihood_curve(hist["_b"].to_numpy(float) / BINS, evidence.cuts, hist["n"].to_numpy(float))
+    return tuple(curve), share
+
+
+def _along(score: Column, at: np.ndarray, value: np.ndarray) -> Column:
+    """Linear interpolation between evenly spaced points; beyond them the values at the ends."""
+    step = float(at[1] - at[0])
+    place = (F.greatest(F.least(score, F.lit(float(at[-1]))), F.lit(float(at[0]))) - F.lit(float(at[0]))) / F.lit(step)
+    i = F.least(F.floor(place), F.lit(len(at) - 2)).cast("int")
+    values = F.array(*[F.lit(float(v)) for v in value])
+    low, high = F.get(values, i), F.get(values, i + 1)
+    return low + (high - low) * (place - i)
+
+
 def truncated(
     docs: DataFrame, id: str = "doc_id", text: str = "text", source: str = "source", sample: int = 12_000, cuts: int = 2,
 ) -> tuple[DataFrame, DataFrame]:
@@ -153,7 +172,8 @@ def truncated(
     texts have `p_cut` 0. `limits` has one row per source and limit: `unit` (chars or bytes), `limit`, `at_limit`, the share of them that
     is `censored`, and the fitted `mu` and `sigma` of the logarithm of length.
 
-    The classifier is fitted on at most `sample` texts; everything else covers all of them. Null sources form a source of their own. Rows
+    The classifier is fitted on at most `sample` texts; everything else covers all of them, also the curve and the share of cut ones that its scores
+    are read with. Null sources form a source of their own. Rows
     with the same id are separate texts. Null, empty and blank texts aren't in the result; very long texts are read whole for their lengths,
     while an ending is judged by its last lines. Extra columns are ignored. Empty tables give empty results.
     """
@@ -171,20 +191,22 @@ def truncated(
         e = shared.value
         for b in batches:
             closed = np.fromiter((endings.closed(t) for t in b["text"]), bool, len(b))
-            ratio = np.full(len(b), -8.0)
+            score = np.full(len(b), np.nan)
             open_ = np.flatnonzero(~closed)
             feats = [endings.features(b["text"].iloc[i]) for i in open_]
-            ratio[open_] = e.log_ratio(e.scores(feats, (b["_hash"].to_numpy()[open_] & 1).astype(int)))
+            score[open_] = e.scores(feats, (b["_hash"].to_numpy()[open_] & 1).astype(int))
             yield b[["_id", "_source", "_hash"]].assign(
-                n_chars=[len(t) for t in b["text"]], n_bytes=[len(t.encode("utf-8", "surrogatepass")) for t in b["text"]], closed=closed, log_ratio=ratio
+                n_chars=[len(t) for t in b["text"]], n_bytes=[len(t.encode("utf-8", "surrogatepass")) for t in b["text"]], closed=closed, score=score
             )
 
     kind = dict(named.dtypes)["_id"]
     scored = cut_lineage(
-        named.mapInPandas(score, f"_id {kind}, _source string, _hash bigint, n_chars bigint, n_bytes bigint, closed boolean, log_ratio double")
+        named.mapInPandas(score, f"_id {kind}, _source string, _hash bigint, n_chars bigint, n_bytes bigint, closed boolean, score double")
     ).withColumn("_src", F.coalesce("_source", F.lit(NO_SOURCE)))
+    curve, share = _of_all(scored, evidence)
+    scored = scored.withColumn("log_ratio", F.when(F.col("closed"), F.lit(-8.0)).otherwise(_along(F.col("score"), *curve))).drop("score")
     # the share of cut ones among open endings, by source, drawn to that of all sources
-    base = math.log(evidence.share / (1 - evidence.share))
+    base = math.log(share / (1 - share))
     chance = lambda odds: 1 / (1 + F.exp(-odds))
     by_ending = F.when(F.col("closed"), F.lit(0.0)).otherwise(chance(F.col("log_ratio") + base))
     lengths = scored.select("_src", by_ending.alias("_e"), F.explode(F.array(
@@ -195,10 +217,10 @@ def truncated(
     )
     piles = cut_lineage(hist.groupBy("_src").applyInPandas(limits_of_source, LIMITS))
     open_rows = scored.where(~F.col("closed"))
-    shares = open_rows.groupBy("_src").agg(((F.sum(by_ending) + 20 * evidence.share) / (F.count(F.lit(1)) + 20)).alias("_share"))
+    shares = open_rows.groupBy("_src").agg(((F.sum(by_ending) + 20 * share) / (F.count(F.lit(1)) + 20)).alias("_share"))
     # A pile's share is about all texts. Among whole texts only some end openly, which raises the odds of those that do.
     total = scored.agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.col("closed")).alias("o")).first()
-    whole_open = max(1e-3, (total["o"] * (1 - evidence.share)) / max(1, total["n"] - total["o"] * evidence.share))
+    whole_open = max(1e-3, (total["o"] * (1 - share)) / max(1, total["n"] - total["o"] * share))
     pile = lambda unit, col: piles.where(F.col("unit") == unit).select(
         F.col("_src").alias(f"_{unit}s"), F.col("length").alias(f"_{unit}"), F.col("censored").alias(f"_{unit}c"))
     joined = (
@@ -209,7 +231,7 @@ def truncated(
     odds = lambda p: F.log(p / (1 - p))
     at = F.greatest(F.coalesce("_charsc", F.lit(0.0)), F.coalesce("_bytesc", F.lit(0.0)))
     by_length = odds(F.least(F.greatest(at, F.lit(1e-6)), F.lit(0.999))) - math.log(whole_open)
-    by_source = odds(F.least(F.greatest(F.coalesce("_share", F.lit(evidence.share)), F.lit(1e-4)), F.lit(0.999)))
+    by_source = odds(F.least(F.greatest(F.coalesce("_share", F.lit(share)), F.lit(1e-4)), F.lit(0.999)))
     p = F.when(F.col("closed"), F.lit(0.0)).otherwise(chance(F.greatest(by_length, by_source) + F.col("log_ratio")))
     scores = joined.select(
         F.col("_id").alias(id), F.col("_source").alias(source), "n_chars", "n_bytes", (at > 0).alias("at_limit"), "closed", "log_ratio", p.alias("p_cut")
