@@ -171,6 +171,22 @@ def test_split_series_give_the_same(spark):
     assert has_long_series(df, ("symbol",), 899) and not has_long_series(df, ("symbol",), 900) and not has_long_series(df.limit(0), ("symbol",))
 
 
+def test_split_series_look_ahead_and_keep_nulls(spark):
+    rng = np.random.default_rng(6)
+    walk = lambda n: np.round(100 + rng.normal(size=n).cumsum(), 4).tolist()
+    flat = bars(spark, [5.0] * 30 + walk(900), symbol="flat at first").withColumns({c: F.when(F.col("close") == 5, 5.0).otherwise(F.col(c)) for c in ("high", "low")})
+    df = bars(spark, walk(500) + [100.0] * 200 + walk(500), symbol="flat between").unionByName(flat)
+    df = df.withColumns({c: F.when((F.col("close") == 100), 100.0).otherwise(F.col(c)) for c in ("high", "low")})
+    specs = [FeatureSpec(SMA(7), (Lag(-3),)), FeatureSpec(SMA(40), (Lag(-60), Diff(2))), FeatureSpec(SMA(5), (Diff(-4), Lag(2))), FeatureSpec(EMA(4), (Lag(-3),)), FeatureSpec(ADX(3)), FeatureSpec(ADX(4), (Lag(-1),))]
+    pipe = FeaturePipeline(specs)
+    order = lambda d: d.orderBy("symbol", "time").toPandas()
+    whole = order(pipe.transform(df))
+    first = whole[whole.symbol == "flat at first"]
+    assert first.adx_3.isna().all() and whole[whole.symbol == "flat between"].adx_3.notna().sum() > 1000
+    for block_rows in (50_000, 1):
+        pd.testing.assert_frame_equal(order(pipe.transform_split(df, block_rows)), whole, rtol=1e-12)
+
+
 def test_halo_reaches_over_short_blocks(spark):
     from tidemark.functions.blocks import halo
 

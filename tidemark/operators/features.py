@@ -160,6 +160,7 @@ class ADX:
     """
 
     period: int = 14
+    splits: bool = field(default=False, init=False, repr=False)
 
     @property
     def name(self) -> str:
@@ -287,6 +288,18 @@ class ZScore:
         return F.when((F.count(col).over(w) == self.window) & (F.min(col).over(w) != F.max(col).over(w)) & (sd > 0), (col - F.avg(col).over(w)) / sd)
 
 
+@dataclass(frozen=True)
+class _Made:
+    """An indicator whose columns were made from the whole series before it was split."""
+
+    name: str
+    outputs: tuple[str, ...]
+    lookback: int = 0
+
+    def columns(self, frame: Frame) -> dict[str, Column]:
+        return {n: F.col(f"_whole_{n}") for n in self.outputs}
+
+
 @dataclass(frozen=True)
 class FeatureSpec:
     base: Indicator | Recurrence
@@ -330,18 +343,34 @@ class FeaturePipeline:
     def transform_split(self, bars: DataFrame, block_rows: int = 50_000) -> DataFrame:
         """Like `transform`, with every series cut into blocks of about `block_rows` bars, for series too long for one task.
 
-        A block sees as many bars before it as its features look back; averages with endless memory get as many as still show in a double, so
-        they equal those of the whole series but for the last digits. An ADX that went null for good is null from there on within its
-        block and its memory only.
+        A block sees as many bars before it, and after it, as its features look back and ahead; averages with endless memory get as many as still
+        show in a double, so they equal those of the whole series but for the last digits, as long as no stretch without values is longer than that.
+        Recurrences with `splits` False (an ADX can stay null for good) are folded over whole series first, each in one task.
         """
-        memory = max([self.max_lookback, *(s.base.memory + s.lookback for s in self.specs if isinstance(s.base, Recurrence))])
+        require_ohlcv(bars)
+        self.names(bars)
+        specs, whole = [], []
+        for s in self.specs:
+            if isinstance(s.base, Recurrence) and not getattr(s.base, "splits", True):
+                whole.append(s.base)
+                made = tuple(getattr(s.base, "outputs", None) or [s.base.name])
+                s = FeatureSpec(_Made(s.base.name, made), s.transforms, s.alias)
+            specs.append(s)
+        outputs = sorted({n for s in specs if isinstance(s.base, _Made) for n in s.base.outputs})
+        folded = fold_features(bars, whole, self.frame)
+        ready = folded.select(*bars.columns, *[F.col(n).alias(f"_whole_{n}") for n in outputs])
+        back = [s.base.lookback + sum(max(t.lookback, 0) for t in s.transforms) for s in specs]
+        memory = max([0, *back, *(s.base.memory + n for s, n in zip(specs, back) if isinstance(s.base, Recurrence))])
+        ahead = max((sum(max(-t.lookback, 0) for t in s.transforms) for s in specs), default=0)
         keys, time = list(self.frame.keys), self.frame.time
         us = F.unix_micros(F.to_timestamp(time))
-        core = with_blocks(bars.withColumn("_us", us), keys, "_us", max(block_rows, 10 * memory)).drop("_us")
-        before = halo(core, keys, time, memory) if memory else core.limit(0)
-        both = core.withColumn("_mine", F.lit(True)).unionByName(before.withColumn("_mine", F.lit(False)))
-        inner = FeaturePipeline(self.specs, (*keys, "_block"), time)
-        return inner.transform(both).where("_mine").drop("_mine", "_block")
+        core = with_blocks(ready.withColumn("_us", us), keys, "_us", max(block_rows, 10 * (memory + ahead))).drop("_us")
+        both = core.withColumn("_mine", F.lit(True))
+        for rows, after in ((memory, False), (ahead, True)):
+            if rows:
+                both = both.unionByName(halo(core, keys, time, rows, after).withColumn("_mine", F.lit(False)))
+        inner = FeaturePipeline(specs, (*keys, "_block"), time)
+        return inner.transform(both).where("_mine").drop("_mine", "_block", *[f"_whole_{n}" for n in outputs])
 
     def transform(self, bars: DataFrame) -> DataFrame:
         require_ohlcv(bars)
