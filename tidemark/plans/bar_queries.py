@@ -283,6 +283,41 @@ def market_backtest(spark, base):
     return found.select("symbol", "n_bars", "n_trades", F.round("total_pnl", 4).alias("total_pnl"), F.round("ending_equity", 4).alias("ending_equity"), "risk_halted")
 
 
+# -- recurrences and limits by period on the bars table; too slow in SQL there
+
+def _market_run(spark, base, risk=None):
+    options = {"type": "adx_filtered", "fast_period": FAST, "slow_period": SLOW, "digits": DIGITS, "adx_period": ADX_N, "adx_threshold": ADX_LEVEL}
+    made, specs = strategy.build_strategy(options)
+    signals = strategy.with_signal(FeaturePipeline(specs, SERIES.keys).transform(market(spark, base)), made, SERIES)
+    return signals if risk is None else backtest.run(signals, SERIES, 100_000.0, 1.0, risk)
+
+
+def market_ema(spark, base):
+    pipe = FeaturePipeline([FeatureSpec(EMA(10)), FeatureSpec(EMA(30))], SERIES.keys)
+    return _rounded(_market_features(spark, base, pipe), ["broker", "symbol", "time"], pipe.names())
+
+
+def market_adx(spark, base):
+    pipe = FeaturePipeline([FeatureSpec(ADX(ADX_N))], SERIES.keys)
+    return _rounded(_market_features(spark, base, pipe), ["broker", "symbol", "time"], pipe.names(), **{f"adx_{ADX_N}": 8})
+
+
+def market_signal_adx(spark, base):
+    return _market_run(spark, base).select("broker", "symbol", "time", "direction", "strength", "reason")
+
+
+def market_period_pause(spark, base):
+    curve = _market_run(spark, base, backtest.RiskConfig(LIMIT, DAILY, MONTHLY))
+    names = ("position", "equity", "max_drawdown_pct", "halted", "flatten", "daily_halts", "monthly_halts")
+    return _six(curve.select("broker", "symbol", "time", *names), "equity", "max_drawdown_pct")
+
+
+def market_metrics(spark, base):
+    risk = backtest.RiskConfig(LIMIT, DAILY, MONTHLY)
+    found = backtest.metrics(_market_run(spark, base, risk), SERIES, 100_000.0, risk)
+    return _six(found, "ending_equity", "total_pnl", "win_rate", "average_win", "average_loss", "max_drawdown_pct")
+
+
 def _exec_cte(name, source, direction, capital=CAPITAL):
     w = "(PARTITION BY symbol ORDER BY time)"
     return f"""{name}1 AS (SELECT *, coalesce(lag({direction}) OVER {w}, 0.0::DOUBLE) AS position FROM {source}),
@@ -355,7 +390,8 @@ _VALUES = ", ".join(f"('{s.name}', {s.p_win}::DOUBLE, {s.avg_win}::DOUBLE, {s.av
 
 QUERIES = {f.__name__: f for f in (
     bars_hourly, market_bars, validate_counts, dedupe_first_wins, yearly_split_counts, snapshot_meta, sma, ema, diff, lag, rescale, zscore, feature_pipeline,
-    true_range_dm, adx, signal_ma, signal_adx, positions, trades, equity_curve, drawdown, global_halt, period_pause, metrics, market_backtest, expectancy_analytic, expectancy_sim, expectancy_numpy,
+    true_range_dm, adx, signal_ma, signal_adx, positions, trades, equity_curve, drawdown, global_halt, period_pause, metrics, market_backtest, market_ema, market_adx, market_signal_adx, market_period_pause, market_metrics,
+    expectancy_analytic, expectancy_sim, expectancy_numpy,
 )}
 
 SQL = {
