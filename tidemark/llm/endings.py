@@ -1,8 +1,8 @@
 """How a text ends: features of its last lines and a classifier that labels itself.
 
-Texts cut at random places are examples of cut endings; the texts as they are stand for whole endings, with those that look cut themselves
-counting less in a second fit. Two models are fitted on two halves of a bounded sample, and each text is judged by
-the model that hasn't seen it.
+Texts cut at random places in running prose are examples of cut endings; the texts as they are stand for whole endings, each as far as its length and
+its ending speak for that. Two models are fitted on two halves of a bounded sample, and each text is judged by
+the model that hasn't seen it. No list of words is used: what an advert, a notice or a signature looks like is learnt from the texts.
 """
 
 from __future__ import annotations
@@ -16,30 +16,22 @@ import xxhash
 
 BITS = 17
 SIZE = 1 << BITS
-LAST = 2000  # characters of an ending, without blanks and marks behind it
+LINES, LINE_WORDS = 6, 12  # an ending is a text's last lines; a longer line counts as several
+FILLED = 0.65  # share of the usual width from which a line counts as filled
+REACH = 160  # characters within which running prose has the end of a sentence
 LOWEST, POINTS = -12.0, 97  # scores at which the curve of likelihood ratios is kept
 # Signs that a cut or the scanner leaves behind the last word (fixed values).
 _MARKS = "".join(filter(str.isspace, map(chr, range(0x3001)))) + "…�|·•°¦`´'[]<>^~*_"
 _DOTS = re.compile(r"(?<=[^\s.])\s?\.\.\.$")
 _STOP = re.compile(r"[.!?][\"”“»'’)\]]*$|[.!?]\s[»“”\"]$")
-_SHORT = re.compile(r"(?:^|[\s(\"“„«])(?:[A-ZÀ-Þ][a-zß-ÿ]{0,2}|Messrs|[A-ZÀ-Þ]{4,}[\w'’]*,\s\d+)\.$")
+_INNER_STOP = re.compile(r"(?:(?<=[^\W\d_]{4})|(?<=[\"”“»'’)\]]))[.!?](?=[\s\"”“»'’)\]])")
+# A point behind a number or a short capitalised word may belong to an abbreviation, an initial or a day.
+_UNSURE = re.compile(r"(?:^|[\s(\"“„«])(?:[A-ZÀ-Þ][a-zß-ÿ]{0,2}|\d+)\.$")
 # Letters and pairs that readers of old print confuse; each group is folded to one sign (fixed values).
 _PAIRS = (("rn", "m"), ("vv", "w"), ("cl", "d"), ("ii", "n"))
 _FOLD = str.maketrans({**dict.fromkeys("0acoeàâäéèêö", "o"), **dict.fromkeys("fſt5ß", "s"), **dict.fromkeys("1i|j", "l"), **dict.fromkeys("b8", "h"),
                        **dict.fromkeys("uü", "n"), "y": "v", "9": "9"})
 
-# Words that newspapers of three languages put at the end of a page's piece, by what they announce (fixed values).
-CUES = {
-    "pointer": "continued page seite column col turn back folgt fortsetzung schluss suite suivre numéro record",
-    "imprint": "printed druck imprimerie published gedruckt",
-    "signature": "secretary chairman editor observer ratepayer populi vorstand comité inst council order",
-    "advert": "apply box office keys stores chemists bottle reward street arcade company doors cash dozen post established wanted let lost sale "
-              "station gesucht näheres waren pfennig bestellungen demande adresser prix livraison domicile dépôt",
-}
-# Those of them that are common in prose too.
-COMMON = set("let lost col box cash post office street company station council order back turn record secretary chairman editor observer inst "
-             "numéro demande prix sale ratepayer wanted doors dozen bottle reward published".split())
-
 
 def bare(text: str) -> tuple[str, bool]:
     """The text without blanks and marks at its end, and whether a mark of omission was among them."""
@@ -51,9 +43,21 @@ def bare(text: str) -> tuple[str, bool]:
 
 
 def finished(text: str) -> bool:
-    """Ends with a sentence's end that isn't the point of a short form such as a title or the number of a day."""
+    """Ends with a sentence's end that can't be the point of a short form or of a number."""
     t, omitted = bare(text)
-    return not omitted and bool(_STOP.search(t)) and not _SHORT.search(t)
+    return not omitted and bool(_STOP.search(t)) and not _UNSURE.search(t)
+
+
+def ornament(text: str) -> bool:
+    """Ends with a line of its own of at least three strokes, stars or spaced points."""
+    last = text.rstrip().rsplit("\n", 1)[-1].strip(" |·•°¦`´'")
+    strokes = sum(c in "*—–-._=~#" for c in last)
+    return "\n" in text.rstrip() and strokes >= 3 and not any(c.isalnum() for c in last) and last not in ("...", "....")
+
+
+def closed(text: str) -> bool:
+    """Whole by its last signs alone; every other ending is judged by the model."""
+    return finished(text) or ornament(text)
 
 
 def fold(word: str) -> str:
@@ -63,37 +67,68 @@ def fold(word: str) -> str:
     return w.translate(_FOLD)
 
 
-_CUE = {fold(w): (kind, w in COMMON) for kind, ws in CUES.items() for w in ws.split()}
+def last_lines(text: str) -> list[str]:
+    """The last lines, in order; of a line of many words, stretches of a line's size, counted from its end."""
+    out: list[str] = []
+    for line in reversed(text.rsplit("\n", LINES)):
+        words = line.split()
+        if len(words) <= 2 * LINE_WORDS:
+            out.append(line.strip())
+        else:
+            out += [" ".join(words[max(0, at - LINE_WORDS):at]) for at in range(len(words), max(0, len(words) - LINES * LINE_WORDS), -LINE_WORDS)]
+        if len(out) >= LINES:
+            break
+    return out[:LINES][::-1]
 
 
-def _cues(line: str) -> set[str]:
-    """Kinds of announcing words in a line; some words are also common in prose and are told apart."""
-    found = (_CUE.get(fold(w)) for w in re.split(r"[^\w]+", line) if len(w) > 2)
-    return {kind + ("~" if common else "") for kind, common in filter(None, found)}
+def prose_places(text: str, rng: np.random.Generator, n: int, tries: int = 8) -> list[int]:
+    """Up to `n` random places inside running prose: with a sentence's end not far before and not far behind, and only filled lines between these.
+
+    Adverts, lists and headings lack the one or the other, so a text cut there would be no example of prose that stops too early.
+    """
+    if len(text) <= 120:
+        return []
+    stops = np.fromiter((m.end() for m in _INNER_STOP.finditer(text)), np.int64)
+    if len(stops) < 2:
+        return []
+    breaks = np.fromiter((i for i, c in enumerate(text) if c == "\n"), np.int64)
+    length = np.diff(np.concatenate(([-1], breaks, [len(text)]))) - 1
+    full = FILLED * np.quantile(length, 0.8)
+    at = rng.integers(60, len(text) - 1, n * tries)
+    i = np.searchsorted(stops, at)
+    inside = (i > 0) & (i < len(stops))
+    i = np.clip(i, 1, len(stops) - 1)
+    a, b = stops[i - 1], stops[i]
+    good = inside & (at - a <= REACH) & (b - at <= REACH)
+    first, last = np.searchsorted(breaks, a), np.searchsorted(breaks, b)  # lines in which the sentence begins and ends
+    out = [int(p) for p, k, m, ok in zip(at, first, last, good) if ok and (length[k:m] >= full).all()]
+    return out[:n]
 
 
 def _shape(line: str) -> str:
+    """Kinds of the words of a line, with the signs before and behind them."""
     out = []
     for w in line.split():
         core = re.sub(r"[^\w/.]", "", w)
+        before, behind = w[:1] if not w[0].isalnum() else "", w[-1:] if w[-1] in ",;:-=~¬" and len(w) > 1 else ""
         if re.search(r"\d", core) and not re.search(r"[a-zß-ÿ]{3}", core):
-            out.append("9/9" if "/" in core else "9")
+            kind = "9/9" if "/" in core else "9"
         elif core[:1].isupper():
-            out.append("U" if len(core) > 1 and core.isupper() else "I." if len(core) == 2 and core[1] == "." else "N")
+            kind = "U" if len(core) > 1 and core.isupper() else "I." if len(core) == 2 and core[1] == "." else "N"
         else:
-            out.append("a" if core.strip(".") else w[:3])
+            kind = "a" if core.strip(".") else w[1:3]
+        out.append(before + kind + behind)
     return " ".join(out)
 
 
 def features(text: str) -> np.ndarray:
     """Hashed features of the last lines: words, letters, shapes, and how the last line stands to those before."""
     t, omitted = bare(text)
-    t = t[-LAST:]
-    lines = [x.strip() for x in t.rsplit("\n", 5)]
-    last, prev = lines[-1], lines[-2] if len(lines) > 1 else ""
+    lines = last_lines(t)
+    last, prev, third = ["", "", *lines][-1], ["", "", *lines][-2], ["", "", *lines][-3]
     line = re.sub(r"\d+", "9", last)
     words = line.split()
-    folded = [fold(w) for w in words]
+    folded, before, above = ([fold(w) for w in re.sub(r"\d+", "9", x).split()] for x in (last, prev, third))
     f = ["w" + w for w in words] + ["v" + w for w in folded] + [f"b{a} {b}" for a, b in zip(folded, folded[1:])]
     s = f"^{' '.join(folded)}$"
     for n in (3, 4):
@@ -101,60 +136,25 @@ def features(text: str) -> np.ndarray:
     e = line.lower()[::-1][:10]
     f += [f"e{k}{e[:k]}" for k in range(1, 8)]
     f += [f"F{folded[0]}", f"L{folded[-1]}", f"L2{' '.join(folded[-2:])}"] if words else ["none"]
-    shape, before = _shape(last), _shape(prev)
-    f += ["s" + shape, "S" + shape[-9:], "p" + before[:16] + "|" + shape, "P" + " ".join(fold(w) for w in re.sub(r"\d+", "9", prev).split()[:2]) + "|" + shape]
-    here, there = _cues(last), _cues(prev)
-    f += [f"K{k}" for k in here] + [f"J{k}|{shape}" for k in there] + [f"k{k}|{shape[:8]}" for k in here] + [f"j{bool(here)}{bool(there)}{min(3, len(words))}"]
+    shape, shape_b, shape_a = _shape(last), _shape(prev), _shape(third)
+    f += ["s" + shape, "S" + shape[-9:], "p" + shape_b[:16] + "|" + shape, "P" + " ".join(before[:2]) + "|" + shape]
+    f += ["x" + w for w in before] + ["y" + w for w in above] + ["X" + shape_b, f"Y{shape_a}|{shape_b}|{shape}", "X2" + " ".join(before[:2]), "Y2" + " ".join(above[:2])]
     letters = [c for c in last if c.isalpha()]
     f += [f"c{round(4 * sum(c.isupper() for c in letters) / len(letters)) if letters else -1}", f"n{min(8, len(words))}"]
-    end = prev[-1:]
-    f.append("q" + ("a" if end.isalpha() else end))
-    width = max(map(len, lines[1:] if len(lines) > 2 else lines))
-    f += [f"l{round(4 * len(last) / max(width, 1))}", f"o{omitted}", f"z{bool(_STOP.search(t))}{bool(_SHORT.search(t))}"]
+    end, end_a = ("a" if x[-1:].isalpha() else x[-1:] for x in (prev, third))
+    f += ["q" + end, "Q" + end_a + end]
+    # the unfinished sentence: where it begins and how it goes on
+    block = "\n".join(lines)
+    stop = max((m.end() for m in _INNER_STOP.finditer(block)), default=-1)
+    rest = block[max(stop, 0):].lstrip("\"”“»'’)] ")
+    begins = f"{stop >= 0}{rest[:1] == chr(10)}{min(4, rest.strip().count(chr(10)))}"
+    opening = (rest.strip().split("\n") or [""])[0]
+    f += ["u" + begins, f"U{begins}|{shape}", f"t{begins}|{_shape(opening)[:12]}", f"T{begins}|{' '.join(map(fold, opening.split()[:1]))}", f"R{begins}|{shape_b}|{shape}"]
+    width = max([1, *map(len, lines[1:] if len(lines) > 2 else lines)])
+    f += [f"l{round(4 * len(last) / width)}", f"m{round(4 * len(prev) / width)}{round(4 * len(third) / width)}", f"o{omitted}", f"z{bool(_STOP.search(t))}{bool(_UNSURE.search(t))}"]
     return np.unique(np.fromiter((xxhash.xxh32_intdigest(x) & (SIZE - 1) for x in f), np.int64, len(f)))
 
 
-_PRICE = re.compile(r"[.,]\s+\d+\s?/\s?\d+$")
-_SIGNED = re.compile(r"^[—–-]\s?[A-Z0-9]\.(?:\s?[A-Z]\.)*\s?\w+$")
-
-
-# Initials and a name; "M." stands for a title in French prose.
-_INITIALS = re.compile(r"^(?!M\.)[A-Z]\.\s(?:[A-Z]\.\s)*\w{3,}$")
-
-
-def ornament(text: str) -> bool:
-    """Ends with a line of its own of at least three strokes, stars or spaced points."""
-    last = text.rstrip().rsplit("\n", 1)[-1].strip(" |·•°¦`´'")
-    strokes = sum(c in "*—–-._=~#" for c in last)
-    return "\n" in text.rstrip() and strokes >= 3 and not any(c.isalnum() for c in last) and last not in ("...", "....")
-
-
-def announced(text: str) -> bool:
-    """Ends with a line that is plainly none of running prose: an ornament, a price after leaders, a signature after a dash or, below a finished sentence, with initials, or at most four words
-    of which one announces a pointer, an imprint or an advert (the name of a place may follow after a comma or hyphen)."""
-    if ornament(text):
-        return True
-    t, omitted = bare(text)
-    lines = [x.strip() for x in t[-LAST:].rsplit("\n", 2)]
-    last, prev = lines[-1], lines[-2] if len(lines) > 1 else ""
-    if not last or not any(c.isalnum() for c in last):
-        return not omitted and bool(text.strip())
-    if omitted:
-        return False
-    if _PRICE.search(last) or _SIGNED.match(last) or _INITIALS.match(last) and _STOP.search(prev):
-        return True
-    words = last.split()
-    plain = lambda line: any("~" not in k for k in _cues(line))
-    if len(words) <= 4 and plain(last):
-        return True
-    follows = len(words) <= 2 and prev[-1:] in (",-=~¬" if last[:1].isupper() else "-=~¬")
-    return bool(prev) and follows and len(prev.split()) <= 5 and plain(prev)
-
-
-def closed(text: str) -> bool:
-    return finished(text) or announced(text)
-
-
 @dataclass
 class Model:
     weights: np.ndarray
@@ -169,11 +169,12 @@ class Model:
 
 
 def fit(rows: list[np.ndarray], y: np.ndarray, weight: np.ndarray, epochs: int = 8, batch: int = 64, rate: float = 0.5, seed: int = 1) -> Model:
-    """Logistic regression by AdaGrad; the same rows in the same order give the same model."""
+    """Logistic regression by AdaGrad, averaged over the later half of the epochs; the same rows in the same order give the same model."""
     w, b, g2 = np.zeros(SIZE), 0.0, np.full(SIZE, 1e-6)
     n = np.array([len(r) for r in rows])
     rng, order = np.random.default_rng(seed), np.arange(len(rows))
-    for _ in range(epochs):
+    kept, late = [np.zeros(SIZE), 0.0], epochs - epochs // 2
+    for epoch in range(epochs):
         rng.shuffle(order)
         for k in range(0, len(order), batch):
             o = order[k:k + batch]
@@ -185,7 +186,9 @@ def fit(rows: list[np.ndarray], y: np.ndarray, weight: np.ndarray, epochs: int =
             g2[used] += g * g
             w[used] -= rate * g / np.sqrt(g2[used])
             b -= 0.05 * err.mean()
-    return Model(w, b)
+        if epoch >= epochs - late:
+            kept = [kept[0] + w / late, kept[1] + b / late]
+    return Model(*kept)
 
 
 def _quantile(x: np.ndarray, n: np.ndarray, q: float) -> float:
@@ -247,25 +250,37 @@ class Evidence:
         return np.interp(scores, *self.curve)
 
 
-def learn(rows: list[np.ndarray], cut: np.ndarray, half: np.ndarray, done: np.ndarray, rounds: int = 3) -> Evidence:
+def odds(p):
+    """Logarithm of p to 1-p."""
+    return np.log(p) - np.log1p(-p)
+
+
+def share_of_cut(ratio: np.ndarray, count: np.ndarray, start: float, rounds: int = 30) -> float:
+    """Share of cut texts among some with these log likelihood ratios, `count` of each, by expectation maximisation."""
+    share = min(max(start, 1e-3), 0.5)
+    for _ in range(rounds if len(ratio) else 0):
+        share = float(np.clip(np.average(1 / (1 + np.exp(-(ratio + odds(share)))), weights=count), 1e-3, 0.9))
+    return share
+
+
+def learn(rows: list[np.ndarray], cut: np.ndarray, half: np.ndarray, done: np.ndarray, censored: np.ndarray | None = None) -> Evidence:
     """Fit from features of endings: `cut` 1 for texts that were cut on purpose, 0 for texts as they are; `half` is 0 or 1, `done` tells
-    which texts end with a finished sentence.
+    which texts end with a finished sentence, and `censored` is the chance that a text was cut as its length alone tells.
 
-    As some of the texts as they are were cut before, they get, after each fit, the weight of their chance to be whole. The curve is
-    about unfinished endings only.
+    Some of the texts as they are were cut before. What tells them apart here is their length alone, never the model's own opinion: an unfinished text counts as a
+    whole one as far as its length isn't at a limit. The curve is about unfinished endings only.
     """
     y, weight = cut.astype(float), np.ones(len(cut))
     unsure = np.flatnonzero((y == 0) & ~done)
-    for _ in range(rounds):
-        models = []
-        for h in (0, 1):
-            at = np.flatnonzero(half == h)
-            models.append(fit([rows[i] for i in at], y[at], weight[at]) if len(at) else Model(np.zeros(SIZE), 0.0))
-        found = Evidence((models[0], models[1]), (np.zeros(1), np.zeros(1)))
-        z = found.scores(rows, half)
-        found.cuts = z[(y == 1) & ~done]
-        *curve, found.share = likelihood_curve(z[unsure], found.cuts)
-        found.curve = tuple(curve)
-        odds = np.exp(found.log_ratio(z[unsure])) * found.share / (1 - found.share)
-        weight[unsure] = 1 / (1 + odds)
+    if censored is not None:
+        weight[unsure] = 1 - np.clip(np.asarray(censored, float)[unsure], 0.0, 1.0)
+    models = []
+    for h in (0, 1):
+        at = np.flatnonzero(half == h)
+        models.append(fit([rows[i] for i in at], y[at], weight[at]) if len(at) else Model(np.zeros(SIZE), 0.0))
+    found = Evidence((models[0], models[1]), (np.zeros(1), np.zeros(1)))
+    z = found.scores(rows, half)
+    found.cuts = z[(y == 1) & ~done]
+    *curve, found.share = likelihood_curve(z[unsure], found.cuts)
+    found.curve = tuple(curve)
     return found

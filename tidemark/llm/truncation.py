@@ -1,8 +1,9 @@
 """Texts cut off by field limits or in transfer.
 
-Three stages: endings are judged by a classifier (see `endings`), lengths by a right-censored distribution per source whose censoring
-points show as piles of equal lengths, and both are combined into the chance that a text was cut. Per text, only its id, source, lengths and score
-go beyond the first stage.
+The lengths of every source are fitted with a right-censored distribution whose candidate limits show as piles of equal lengths, and all of them are searched for a
+block size of transfers, of which cut texts are whole multiples. That gives each text the chance that it was cut, by its length (`censored`). With it the
+classifier of endings is taught which texts are whole (see `endings`), and with it the likelihood ratio of an ending becomes a posterior. Per text, only its
+id, source, lengths and score go beyond the stage that reads texts.
 """
 
 from __future__ import annotations
@@ -121,34 +122,76 @@ def limits_of_source(hist: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["_src", "unit", "length", "limit", "at_limit", "censored", "mu", "sigma"])
 
 
+BLOCKS = [1 << k for k in range(6, 17)]
+
+
+def block_size(counts: dict[int, tuple[float, float]], n: float) -> tuple[int, float] | None:
+    """The size of transfer blocks and the share of texts at a multiple of it that were cut there, or None.
+
+    `counts` has, by size, how many of `n` texts end at a multiple and how many would by chance. The size with the most significant excess holds:
+    half of it has the same excess among twice as many by chance, the double has half of the excess.
+    """
+    signal = {b: (seen - chance) / math.sqrt(chance + 1) for b, (seen, chance) in counts.items()}
+    best = max(signal, key=lambda b: (signal[b], b), default=None)
+    if best is None or signal[best] < 5:
+        return None
+    seen, chance = counts[best]
+    return best, min(0.999, (seen - chance) / seen)
+
+
 # -- the whole
 
-def _training_rows(docs: DataFrame, sample: int, cuts: int) -> pd.DataFrame:
-    """Features of about `sample` texts as they are and of each cut at `cuts` random places; only features come to the driver."""
-    n = docs.count()
+def _lengths(rows: DataFrame, **sums: Column) -> DataFrame:
+    """Histogram of both lengths by source."""
+    long = rows.select("_src", *[c.alias(n) for n, c in sums.items()], F.explode(F.array(
+        F.struct(F.lit("chars").alias("unit"), F.col("n_chars").alias("length")), F.struct(F.lit("bytes").alias("unit"), F.col("n_bytes").alias("length"))
+    )).alias("_l"))
+    return long.groupBy("_src", F.col("_l.unit").alias("unit"), F.col("_l.length").alias("length")).agg(F.count(F.lit(1)).alias("n"), *[F.sum(n).alias(n) for n in sums])
+
+
+def _piles(hist: DataFrame) -> DataFrame:
+    return cut_lineage(hist.groupBy("_src").applyInPandas(limits_of_source, LIMITS))
+
+
+def _with_censoring(rows: DataFrame, piles: DataFrame) -> DataFrame:
+    """Add `censored`: the chance to have been cut at a limit of its source, 0 for lengths in no pile."""
+    for unit, length in (("chars", "n_chars"), ("bytes", "n_bytes")):
+        part = piles.where(F.col("unit") == unit).select(F.col("_src").alias(f"_{unit}s"), F.col("length").alias(f"_{unit}"), F.col("censored").alias(f"_{unit}c"))
+        rows = rows.join(part, (F.col("_src") == F.col(f"_{unit}s")) & (F.col(length) == F.col(f"_{unit}")), "left").drop(f"_{unit}s", f"_{unit}")
+    zero = F.lit(0.0)
+    return rows.withColumn("censored", F.greatest(F.coalesce("_charsc", zero), F.coalesce("_bytesc", zero))).drop("_charsc", "_bytesc")
+
+
+def _training_rows(docs: DataFrame, n: int, piles: DataFrame, sample: int, cuts: int) -> pd.DataFrame:
+    """Features of about `sample` of the `n` texts as they are and of each cut at `cuts` random places; only features come to the driver."""
     keep = docs.where(F.pmod(F.xxhash64("_hash", F.lit(7)), F.lit(1 << 20)) < F.lit(int(min(1.0, sample / max(n, 1)) * (1 << 20))))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
-            for h, t in zip(b["_hash"], b["text"]):
-                rows.append((h, 0, endings.closed(t), endings.features(t).tolist()))
-                if len(t) > 120:
-                    rng = np.random.default_rng(xxhash.xxh64_intdigest(t[:4096]))
-                    for k, p in enumerate(rng.integers(60, len(t) - 1, cuts)):
-                        rows.append((h, k + 1, endings.closed(t[:p]), endings.features(t[:p]).tolist()))
-            yield pd.DataFrame(rows, columns=["h", "k", "done", "f"])
-
-    found = keep.select("_hash", "text").mapInPandas(run, "h bigint, k int, done boolean, f array<int>").toPandas()
+            for h, c, t in zip(b["_hash"], b["censored"], b["text"]):
+                rows.append((h, 0, c, endings.closed(t), endings.features(t).tolist()))
+                rng = np.random.default_rng(xxhash.xxh64_intdigest(t))
+                rows += [(h, k, 0.0, endings.closed(t[:p]), endings.features(t[:p]).tolist()) for k, p in enumerate(endings.prose_places(t, rng, cuts), 1)]
+            yield pd.DataFrame(rows, columns=["h", "k", "c", "done", "f"])
+
+    marked = _with_censoring(keep, piles).select("_hash", "censored", "text")
+    found = marked.mapInPandas(run, "h bigint, k int, c double, done boolean, f array<int>").toPandas()
     most = found.loc[found.k == 0].nsmallest(sample, "h")["h"] if len(found) else found["h"]
-    return found[found.h.isin(set(most))].sort_values(["h", "k"]).reset_index(drop=True)
+    return found[found.h.isin(set(most))].sort_values(["h", "k", "c"]).reset_index(drop=True)
 
 
-def _of_all(scored: DataFrame, evidence: endings.Evidence) -> tuple[tuple[np.ndarray, np.ndarray], float]:
-    """The curve and the share of cut ones among open endings, from the scores of all texts; a histogram of these comes to the driver."""
-    bins = scored.where(~F.col("closed")).groupBy(F.round(F.col("score") * BINS).try_cast("bigint").alias("_b")).agg(F.count(F.lit(1)).alias("n"))
+def _score_counts(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Histogram of the scores of open endings, which comes to the driver: at most `BINS` bins for each unit of score."""
+    bins = rows.where(~F.col("closed")).groupBy(F.round(F.col("score") * BINS).try_cast("bigint").alias("_b")).agg(F.count(F.lit(1)).alias("n"))
     hist = bins.toPandas().sort_values("_b")
-    *curve, share = endings.likelihood_curve(hist["_b"].to_numpy(float) / BINS, evidence.cuts, hist["n"].to_numpy(float))
+    return hist["_b"].to_numpy(float) / BINS, hist["n"].to_numpy(float)
+
+
+def _of_all(scored: DataFrame, evidence: endings.Evidence) -> tuple[tuple[np.ndarray, np.ndarray], float]:
+    """The curve and the share of cut ones among open endings, from the scores of all texts."""
+    score, n = _score_counts(scored)
+    *curve, share = endings.likelihood_curve(score, evidence.cuts, n)
     return tuple(curve), share
 
 
@@ -162,29 +205,45 @@ def _along(score: Column, at: np.ndarray, value: np.ndarray) -> Column:
     return low + (high - low) * (place - i)
 
 
+def _at_block(size: int) -> Column:
+    """A multiple of the size lies between the text's bytes without and with the marks behind it."""
+    return (F.floor(F.col("n_bytes") / F.lit(size)) * F.lit(size) >= F.greatest(F.col("_bare"), F.lit(1))) & (F.col("n_bytes") >= size)
+
+
+def _blocks(rows: DataFrame) -> tuple[int, float] | None:
+    """The block size among texts that are in no pile; a row of counts comes to the driver."""
+    by_chance = lambda b: F.sum(F.when(F.col("n_bytes") >= b, F.least(F.lit(1.0), (F.col("n_bytes") - F.col("_bare") + 1) / F.lit(float(b)))))
+    wanted = [x for b in BLOCKS for x in (F.count_if(_at_block(b)).alias(f"seen{b}"), by_chance(b).alias(f"chance{b}"))]
+    got = rows.where(F.col("censored") == 0).agg(F.count(F.lit(1)).alias("n"), *wanted).first()
+    return block_size({b: (float(got[f"seen{b}"]), float(got[f"chance{b}"] or 0.0)) for b in BLOCKS}, got["n"])
+
+
 def truncated(
-    docs: DataFrame, id: str = "doc_id", text: str = "text", source: str = "source", sample: int = 12_000, cuts: int = 2,
+    docs: DataFrame, id: str = "doc_id", text: str = "text", source: str = "source", sample: int = 20_000, cuts: int = 2, use_lengths: bool = True,
 ) -> tuple[DataFrame, DataFrame]:
     """The chance of every text to be cut off, and the limits of every source.
 
     Returns (scores, limits). `scores` has one row per text that isn't null or blank: id, source, `n_chars`, `n_bytes`, `at_limit` (its
-    length is in a pile), `closed` (ends with a sentence or an announcing line), `log_ratio` of the ending evidence and `p_cut`. Closed
+    length is in a pile or at a block), `censored` (chance to be cut, by length), `closed` (ends with a sentence or an ornament), `log_ratio` of the ending evidence and `p_cut`. Closed
     texts have `p_cut` 0. `limits` has one row per source and limit: `unit` (chars or bytes), `limit`, `at_limit`, the share of them that
-    is `censored`, and the fitted `mu` and `sigma` of the logarithm of length.
+    is `censored`, and the fitted `mu` and `sigma` of the logarithm of length; a size of transfer blocks is a row of unit `block` without a source.
 
     The classifier is fitted on at most `sample` texts; everything else covers all of them, also the curve and the share of cut ones that its scores
-    are read with. Null sources form a source of their own. Rows
-    with the same id are separate texts. Null, empty and blank texts aren't in the result; very long texts are read whole for their lengths,
-    while an ending is judged by its last lines. Extra columns are ignored. Empty tables give empty results.
+    are read with. `use_lengths` False leaves the censoring out, to show what it decides. Null sources form a source of their own. Rows
+    with the same id are separate texts. Null, empty and blank texts aren't in the result; texts of any length are read whole. Extra columns are ignored. Empty tables give empty results.
     """
     ship(docs.sparkSession)
     named = docs.select(
-        F.col(id).alias("_id"), F.col(source).alias("_source"), F.col(text).alias("text"), F.xxhash64(F.col(id), F.length(text)).alias("_hash")
+        F.col(id).alias("_id"), F.col(source).alias("_source"), F.coalesce(F.col(source), F.lit(NO_SOURCE)).alias("_src"), F.col(text).alias("text"),
+        F.xxhash64(F.col(id), F.length(text)).alias("_hash"), F.length(text).cast("bigint").alias("n_chars"), F.octet_length(text).cast("bigint").alias("n_bytes"),
     ).where(F.col("text").rlike(r"[^\s\u00a0]"))
-    train = _training_rows(named, sample, cuts)
-    rows = [np.asarray(f, np.int64) for f in train["f"]]
+    # Every text might be cut as far as its ending goes, which hasn't been read yet.
+    first = cut_lineage(_lengths(named).withColumn("cut", F.col("n").cast("double")))
+    n = first.where("unit = 'chars'").agg(F.sum("n")).first()[0] or 0
+    train = _training_rows(named, n, _piles(first.where(F.lit(use_lengths))), sample, cuts)
+    rows = [np.asarray(f, np.int32) for f in train["f"]]
     cut, half = (train["k"].to_numpy() > 0).astype(int), (train["h"].to_numpy() & 1).astype(int)
-    evidence = endings.learn(rows, cut, half, train["done"].to_numpy(bool))
+    evidence = endings.learn(rows, cut, half, train["done"].to_numpy(bool), train["c"].to_numpy(float))
     shared = docs.sparkSession.sparkContext.broadcast(evidence)  # two vectors of endings.SIZE
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -195,51 +254,50 @@ def truncated(
             open_ = np.flatnonzero(~closed)
             feats = [endings.features(b["text"].iloc[i]) for i in open_]
             score[open_] = e.scores(feats, (b["_hash"].to_numpy()[open_] & 1).astype(int))
-            yield b[["_id", "_source", "_hash"]].assign(
-                n_chars=[len(t) for t in b["text"]], n_bytes=[len(t.encode("utf-8", "surrogatepass")) for t in b["text"]], closed=closed, score=score
-            )
+            bare = [len(endings.bare(t)[0].encode("utf-8", "surrogatepass")) for t in b["text"]]
+            yield b[["_id", "_source", "_src", "n_chars", "n_bytes"]].assign(_bare=bare, closed=closed, score=score)
 
     kind = dict(named.dtypes)["_id"]
-    scored = cut_lineage(
-        named.mapInPandas(score, f"_id {kind}, _source string, _hash bigint, n_chars bigint, n_bytes bigint, closed boolean, score double")
-    ).withColumn("_src", F.coalesce("_source", F.lit(NO_SOURCE)))
+    scored = cut_lineage(named.mapInPandas(score, f"_id {kind}, _source string, _src string, n_chars bigint, n_bytes bigint, _bare bigint, closed boolean, score double"))
     curve, share = _of_all(scored, evidence)
-    scored = scored.withColumn("log_ratio", F.when(F.col("closed"), F.lit(-8.0)).otherwise(_along(F.col("score"), *curve))).drop("score")
-    # the share of cut ones among open endings, by source, drawn to that of all sources
-    base = math.log(share / (1 - share))
+    scored = scored.withColumn("log_ratio", F.when(F.col("closed"), F.lit(-8.0)).otherwise(_along(F.col("score"), *curve)))
     chance = lambda odds: 1 / (1 + F.exp(-odds))
-    by_ending = F.when(F.col("closed"), F.lit(0.0)).otherwise(chance(F.col("log_ratio") + base))
-    lengths = scored.select("_src", by_ending.alias("_e"), F.explode(F.array(
-        F.struct(F.lit("chars").alias("unit"), F.col("n_chars").alias("length")), F.struct(F.lit("bytes").alias("unit"), F.col("n_bytes").alias("length"))
-    )).alias("_l"))
-    hist = lengths.groupBy("_src", F.col("_l.unit").alias("unit"), F.col("_l.length").alias("length")).agg(
-        F.count(F.lit(1)).alias("n"), F.sum("_e").alias("cut")
+    by_ending = lambda share: F.when(F.col("closed"), F.lit(0.0)).otherwise(chance(F.col("log_ratio") + float(endings.odds(share))))
+    piles = _piles(_lengths(scored.where(F.lit(use_lengths)), cut=by_ending(share)))
+    marked = _with_censoring(scored, piles)
+    block = _blocks(marked) if use_lengths and n else None
+    if block:
+        marked = marked.withColumn("censored", F.when((F.col("censored") == 0) & _at_block(block[0]), F.lit(block[1])).otherwise(F.col("censored")))
+    # Cut ones among open endings of all other lengths: their share in all sources, and that of a source drawn to it.
+    away = marked.where(F.col("censored") == 0)
+    scores, counts = _score_counts(away)
+    elsewhere = endings.share_of_cut(np.interp(scores, *curve), counts, share)
+    shares = away.where(~F.col("closed")).groupBy(F.col("_src").alias("_shs")).agg(
+        ((F.sum(by_ending(elsewhere)) + 20 * elsewhere) / (F.count(F.lit(1)) + 20)).alias("_share")
     )
-    piles = cut_lineage(hist.groupBy("_src").applyInPandas(limits_of_source, LIMITS))
-    open_rows = scored.where(~F.col("closed"))
-    shares = open_rows.groupBy("_src").agg(((F.sum(by_ending) + 20 * share) / (F.count(F.lit(1)) + 20)).alias("_share"))
-    # A pile's share is about all texts. Among whole texts only some end openly, which raises the odds of those that do.
+    # The chance by length is about all texts. Among whole texts only some end openly, which raises the odds of those that do.
     total = scored.agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.col("closed")).alias("o")).first()
     whole_open = max(1e-3, (total["o"] * (1 - share)) / max(1, total["n"] - total["o"] * share))
-    pile = lambda unit, col: piles.where(F.col("unit") == unit).select(
-        F.col("_src").alias(f"_{unit}s"), F.col("length").alias(f"_{unit}"), F.col("censored").alias(f"_{unit}c"))
-    joined = (
-        scored.join(pile("chars", "n_chars"), (F.col("_src") == F.col("_charss")) & (F.col("n_chars") == F.col("_chars")), "left")
-        .join(pile("bytes", "n_bytes"), (F.col("_src") == F.col("_bytess")) & (F.col("n_bytes") == F.col("_bytes")), "left")
-        .join(shares.withColumnRenamed("_src", "_shs"), F.col("_src") == F.col("_shs"), "left")
-    )
     odds = lambda p: F.log(p / (1 - p))
-    at = F.greatest(F.coalesce("_charsc", F.lit(0.0)), F.coalesce("_bytesc", F.lit(0.0)))
-    by_length = odds(F.least(F.greatest(at, F.lit(1e-6)), F.lit(0.999))) - math.log(whole_open)
-    by_source = odds(F.least(F.greatest(F.coalesce("_share", F.lit(share)), F.lit(1e-4)), F.lit(0.999)))
-    p = F.when(F.col("closed"), F.lit(0.0)).otherwise(chance(F.greatest(by_length, by_source) + F.col("log_ratio")))
-    scores = joined.select(
-        F.col("_id").alias(id), F.col("_source").alias(source), "n_chars", "n_bytes", (at > 0).alias("at_limit"), "closed", "log_ratio", p.alias("p_cut")
+    bounded = lambda c, low: F.least(F.greatest(c, F.lit(low)), F.lit(0.999))
+    by_length = odds(bounded(F.col("censored"), 1e-6)) - math.log(whole_open)
+    by_source = odds(bounded(F.coalesce("_share", F.lit(elsewhere)), 1e-4))
+    prior = F.when(F.col("censored") > 0, F.greatest(by_length, by_source)).otherwise(by_source)
+    p = F.when(F.col("closed"), F.lit(0.0)).otherwise(chance(prior + F.col("log_ratio")))
+    joined = marked.join(shares, F.col("_src") == F.col("_shs"), "left")
+    result = joined.select(
+        F.col("_id").alias(id), F.col("_source").alias(source), "n_chars", "n_bytes", (F.col("censored") > 0).alias("at_limit"), "censored", "closed", "log_ratio", p.alias("p_cut")
     )
     limits = piles.groupBy(F.when(F.col("_src") != NO_SOURCE, F.col("_src")).alias("source"), "unit", "limit").agg(
         *[F.max(c).alias(c) for c in ("at_limit", "censored", "mu", "sigma")]
     )
-    return scores, limits
+    if block:
+        found = marked.where(_at_block(block[0]) & (F.col("censored") == block[1])).agg(F.count(F.lit(1)).alias("at_limit"))
+        none = F.lit(None).cast("double")
+        limits = limits.unionByName(found.select(
+            F.lit(None).cast("string").alias("source"), F.lit("block").alias("unit"), F.lit(block[0]).cast("bigint").alias("limit"), "at_limit", F.lit(block[1]).alias("censored"),
+            none.alias("mu"), none.alias("sigma")))
+    return result, limits
 
 
 def truncation_report(scores: DataFrame, source: str = "source", least: float = 0.5) -> DataFrame:
