@@ -1,8 +1,8 @@
 import datetime as dt
-import itertools
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.functions import matching
 from tidemark.operators import drift
@@ -98,16 +98,60 @@ def test_kind_of_text(text, kind):
     assert matching.text_kind(text) == kind
 
 
-def test_flooding_finds_spellings_and_leaves_absent_fields_out():
-    rest = {"run_id": 2, "symbol": 2, "n_bars": 0, "win_rate": 1, "git_dirty": 2, "flags": 3}
-    trades = [None, "n_trades", "trades", "tradeCount", "stats.n_trades", "NUM_TRADES", "trades.count"]
-    commits = [None, "git_commit", "gitSha", "commit", "vcs.revision", "build.git_commit"]
-    for a, b, kind in itertools.product(trades, commits, (0, 2, None)):
-        found = matching.correspond({**rest, **{n: kind for n in (a, b) if n}}, drift.METRICS_TARGET)
-        assert (found.get("n_trades"), found.get("git_commit")) == (a, b)
-    assert matching.correspond({}, drift.BARS_TARGET) == {}
+def scores_of(spark, rows, kind="metrics_json"):
+    schemas = drift.file_schemas(drift.parse_lines(spark.createDataFrame(rows, SCHEMA)))
+    return {r["name"]: {x["field"]: x["score"] for x in r["scores"]} for r in drift.spelling_scores(schemas, TARGETS).where(f"kind = '{kind}'").collect()}
+
+
+def test_flooding_beats_names_alone(spark):
+    """A spelling that shares no word with its target takes its similarity from the spellings it takes turns with; fields that come and go by themselves get none."""
+    rows, want = [], set()
+    sha = lambda i: f"{i:040x}".replace("0", "a")
+    for s in range(6):
+        for day in range(1, 5):
+            doc = {"run_id": f"r{day}", "git_dirty": False, "n_bars": 9}
+            doc |= {"n_trades": day} if day < 3 else {"deal.tally": day}
+            doc |= {"git_commit": sha(day)} if day != 3 else {"vcs": {"revision": sha(day)}}
+            doc |= {"host": "abc"} if (s + day) % 2 else {}
+            rows += lines(f"m{s}", "metrics_json", day, [json.dumps(doc)])
+        want |= {(f"m{s}/3", "n_trades", "renamed"), (f"m{s}/3", "git_commit", "renamed"), (f"m{s}/4", "git_commit", "renamed")}
+    names = matching.rarity(drift.METRICS_TARGET)
+    assert matching.name_similarity("vcs.revision", "git_commit", names) < 0.05 and matching.name_similarity("deal.tally", "n_trades", names) < 0.05
+    assert changes(spark, rows) == want
+    scores = scores_of(spark, rows)
+    assert "host" not in scores and max(scores["vcs.revision"], key=scores["vcs.revision"].get) == "git_commit" and max(scores["deal.tally"], key=scores["deal.tally"].get) == "n_trades"
+
+
+def test_turns_need_streams_without_both():
+    turns = matching.turn_shares({("a", "b"): 3, ("b", "a"): 3}, {("c", "b"): 3, ("b", "c"): 3}, {"a": 3, "b": 3, "c": 3})
+    assert turns["a", "b"] > 0.5 and ("c", "b") not in turns
+    mixed = matching.turn_shares({("a", "b"): 1, ("b", "a"): 1}, {("a", "b"): 5, ("b", "a"): 5}, {"a": 6, "b": 6})
+    assert mixed["a", "b"] < 0.02
+
+
+def test_absent_fields_stay_without_a_partner(spark):
+    rows = [r for day in (1, 2, 3) for r in lines("s", "bars_csv", day, [f"{BASE},vwap,flags" if day == 2 else BASE, "t,1,1,1,1,1,5.5,1"])]
+    assert changes(spark, rows) == set()
+    assert set(scores_of(spark, rows, "bars_csv")) == set(BASE.split(","))
+
+
+def test_choice_is_one_to_one():
+    assert matching.choose({"a": [("x", 0.9), ("y", 0.8)], "b": [("x", 0.7), ("y", 0.3)], "c": []}) == {"x": "a", "y": "b"}
+    assert matching.choose({}) == {}
 
 
 def test_flooding_converges_to_scores_up_to_one():
-    scores = matching.flood({"open": 1, "hi": 1, "vol": 0}, drift.BARS_TARGET)
-    assert max(scores.values()) <= 1 and scores["open", "open"] == max(scores.values())
+    source = {"open": {1: 3}, "hi": {1: 3}, "vol": {0: 2, 2: 1}, "empty": {}}
+    scores = matching.flood(source, drift.BARS_TARGET)
+    assert max(scores.values()) <= 1 and max(scores, key=scores.get) == ("open", "open")
+    assert all(abs(v - matching.flood(source, drift.BARS_TARGET, rounds=400)[p]) < 1e-4 for p, v in scores.items())
+    assert matching.flood({}, drift.BARS_TARGET) == {}
+
+
+@pytest.mark.parametrize("text,want", [
+    ("78", 78), ("~78", 78), ("#132", 132), ("1,107", 1107), ("0.2k", 200), ("3 lots", 3), ("9?", 9), (" -4 ", -4), ("9.00e-01", 1), ("1e3", 1000), ("12.", 12), (".5", 1), ("2024-01-05", None),
+    ("abc 7 def 9", None), ("1.234,5", None), ("1,10", None), ("7 8", None), ("", None), (None, None), ("NaN", None), ("9" * 40, None), ("1e400", None),
+])
+def test_only_whole_numbers_are_cast(spark, text, want):
+    got = spark.createDataFrame([(text,)], "t string").select(drift.as_number(F.col("t"), "bigint")).first()[0]
+    assert got == want

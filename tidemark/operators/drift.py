@@ -1,8 +1,8 @@
 """Schemas that drift between files.
 
-Lines are parsed where they lie; per file only the spelled fields with the widest kind of their values are gathered. Each
-file's schema is matched with the target schema by similarity flooding, files are windowed in their stream to report
-changes, and the correspondences go back to the lines to cast and union them.
+Lines are parsed where they lie; per file only the spelled fields with the widest kind of their values are gathered. How often spellings have which kinds, and
+which of them take turns in a stream, is counted over all files, and similarity flooding on that graph scores every spelling against the target schema. Each file
+then chooses its correspondences, files are windowed in their stream to report changes, and the correspondences go back to the lines to cast and union them.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import matching
 from tidemark.functions.cols import require
-from tidemark.session import ship
+from tidemark.session import cut_lineage, ship
 
 # Fields and kinds of the two file formats (fixed values; indices of matching.KINDS).
 BARS_TARGET = {"time": 2, "open": 1, "high": 1, "low": 1, "close": 1, "tick_volume": 0, "spread": 0, "real_volume": 0}
@@ -30,6 +30,8 @@ METRICS_TARGET = {
 }
 DELIMITERS = ",;\t|"
 FILE = ["stream_id", "file_name"]
+SALT = 16  # parts in which the lines of a file may meet their header
+LEAST = 0.25  # similarity, of at most 1, below which a spelling is no match
 _ENTRY = "array<struct<name:string,kind:int,value:string>>"
 
 
@@ -122,10 +124,11 @@ def parse_lines(raw: DataFrame, once: bool = True) -> DataFrame:
     is_csv = F.coalesce(F.col("kind") == "bars_csv", F.lit(False))
     heads = (
         raw.where(is_csv & (F.col("line_no") == 1)).groupBy(*FILE).agg(F.max("line_text").alias("header"))
-        .select(F.col("stream_id").alias("_hs"), F.col("file_name").alias("_hf"), "header")
+        .select(F.col("stream_id").alias("_hs"), F.col("file_name").alias("_hf"), "header", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("_part"))
     )
-    # only lines that need a header meet the headers
-    with_head = lines.where(is_csv).join(heads, (F.col("stream_id") == F.col("_hs")) & (F.col("file_name") == F.col("_hf")), "left").drop("_hs", "_hf")
+    # only lines that need a header meet the headers; a file's lines are spread, so a giant file is no hot key
+    part = F.pmod(F.col("line_no"), F.lit(SALT)) == F.col("_part")
+    with_head = lines.where(is_csv).join(heads, (F.col("stream_id") == F.col("_hs")) & (F.col("file_name") == F.col("_hf")) & part, "left").drop("_hs", "_hf", "_part")
     joined = with_head.unionByName(lines.where(~is_csv).withColumn("header", F.lit(None).cast("string")))
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -145,34 +148,102 @@ def parse_lines(raw: DataFrame, once: bool = True) -> DataFrame:
     return joined.mapInPandas(read, schema)
 
 
+def look(value: Column) -> Column:
+    """What a value looks like: the kind of its signs and the magnitude of its length."""
+    signs = F.when(value.rlike(r"^[\[{]"), "list").when(value.rlike("^[0-9]+$"), "digits").when(value.rlike("^[A-Za-z]+$"), "letters").when(
+        value.rlike("^[0-9A-Za-z]+$"), "both").when(value.rlike("^[0-9.eE+-]+$"), "number").otherwise("signs")
+    size = F.when(value.rlike(r"^[\[{]"), "").otherwise(F.floor(F.log2(F.greatest(F.length(value), F.lit(1)))).cast("string"))
+    return F.when(value.isNotNull(), F.concat(signs, size))
+
+
 def file_schemas(parsed: DataFrame) -> DataFrame:
-    """One row per file: `fields`, its spelled fields with the index of the widest kind (null: no value), in name order."""
+    """One row per file: `fields`, its spelled fields with the index of the widest kind and a look of their values (null: no value), in name order."""
     fields = parsed.select(*FILE, "kind", "file_date", F.explode_outer("entries").alias("e")).groupBy(*FILE, "kind", F.col("e.name").alias("name"))
-    widest = fields.agg(F.min("file_date").alias("file_date"), F.max("e.kind").alias("widest"))
-    named = F.when(F.col("name").isNotNull(), F.struct("name", "widest"))
+    widest = fields.agg(F.min("file_date").alias("file_date"), F.max("e.kind").alias("widest"), F.max(look(F.col("e.value"))).alias("look"))
+    named = F.when(F.col("name").isNotNull(), F.struct("name", "widest", "look"))
     return widest.groupBy(*FILE, "kind").agg(F.min("file_date").alias("file_date"), F.sort_array(F.collect_list(named)).alias("fields"))
 
 
+def _pairs(names: Column) -> Column:
+    """All pairs of an array of field names, the smaller first."""
+    both = F.flatten(F.transform(names, lambda a: F.transform(F.filter(names, lambda b: a < b), lambda b: F.struct(a.alias("a"), b.alias("b")))))
+    return F.explode(both)
+
+
+def spelling_scores(schemas: DataFrame, targets: dict[str, dict[str, int]], least: float = LEAST) -> DataFrame:
+    """Similarity of every spelling of a kind of files with every target field, by flooding the graph of all its files: `kind`, `name`, `scores`.
+
+    Counted are the files of each spelling by kind and look of their values, the streams in which a spelling is missing at times, and, for pairs of such
+    spellings, the streams in which they share a file or never do. A row of the counts stands for spellings, whose number follows the width of the schemas and not the number of
+    files or lines; those of one kind are flooded in one task.
+    """
+    ship(schemas.sparkSession)
+    stream = ["kind", "stream_id"]
+    names = schemas.select(*stream, "file_name", F.explode("fields").alias("f")).select(*stream, "f.*")
+    looks = names.groupBy("kind", F.col("name").alias("a"), F.col("look").alias("b"), F.col("widest").alias("x")).agg(F.count(F.lit(1)).alias("y"))
+    files = schemas.groupBy(*[F.col(c).alias(f"_{c}") for c in stream]).agg(F.count(F.lit(1)).alias("_files"))
+    same_stream = F.col("kind").eqNullSafe(F.col("_kind")) & F.col("stream_id").eqNullSafe(F.col("_stream_id"))
+    at_times = names.groupBy(*stream, "name").agg(F.count(F.lit(1)).alias("_n")).join(files, same_stream).where(F.col("_n") < F.col("_files")).select(*stream, "name")
+    gaps = at_times.groupBy("kind", F.col("name").alias("a")).agg(F.count(F.lit(1)).alias("y"))
+    sets = at_times.groupBy(*stream).agg(F.collect_list("name").alias("_names"))
+    held = schemas.join(sets.select(F.col("kind").alias("_kind"), F.col("stream_id").alias("_stream_id"), "_names"), same_stream)
+    present = F.array_intersect(F.transform("fields", lambda f: f["name"]), F.col("_names"))
+    shared = held.select(*stream, _pairs(present).alias("p"), F.lit(1).alias("_shared")).unionByName(sets.select(*stream, _pairs(F.col("_names")).alias("p"), F.lit(0).alias("_shared")))
+    pairs = shared.groupBy(*stream, F.col("p.a").alias("a"), F.col("p.b").alias("b")).agg(F.max("_shared").alias("_shared")).groupBy("kind", "a", "b").agg(
+        F.count_if(F.col("_shared") == 0).alias("x"), F.sum("_shared").alias("y"))
+    tagged = lambda df, what, **more: df.select("kind", F.lit(what).alias("what"), "a", *[more.get(c, F.col(c)).alias(c) for c in "bxy"])
+    none = F.lit(None)
+    facts = tagged(looks, "look", x=F.col("x").cast("bigint")).unionByName(tagged(pairs, "pair")).unionByName(tagged(gaps, "gap", b=none.cast("string"), x=none.cast("bigint")))
+
+    def score(facts: pd.DataFrame) -> pd.DataFrame:
+        kind = facts["kind"].iloc[0]
+        kinds, seen, gap, apart, shared = {}, {}, {}, {}, {}
+        for what, a, b, x, y in facts[["what", "a", "b", "x", "y"]].itertuples(index=False):
+            if what == "gap":
+                gap[a] = int(y)
+            elif what == "pair":
+                for p in ((a, b), (b, a)):
+                    apart[p], shared[p] = int(x), int(y)
+            else:
+                of, by = kinds.setdefault(a, {}), seen.setdefault(a, {})
+                if pd.notna(x):
+                    of[int(x)] = of.get(int(x), 0) + int(y)
+                if isinstance(b, str):
+                    by[b] = by.get(b, 0) + int(y)
+        turns = matching.turn_shares({p: n for p, n in apart.items() if n}, shared, gap, seen)
+        found = matching.by_source(matching.flood(dict(sorted(kinds.items())), targets.get(kind, {}), dict(sorted(turns.items())), seen), least)
+        return pd.DataFrame([(kind, s, [{"field": t, "score": v} for t, v in ts]) for s, ts in found.items() if ts], columns=["kind", "name", "scores"])
+
+    return facts.where(F.col("kind").isin(list(targets))).groupBy("kind").applyInPandas(score, "kind string, name string, scores array<struct<field:string,score:double>>")
+
+
 @functools.lru_cache(65_536)
-def _match(fields: tuple, target: tuple) -> list[dict]:
-    source = dict(fields)
-    return [{"field": t, "name": s, "kind": source[s]} for t, s in sorted(matching.correspond(source, dict(target)).items())]
+def _match(fields: tuple) -> list[dict]:
+    kinds = {n: k for n, k, _ in fields}
+    chosen = matching.choose({n: list(scores) for n, _, scores in fields})
+    return [{"field": t, "name": s, "kind": kinds[s]} for t, s in sorted(chosen.items())]
 
 
 def match_files(schemas: DataFrame, targets: dict[str, dict[str, int]]) -> DataFrame:
-    """Adds `matches`: target field, how the file spells it, and its kind. Schemas that are alike are matched once per task."""
+    """Adds `matches`: target field, how the file spells it, and its kind. Schemas that are alike are matched once per task.
 
-    ship(schemas.sparkSession)
-    known = {k: tuple(t.items()) for k, t in targets.items()}
+    The schemas, a row per file, are read several times, so they are written to the checkpoint folder once.
+    """
+    schemas = cut_lineage(schemas)
+    scores = spelling_scores(schemas, targets).select(F.col("kind").alias("_k"), F.col("name").alias("_n"), "scores")
+    fields = schemas.select(*FILE, "kind", "file_date", F.explode_outer("fields").alias("f")).select(*FILE, "kind", "file_date", "f.name", "f.widest")
+    scored = fields.join(scores, (F.col("kind") == F.col("_k")) & (F.col("name") == F.col("_n")), "left")
+    told = F.when(F.col("scores").isNotNull(), F.struct("name", "widest", "scores"))
+    per_file = scored.groupBy(*FILE, "kind", "file_date").agg(F.sort_array(F.collect_list(told)).alias("fields"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            key = [tuple((f["name"], None if f["widest"] is None else int(f["widest"])) for f in fs) for fs in b["fields"]]
-            yield b[[*FILE, "kind", "file_date"]].assign(matches=[_match(f, known.get(k, ())) for k, f in zip(b["kind"], key)])
+            key = [tuple((f["name"], None if f["widest"] is None else int(f["widest"]), tuple((x["field"], x["score"]) for x in f["scores"])) for f in fs) for fs in b["fields"]]
+            yield b[[*FILE, "kind", "file_date"]].assign(matches=[_match(f) for f in key])
 
     kinds = dict(schemas.dtypes)
     schema = ", ".join(f"{c} {kinds[c]}" for c in [*FILE, "kind", "file_date"]) + ", matches array<struct<field:string,name:string,kind:int>>"
-    return schemas.mapInPandas(run, schema)
+    return per_file.mapInPandas(run, schema)
 
 
 def _one_match(field: str) -> Column:
@@ -212,12 +283,19 @@ def schema_changes(matched: DataFrame, fields: dict[str, list[str]]) -> DataFram
     return listed.select(*FILE, F.explode(F.filter("_all", lambda x: x.isNotNull())).alias("_c")).select(*FILE, "_c.*")
 
 
+NUMBER = r"^\s*[~#]?\s*([+-]?(?:\d{1,3}(?:,\d{3})+|\d+)(?:\.\d*)?|[+-]?\.\d+)((?:[eE][+-]?\d+)?)(k?)\??(?:\s+[A-Za-z]+)?\s*$"
+
+
 def as_number(text: Column, kind: str) -> Column:
-    """Cast a value's text; thousands separators, units and marks around a number are taken off, `k` means thousands."""
-    bare = F.regexp_extract(F.regexp_replace(text, ",", ""), r"([+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?)", 1)
-    value = bare.try_cast("double")
-    value = F.when(F.lower(text).rlike(r"^\s*[~#]?[\d.]+k\s*$"), value * 1000).otherwise(value)
-    return F.round(value).cast("bigint") if kind == "bigint" else value
+    """A value's text as a number, or null unless all of it is one number.
+
+    Around the number there may be a mark for "about" or "number" before, a doubt mark, an SI `k` or a unit's name behind; commas may only part groups of three
+    digits. Dates, several numbers and decimal commas are null.
+    """
+    digits = F.regexp_replace(F.regexp_extract(text, NUMBER, 1), ",", "")
+    value = F.concat(digits, F.regexp_extract(text, NUMBER, 2)).try_cast("double")
+    value = F.when(F.regexp_extract(text, NUMBER, 3) == "k", value * 1000).otherwise(value)
+    return F.round(value).try_cast("bigint") if kind == "bigint" else value
 
 
 def unify(parsed: DataFrame, matched: DataFrame, kind: str, columns: dict[str, str]) -> DataFrame:
