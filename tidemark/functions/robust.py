@@ -10,33 +10,28 @@ import numpy as np
 MAD_TO_SIGMA = 1.4826
 
 
-def carry_forward(x: np.ndarray) -> np.ndarray:
-    """Fill NaN from the left, then from the right."""
-    ok = ~np.isnan(x)
-    if ok.all() or not ok.any():
-        return x
-    at = np.where(ok, np.arange(len(x)), -1)
-    np.maximum.accumulate(at, out=at)
-    at[at < 0] = np.argmax(ok)
-    return x[at]
-
-
 def rolling_median(x: np.ndarray, half: int) -> np.ndarray:
     """Windows of 2*half+1 values around each, as a matrix; the ends repeat the edge value."""
     return np.lib.stride_tricks.sliding_window_view(np.pad(x, half, mode="edge"), 2 * half + 1)
 
 
-def hampel(x: np.ndarray, half: int) -> tuple[np.ndarray, np.ndarray]:
-    """Deviation from the rolling median, and the rolling median absolute deviation. NaN stays NaN."""
-    if not len(x):
-        return x, x
-    gone = np.isnan(x)
-    if gone.all():
-        return x, x
-    win = rolling_median(carry_forward(x), half)
-    med = np.partition(win, half, axis=1)[:, half]
-    mad = np.partition(np.abs(win - med[:, None]), half, axis=1)[:, half]
-    return np.where(gone, np.nan, x - med), mad
+def _median(x: np.ndarray, half: int) -> np.ndarray:
+    return np.partition(rolling_median(x, half), half, axis=1)[:, half]
+
+
+def hampel_of_changes(x: np.ndarray, half: int, half_scale: int) -> tuple[np.ndarray, np.ndarray]:
+    """Deviation of each value from the rolling median of `2*half+1` values, and the rolling median absolute change from value to value of `2*half_scale+1`.
+
+    NaN stays NaN and is passed over, so windows hold values only.
+    """
+    dev, scale = np.full(len(x), np.nan), np.full(len(x), np.nan)
+    known = ~np.isnan(x)
+    y = x[known]
+    if len(y):
+        dev[known] = y - _median(y, half)
+        change = np.abs(np.diff(y))
+        scale[known] = _median(np.concatenate((change[:1], change)), half_scale) if len(change) else 0.0
+    return dev, scale
 
 
 def comes_back(x: np.ndarray, out: np.ndarray, dev: np.ndarray, level: int, longest: int) -> np.ndarray:
@@ -64,27 +59,34 @@ def comes_back(x: np.ndarray, out: np.ndarray, dev: np.ndarray, level: int, long
     return res
 
 
-def repeat_limit(n: float, starts: float, clustering: float = 2.5, rarest: float = 1e-3, least: int = 5, most: int = 60) -> int:
-    """Number of repeats from which a run is far longer than normal.
+def repeat_limit(fresh: float, runs: float, n1: float, n2: float, n3: float, rarest: float = 1e-3, least: int = 5) -> int:
+    """Number of repeats from which a run is far longer than normal: the first length of which fewer than `rarest` runs are expected.
 
-    A series in which a share p0 of the bars that follow a fresh one repeats it will by itself show n*p0*p**(L-1) runs of L repeats
-    or more, p being p0 times `clustering` for quiet hours. The limit is the first L with fewer than `rarest` such runs expected.
+    Of `runs` runs of repeats among `fresh` readings that repeat none, a share p**(L-1) has L repeats or more. p, the chance that a run goes on, is read from the runs of
+    exactly one, two and three repeats (`n1`, `n2`, `n3`), which stuck stretches aren't among, and is at least the chance that one begins. There is no upper bound.
     """
-    p0 = starts / n if n > 0 else 0.0
-    p = min(0.7, max(clustering * p0, 1e-6))
-    need = 1 + math.ceil(math.log(max(starts, 1.0) / rarest) / -math.log(p))
-    return int(min(most, max(least, need)))
+    begins = runs / fresh if fresh > 0 else 0.0
+    goes_on = (n2 + n3 + 0.1) / (n1 + n2 + 2.0)
+    p = min(max(begins, goes_on), 1 - 1 / (runs + 2.0))
+    return max(least, 1 + math.ceil(math.log(max(runs, 1.0) / rarest) / -math.log(p)))
 
 
-def long_repeats(rows: np.ndarray, limit: int) -> np.ndarray:
-    """Rows that repeat the row before in a run of at least `limit` repeats; rows with NaN are passed over."""
+def long_repeats(rows: np.ndarray, limit: int, head: int = 0, tail: int = 0, linked: bool = False) -> np.ndarray:
+    """Rows that repeat the row before in a run of at least `limit` repeats; rows with NaN are passed over.
+
+    `rows` may be a part of a longer series: `head` and `tail` are then the numbers of rows of the whole runs that its first and last full row belong to, and `linked`
+    tells that the first one repeats a row before the part.
+    """
     res = np.zeros(len(rows), bool)
     full = np.flatnonzero(~np.isnan(rows).any(axis=1))
-    if len(full) < 2:
+    if not len(full):
         return res
-    same = np.concatenate(([False], (rows[full][1:] == rows[full][:-1]).all(axis=1)))
-    edges = np.flatnonzero(np.diff(np.concatenate(([0], same.view(np.int8), [0]))))
-    for a, b in zip(edges[::2], edges[1::2]):
-        if b - a >= limit:
-            res[full[a:b]] = True
+    new = np.concatenate(([True], (rows[full][1:] != rows[full][:-1]).any(axis=1)))
+    run = np.cumsum(new) - 1
+    size = np.bincount(run)
+    size[-1] = max(size[-1], tail)
+    size[0] = max(size[0], head)
+    first = new.copy()
+    first[0] = not linked
+    res[full] = (size[run] - 1 >= limit) & ~first
     return res

@@ -1,8 +1,8 @@
 """Implausible readings: impossible values, spikes and stuck stretches, judged source by source.
 
 Every source is cut into blocks of time, so that none is larger than a task's memory however many of all rows
-it has. A block sees a few readings of its neighbours on either side, so windows and runs are whole across the cuts. What is
-normal for a source comes from mergeable bucket counts over all of its readings (changes across a cut aren't counted there).
+it has. A block sees a few readings of its neighbours on either side, and runs of repeats are carried from block to block in a table of one row per block,
+so that neither windows nor runs end at a cut. What is normal for a source comes from mergeable bucket counts over all of its readings.
 """
 
 from __future__ import annotations
@@ -18,20 +18,52 @@ from tidemark.functions.cols import no_nan, require
 from tidemark.operators import quantiles
 from tidemark.session import ship
 
-HALO = 48  # readings of the neighbouring blocks; also the longest limit for a run of repeats
+HALO = 48  # readings of the neighbouring blocks
 FIELDS = ("high", "low", "close", "spread")
 
 
+def _slim(df: DataFrame, source: tuple[str, ...], time: str, version: str) -> tuple[list[str], DataFrame]:
+    keys = [f"_s{i}" for i in range(len(source))]
+    us = F.unix_micros(F.col(time).cast("timestamp"))
+    ver = F.unix_micros(F.col(version).cast("timestamp")) if version in df.columns else F.lit(0).cast("bigint")
+    return keys, df.where(F.col(time).isNotNull()).select(
+        *[F.col(s).alias(k) for s, k in zip(source, keys)], us.alias("_t"), ver.alias("_ver"),
+        *[no_nan(F.col(c).cast("double")).alias(c) for c in FIELDS],
+    )
+
+
+def _once(rows: DataFrame, at: list[str]) -> DataFrame:
+    """Of readings of one time the newest, in one pass over each partition."""
+    newest = Window.partitionBy(*at).orderBy("_t", F.desc_nulls_last("_ver"), *[F.desc_nulls_last(c) for c in FIELDS])
+    told = rows.repartition(*at).withColumn("_before", F.lag("_t").over(newest))
+    return told.where(F.col("_before").isNull() | (F.col("_before") != F.col("_t"))).drop("_before", "_ver")
+
+
+def _readings(df: DataFrame, source: tuple[str, ...], time: str, version: str, block_s: int | None) -> tuple[list[str], DataFrame]:
+    keys, rows = _slim(df, source, time, version)
+    rows = with_blocks(rows, keys, "_t") if block_s is None else rows.withColumn("_block", F.floor(F.col("_t") / F.lit(block_s * 1_000_000)).cast("bigint"))
+    return keys, _once(rows, [*keys, "_block"])
+
+
+def impossible(df: DataFrame, source: tuple[str, ...] = ("broker", "symbol"), time: str = "time", version: str = "arrived_utc", max_price: float = 5e6) -> DataFrame:
+    """The readings that are impossible by themselves, as in `implausible`: source columns and time. Needs no neighbours, so one exchange by source and time."""
+    require(df, *source, time, *FIELDS)
+    keys, rows = _slim(df, source, time, version)
+    once = rows.groupBy(*keys, "_t").agg(F.max(F.struct("_ver", *FIELDS)).alias("_r")).select(*keys, "_t", "_r.*")
+    high, low, close, spread = (F.col(c) for c in FIELDS)
+    absurd = F.array_max(F.array(*[F.coalesce((x <= 0) | (x >= max_price), F.lit(False)) for x in (high, low, close)]))
+    found = once.where(F.coalesce(high < low, F.lit(False)) | F.coalesce(close > high, F.lit(False)) | F.coalesce(close < low, F.lit(False)) | F.coalesce(spread < 0, F.lit(False)) | absurd)
+    return found.select(*[F.col(k).alias(s) for s, k in zip(source, keys)], F.timestamp_micros("_t").alias(time))
+
+
 def implausible(
     df: DataFrame,
     source: tuple[str, ...] = ("broker", "symbol"),
     time: str = "time",
     version: str = "arrived_utc",
-    half_window: int = 10,
-    price_limit: float = 17.0,
-    spread_limit: float = 12.0,
-    local_limit: float = 1.5,
-    longest_spike: int = 6,
+    half_window: int = 5,
+    half_scale: int = 10,
+    sigmas: float = 10.0,
     max_price: float = 5e6,
     block_s: int | None = None,
 ) -> DataFrame:
@@ -39,12 +71,11 @@ def implausible(
 
     * `impossible`: high below low, close outside low to high, a price not above zero or of `max_price` or more, or a
       negative spread.
-    * `spike`: a Hampel filter. The logarithm of a price is further from the rolling median of `2*half_window+1` readings than
-      `price_limit` times the source's median nonzero change from reading to reading, and than `local_limit` times the rolling
-      median absolute deviation; a spread further than `spread_limit` times the greatest of its source's median, its
-      deviation and the rolling one. A source whose price never changes from reading to reading has no price spikes. The former level must be back after at most `longest_spike` readings.
+    * `spike`: a Hampel filter. The logarithm of a price, or a spread, is further than `sigmas` deviations from the rolling median of `2*half_window+1` readings. The
+      deviation is the rolling median absolute change of `2*half_scale+1` readings, but at least the source's own: for prices the median of its changes that aren't zero, for spreads
+      half their interquartile range and one unit. A source whose price never changes has no price spikes. The former level must be back after at most `half_window` readings.
     * `stuck`: high, low and close repeat the previous reading's in a run longer than the source's rate of
-      repeats can explain (see `robust.repeat_limit`); the first reading of the run is none.
+      repeats can explain (see `robust.repeat_limit`); the first reading of the run is none. Runs may be of any length.
 
     `score` is the greatest ratio of a deviation to its limit. Null or NaN values are no case by themselves and are passed
     over. Readings with the same source and time count once, the one with the greatest `version` holds, then the greatest values.
@@ -53,28 +84,16 @@ def implausible(
     """
     require(df, *source, time, *FIELDS)
     ship(df.sparkSession)
-    keys = [f"_s{i}" for i in range(len(source))]
+    keys, core = _readings(df, source, time, version, block_s)
     at = [*keys, "_block"]
-    us = F.unix_micros(F.col(time).cast("timestamp"))
-    ver = F.unix_micros(F.col(version).cast("timestamp")) if version in df.columns else F.lit(0).cast("bigint")
-    rows = df.where(F.col(time).isNotNull()).select(
-        *[F.col(s).alias(k) for s, k in zip(source, keys)], us.alias("_t"), ver.alias("_ver"),
-        *[no_nan(F.col(c).cast("double")).alias(c) for c in FIELDS],
-    )
-    rows = with_blocks(rows, keys, "_t") if block_s is None else rows.withColumn("_block", F.floor(F.col("_t") / F.lit(block_s * 1_000_000)).cast("bigint"))
-    newest = Window.partitionBy(*at).orderBy("_t", F.desc_nulls_last("_ver"), *[F.desc_nulls_last(c) for c in FIELDS])
-    core = (
-        rows.repartition(*at).withColumn("_before", F.lag("_t").over(newest))
-        .where(F.col("_before").isNull() | (F.col("_before") != F.col("_t"))).drop("_before", "_ver")
-    )
     beside = halo(core, keys, "_t", HALO).unionByName(halo(core, keys, "_t", HALO, after=True))
     right = beside.unionByName(_normal(core, keys, max_price), allowMissingColumns=True)
     right = right.select(*[F.col(c).alias(c) for c in right.columns])  # other attributes than those of `core`
 
     def judge(left: pa.Table, other: pa.Table) -> pa.Table:
-        return _judge(left, other, keys, half_window, price_limit, spread_limit, local_limit, longest_spike, max_price)
+        return _judge(left, other, keys, half_window, half_scale, sigmas, max_price)
 
-    kinds = dict(rows.dtypes)
+    kinds = dict(core.dtypes)
     schema = ", ".join([*[f"{k} {kinds[k]}" for k in keys], "_t bigint, impossible boolean, spike boolean, stuck boolean, score double"])
     found = core.groupBy(*at).cogroup(right.groupBy(*at)).applyInArrow(judge, schema)
     return found.select(*[F.col(k).alias(s) for s, k in zip(source, keys)], F.timestamp_micros("_t").alias(time),
@@ -82,46 +101,74 @@ def implausible(
 
 
 def _normal(core: DataFrame, keys: list[str], max_price: float) -> DataFrame:
-    """What is normal for a source, as one row for each of its blocks."""
+    """What is normal for a source, as one row for each of its blocks, and how far the runs at the block's ends reach.
+
+    `_move` is the median change of the logarithm of the close, of changes that aren't zero; `_s25`, `_s75` are quartiles of the spread; `_runs`, `_n1`, `_n2`, `_n3` and `_fresh` are the
+    numbers of runs of repeats, of those of exactly one, two and three, and of readings that repeat none. `_head` and `_tail` are the numbers of readings of the whole
+    runs that the block's first and last full readings belong to, `_linked` tells that the first one isn't the beginning of its run.
+    """
     at = [*keys, "_block"]
     w = Window.partitionBy(*at).orderBy("_t")
+    before = w.rowsBetween(Window.unboundedPreceding, -1)
     fair = F.when((F.col("close") > 0) & (F.col("close") < max_price), F.ln("close"))
-    prev = {c: F.lag(c).over(w) for c in ("high", "low", "close")}
-    same = F.coalesce((prev["high"] == F.col("high")) & (prev["low"] == F.col("low")) & (prev["close"] == F.col("close")), F.lit(False))
-    told = core.withColumn("_ln", fair).withColumn("_same", same).select(
-        *keys, "_block", "_t", "spread", F.abs(F.col("_ln") - F.lag("_ln").over(w)).alias("_d"), "_same", F.lag("_same").over(w).alias("_psame")
+    full = F.col("high").isNotNull() & F.col("low").isNotNull() & F.col("close").isNotNull()
+    told = core.select(*at, "_t", "spread", fair.alias("_ln"), F.when(full, F.struct("high", "low", "close")).alias("_bar"))
+    told = told.withColumns({"_d": F.abs(F.col("_ln") - F.last("_ln", ignorenulls=True).over(before)), "_prev": F.last("_bar", ignorenulls=True).over(before)})
+    told = told.withColumn("_run", F.sum((F.col("_bar").isNotNull() & ~F.coalesce(F.col("_bar") == F.col("_prev"), F.lit(False))).cast("bigint")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    # runs within blocks, then blocks; the exchange by block serves both
+    runs = told.where(F.col("_bar").isNotNull()).groupBy(*at, "_run").agg(F.count(F.lit(1)).alias("_c"), F.first("_bar").alias("_bar"))
+    last = F.col("_last")
+    inner = runs.withColumn("_last", F.max("_run").over(Window.partitionBy(*at)))
+    inside = (F.col("_run") > 1) & (F.col("_run") < last)
+    per_block = inner.groupBy(*at).agg(
+        F.max("_last").alias("_nruns"), F.max(F.when(F.col("_run") == 1, F.struct("_c", "_bar"))).alias("_a"), F.max(F.when(F.col("_run") == last, F.struct("_c", "_bar"))).alias("_z"),
+        F.count_if(inside).alias("_in_fresh"), F.count_if(inside & (F.col("_c") > 1)).alias("_in_runs"), *[F.count_if(inside & (F.col("_c") == n + 1)).alias(f"_in_n{n}") for n in (1, 2, 3)],
     )
+    series = Window.partitionBy(*keys).orderBy("_block")
+    edges = per_block.withColumn("_linked", F.coalesce(F.col("_a._bar") == F.lag("_z._bar").over(series), F.lit(False)))
+    # the runs at the ends of blocks: those that are one across a cut form an island
+    ends = edges.select(*at, "_linked", "_nruns", F.explode(F.filter(F.array(
+        F.struct(F.lit(0).alias("pos"), F.col("_a._c").alias("c"), (~F.col("_linked")).alias("new")), F.when(F.col("_nruns") > 1, F.struct(F.lit(1).alias("pos"), F.col("_z._c").alias("c"), F.lit(True).alias("new"))),
+    ), lambda x: x.isNotNull())).alias("e")).select(*at, "_linked", "_nruns", "e.*")
+    along = Window.partitionBy(*keys).orderBy("_block", "pos")
+    ends = ends.withColumn("_island", F.sum(F.col("new").cast("bigint")).over(along.rowsBetween(Window.unboundedPreceding, 0)))
+    ends = ends.withColumn("_rows", F.sum("c").over(Window.partitionBy(*keys, "_island"))).withColumn("_begins", F.col("new"))
+    reach = ends.groupBy(*at).agg(F.max(F.when(F.col("pos") == 0, F.col("_rows"))).alias("_head"), F.max_by("_rows", "pos").alias("_tail"), F.max("_linked").alias("_linked"))
+    islands = ends.where("_begins")
+    counted = islands.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("_fresh"), F.count_if(F.col("_rows") > 1).alias("_runs"), *[F.count_if(F.col("_rows") == n + 1).alias(f"_n{n}") for n in (1, 2, 3)],
+    ).unionByName(per_block.groupBy(*keys).agg(F.sum("_in_fresh").alias("_fresh"), F.sum("_in_runs").alias("_runs"), *[F.sum(f"_in_n{n}").alias(f"_n{n}") for n in (1, 2, 3)]))
+    counted = counted.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in ("_fresh", "_runs", "_n1", "_n2", "_n3")])
+    # changes within blocks and, from the blocks' first and last closes, those across cuts
+    cuts = told.where(F.col("_ln").isNotNull()).groupBy(*at).agg(F.min_by("_ln", "_t").alias("_first"), F.max_by("_ln", "_t").alias("_end"))
+    cuts = cuts.select(*keys, F.abs(F.col("_first") - F.lag("_end").over(series)).alias("_v"), F.lit("d").alias("_m"))
     metric = lambda name, value: F.struct(F.lit(name).alias("m"), value.cast("double").alias("v"))
-    fresh = ~F.coalesce("_psame", F.lit(False))
-    long = told.select(*keys, F.explode(F.array(
-        metric("d", F.when(F.col("_d") > 0, F.col("_d"))), metric("s", F.when(F.col("spread") >= 0, F.col("spread"))),
-        metric("f", F.when(fresh, 1.0)), metric("q", F.when(fresh & F.col("_same"), 1.0)),
-    )).alias("_x")).select(*keys, F.col("_x.m").alias("_m"), F.col("_x.v").alias("_v"))
-    read = quantiles.percentiles(quantiles.sketch(long, [*keys, "_m"], "_v"), [*keys, "_m"], [0.25, 0.5, 0.75])
+    long = told.select(*keys, F.explode(F.array(metric("d", F.col("_d")), metric("s", F.when(F.col("spread") >= 0, F.col("spread"))))).alias("_x"))
+    values = long.select(*keys, F.col("_x.m").alias("_m"), F.col("_x.v").alias("_v")).unionByName(cuts).where((F.col("_m") == "s") | (F.col("_v") > 0))
+    read = quantiles.percentiles(quantiles.sketch(values, [*keys, "_m"], "_v"), [*keys, "_m"], [0.25, 0.5, 0.75])
     est = lambda m, p: F.max(F.when((F.col("_m") == m) & (F.col("p") == p), F.col("estimate")))
-    num = lambda m: F.max(F.when(F.col("_m") == m, F.col("n_values"))).cast("double")
-    stats = read.groupBy(*keys).agg(
-        est("d", 0.5).alias("_move"), est("s", 0.25).alias("_s25"), est("s", 0.5).alias("_s50"), est("s", 0.75).alias("_s75"),
-        num("f").alias("_fresh"), num("q").alias("_starts"),
-    )
+    stats = read.groupBy(*keys).agg(est("d", 0.5).alias("_move"), est("s", 0.25).alias("_s25"), est("s", 0.75).alias("_s75"))
     blocks = core.groupBy(*at).agg(F.min("_t").alias("_t"))
-    named = stats.select(*[F.col(k).alias(f"{k}n") for k in keys], *[c for c in stats.columns if c not in keys])
-    return blocks.join(named, same_keys(keys, "n")).drop(*[f"{k}n" for k in keys])
+    for i, part in enumerate((stats, counted, reach)):
+        names = keys + (["_block"] if "_block" in part.columns else [])
+        named = part.select(*[F.col(k).alias(f"{k}n{i}") for k in names], *[c for c in part.columns if c not in names])
+        blocks = blocks.join(named, same_keys(names, f"n{i}"), "left").drop(*[f"{k}n{i}" for k in names])
+    return blocks.withColumn("_stats", F.lit(1.0))
 
 
 def _column(t: pa.Table, name: str) -> np.ndarray:
     return t.column(name).to_numpy(zero_copy_only=False).astype(float)
 
 
-def _judge(left, other, keys, half, price_limit, spread_limit, local_limit, longest, max_price) -> pa.Table:
-    is_stats = _column(other, "_fresh") == _column(other, "_fresh")
+def _judge(left, other, keys, half, half_scale, sigmas, max_price) -> pa.Table:
+    is_stats = _column(other, "_stats") == 1.0
     halo, stats = other.filter(pa.array(~is_stats)), other.filter(pa.array(is_stats))
     both = pa.concat_tables([left.select(["_t", *FIELDS]), halo.select(["_t", *FIELDS])])
     t = both.column("_t").to_numpy(zero_copy_only=False)
     order = np.argsort(t, kind="stable")
     mine = (np.arange(len(t)) < left.num_rows)[order]
     high, low, close, spread = (_column(both, c)[order] for c in FIELDS)
-    one = lambda c: next((v for v in stats.column(c).to_pylist() if v is not None), 0.0) if stats.num_rows else 0.0
+    one = lambda c: next((v for v in stats.column(c).to_pylist() if v is not None), 0) if stats.num_rows else 0
     with np.errstate(all="ignore"):
         prices = (high, low, close)
         impossible = (high < low) | (close > high) | (close < low) | (spread < 0)
@@ -129,25 +176,18 @@ def _judge(left, other, keys, half, price_limit, spread_limit, local_limit, long
             impossible |= (x <= 0) | (x >= max_price)
         score = np.zeros(len(t))
         spike = np.zeros(len(t), bool)
-        move = one("_move")
-        for x in prices:
-            y = np.log(np.where((x > 0) & (x < max_price), x, np.nan))
-            dev, mad = robust.hampel(y, half)
-            limit = np.maximum(price_limit * move if move > 0 else np.inf, local_limit * robust.MAD_TO_SIGMA * mad)
-            score, spike = _merge(y, dev, limit, longest, score, spike)
-        y = np.where(spread >= 0, spread, np.nan)
-        dev, mad = robust.hampel(y, half)
-        usual = max(one("_s50"), robust.MAD_TO_SIGMA * (one("_s75") - one("_s25")) / 2, 1.0)
-        score, spike = _merge(y, dev, spread_limit * np.maximum(usual, robust.MAD_TO_SIGMA * mad), longest, score, spike)
-    limit = robust.repeat_limit(one("_fresh"), one("_starts"), most=HALO)
-    stuck = robust.long_repeats(np.column_stack(prices), limit)
+        fields = [(np.log(np.where((x > 0) & (x < max_price), x, np.nan)), one("_move") or np.inf) for x in prices]
+        fields.append((np.where(spread >= 0, spread, np.nan), max(1.0, (one("_s75") - one("_s25")) / 2)))
+        for y, least in fields:
+            dev, scale = robust.hampel_of_changes(y, half, half_scale)
+            ratio = np.nan_to_num(np.abs(dev) / (sigmas * robust.MAD_TO_SIGMA * np.maximum(scale, least)))
+            score, spike = np.maximum(score, ratio), spike | robust.comes_back(y, ratio > 1, dev, 5, half)
+    limit = robust.repeat_limit(one("_fresh"), one("_runs"), one("_n1"), one("_n2"), one("_n3"))
+    stuck = np.zeros(len(t), bool)
+    own = np.column_stack([x[mine] for x in prices])
+    stuck[mine] = robust.long_repeats(own, limit, one("_head"), one("_tail"), bool(one("_linked")))
     hit = (impossible | spike | stuck) & mine
     n = int(hit.sum())
     named = {k: pa.repeat(left.column(k)[0], n) if n else left.column(k).slice(0, 0).combine_chunks() for k in keys}
     return pa.table({**named, "_t": pa.array(t[order][hit], pa.int64()), "impossible": impossible[hit], "spike": spike[hit],
                      "stuck": stuck[hit], "score": score[hit]})
-
-
-def _merge(y, dev, limit, longest, score, spike):
-    ratio = np.nan_to_num(np.abs(dev) / limit)
-    return np.maximum(score, ratio), spike | robust.comes_back(y, ratio > 1, dev, 5, longest)

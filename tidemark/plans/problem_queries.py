@@ -177,21 +177,40 @@ def p5_found(spark: SparkSession, base: str) -> DataFrame:
 
 def p5_impossible(spark: SparkSession, base: str) -> DataFrame:
     """The bars that no market could show, which needs no comparison with others."""
-    found = outliers.implausible(table(spark, base, "bars")).where("impossible")
+    found = outliers.impossible(table(spark, base, "bars"))
     return found.select("broker", "symbol", F.unix_millis("time").alias("time_ms"))
 
 
-P5_IMPOSSIBLE_SQL = """
+def p5_stuck(spark: SparkSession, base: str) -> DataFrame:
+    found = outliers.implausible(table(spark, base, "bars")).where("stuck")
+    return found.select("broker", "symbol", F.unix_millis("time").alias("time_ms"))
+
+
+_P5_ONCE = """
 WITH o AS (
   SELECT * FROM (SELECT * REPLACE (CASE WHEN isnan(high) THEN NULL ELSE high END AS high, CASE WHEN isnan(low) THEN NULL ELSE low END AS low, CASE WHEN isnan(close) THEN NULL ELSE close END AS close) FROM bars)
   WHERE time IS NOT NULL
   QUALIFY row_number() OVER (PARTITION BY broker, symbol, time ORDER BY arrived_utc DESC NULLS LAST, high DESC NULLS LAST, low DESC NULLS LAST, close DESC NULLS LAST, spread DESC NULLS LAST) = 1
-)
+)"""
+
+P5_IMPOSSIBLE_SQL = _P5_ONCE + """
 SELECT broker, symbol, CAST(floor(epoch_us(time) / 1000.0) AS BIGINT) AS time_ms FROM o
 WHERE coalesce(high < low, FALSE) OR coalesce(close > high, FALSE) OR coalesce(close < low, FALSE) OR coalesce(spread < 0, FALSE)
   OR coalesce(high <= 0, FALSE) OR coalesce(low <= 0, FALSE) OR coalesce(close <= 0, FALSE) OR coalesce(greatest(high, low, close) >= 5000000.0, FALSE)
 """
 
+P5_STUCK_SQL = _P5_ONCE + """,
+s AS (SELECT broker, symbol, time, CASE WHEN high = lag(high) OVER w AND low = lag(low) OVER w AND close = lag(close) OVER w THEN 0 ELSE 1 END AS fresh
+  FROM o WHERE high IS NOT NULL AND low IS NOT NULL AND close IS NOT NULL WINDOW w AS (PARTITION BY broker, symbol ORDER BY time)),
+r AS (SELECT *, sum(fresh) OVER (PARTITION BY broker, symbol ORDER BY time ROWS UNBOUNDED PRECEDING) AS run FROM s),
+c AS (SELECT broker, symbol, run, count(*) - 1 AS n FROM r GROUP BY ALL),
+t AS (SELECT broker, symbol, count(*) AS f, count(*) FILTER (n > 0) AS k, count(*) FILTER (n = 1) AS n1, count(*) FILTER (n = 2) AS n2, count(*) FILTER (n = 3) AS n3 FROM c GROUP BY ALL),
+l AS (SELECT broker, symbol, greatest(5, 1 + ceil(ln(greatest(k, 1) / 0.001::DOUBLE) / -ln(least(greatest(k / f::DOUBLE, (n2 + n3 + 0.1::DOUBLE) / (n1 + n2 + 2.0::DOUBLE)), 1 - 1 / (k + 2.0::DOUBLE))))) AS least FROM t)
+SELECT r.broker, r.symbol, CAST(floor(epoch_us(r.time) / 1000.0) AS BIGINT) AS time_ms
+FROM r JOIN c ON c.broker IS NOT DISTINCT FROM r.broker AND c.symbol IS NOT DISTINCT FROM r.symbol AND c.run = r.run
+JOIN l ON l.broker IS NOT DISTINCT FROM r.broker AND l.symbol IS NOT DISTINCT FROM r.symbol WHERE r.fresh = 0 AND c.n >= l.least
+"""
+
 
 def p5_by_source(spark: SparkSession, base: str) -> DataFrame:
     """Number of affected bars of each series, by kind."""
@@ -208,7 +227,7 @@ QUERIES = {
     "p3_found": p3_found, "p3_grid": p3_grid,
     "p4_pnl_by_exit_day": p4_pnl_by_exit_day, "p4_pnl_by_symbol": p4_pnl_by_symbol, "p4_pnl_by_side": p4_pnl_by_side,
     "p4_equity_by_symbol": p4_equity_by_symbol, "p4_equity_by_timeframe": p4_equity_by_timeframe,
-    "p5_found": p5_found, "p5_impossible": p5_impossible, "p5_by_source": p5_by_source,
+    "p5_found": p5_found, "p5_impossible": p5_impossible, "p5_stuck": p5_stuck, "p5_by_source": p5_by_source,
 }
 
 SQL = {
@@ -221,5 +240,5 @@ SQL = {
     "p4_pnl_by_side": _p4_sql(_FILLS, "side", "pnl"),
     "p4_equity_by_symbol": _p4_sql(_RUNS, "symbol", "ending_equity"),
     "p4_equity_by_timeframe": _p4_sql(_RUNS, "timeframe", "ending_equity"),
-    "p5_impossible": P5_IMPOSSIBLE_SQL,
+    "p5_impossible": P5_IMPOSSIBLE_SQL, "p5_stuck": P5_STUCK_SQL,
 }
