@@ -3,8 +3,7 @@ import datetime as dt
 import numpy as np
 import pandas as pd
 
-from tidemark.operators.quantiles import merge_sketches, percentiles
-from tidemark.streaming.live import live_crossover, live_sketch
+from tidemark.streaming.live import live_crossover
 
 
 def drain(df, name, tmp_path):
@@ -28,14 +27,3 @@ def test_crossover_over_batches(spark, tmp_path):
     np.testing.assert_allclose(s["fast"].to_numpy(float), want)
     slow = pd.Series(closes).ewm(span=6, adjust=False).mean()
     assert s["direction"].iloc[6:].tolist() == np.sign(want - slow).iloc[6:].tolist() and (s["direction"].iloc[:6] == 0).all()
-
-
-def test_sketch_of_closed_windows(spark, tmp_path):
-    rows = [("a", dt.datetime(2024, 1, 1 + i // 50, 1), float(i)) for i in range(200)] + [("a", dt.datetime(2024, 2, 1), 1.0), ("a", dt.datetime(2024, 1, 1), float("nan"))]
-    schema = "grp string, at timestamp, v double"
-    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / "in2"))
-    stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in2"))
-    out = drain(live_sketch(stream, ["grp"], "v", "at"), "sk", tmp_path)
-    assert {r["from_time"].day for r in out.select("from_time").distinct().collect()} == {1, 2, 3, 4}
-    r = percentiles(merge_sketches(out, ["grp"]), ["grp"], [0.5]).first()
-    assert r["n_values"] == 200 and abs(r["estimate"] - 99) <= 0.01 * 99

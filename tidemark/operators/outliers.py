@@ -12,13 +12,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions import robust
+from tidemark.functions import buckets, robust
 from tidemark.functions.blocks import halo, same_keys, with_blocks
 from tidemark.functions.cols import no_nan, require
-from tidemark.operators import quantiles
 from tidemark.session import ship
 
 HALO = 48  # readings of the neighbouring blocks
+ERROR = 0.01  # relative, of the median changes and quartiles
 FIELDS = ("high", "low", "close", "spread")
 
 
@@ -145,9 +145,13 @@ def _normal(core: DataFrame, keys: list[str], max_price: float) -> DataFrame:
     metric = lambda name, value: F.struct(F.lit(name).alias("m"), value.cast("double").alias("v"))
     long = told.select(*keys, F.explode(F.array(metric("d", F.col("_d")), metric("s", F.when(F.col("spread") >= 0, F.col("spread"))))).alias("_x"))
     values = long.select(*keys, F.col("_x.m").alias("_m"), F.col("_x.v").alias("_v")).unionByName(cuts).where((F.col("_m") == "s") | (F.col("_v") > 0))
-    read = quantiles.percentiles(quantiles.sketch(values, [*keys, "_m"], "_v"), [*keys, "_m"], [0.25, 0.5, 0.75])
-    est = lambda m, p: F.max(F.when((F.col("_m") == m) & (F.col("p") == p), F.col("estimate")))
-    stats = read.groupBy(*keys).agg(est("d", 0.5).alias("_move"), est("s", 0.25).alias("_s25"), est("s", 0.75).alias("_s75"))
+    # counts by bucket, combined before they are shuffled; the value of a rank is then read from the running count
+    counts = values.where(F.col("_v").isNotNull()).withColumn("_b", buckets.bucket(F.col("_v"), ERROR)).groupBy(*keys, "_m", "_b").agg(F.count(F.lit(1)).alias("_c"))
+    group = Window.partitionBy(*keys, "_m")
+    upto = group.orderBy(buckets.order(F.col("_b.sgn"), F.col("_b.idx"))).rowsBetween(Window.unboundedPreceding, 0)
+    ranked = counts.withColumns({"_upto": F.sum("_c").over(upto), "_all": F.sum("_c").over(group), "_mid": buckets.middle(F.col("_b.sgn"), F.col("_b.idx"), ERROR)})
+    est = lambda m, p: F.min(F.when((F.col("_m") == m) & (F.floor(F.lit(p) * (F.col("_all") - 1)) < F.col("_upto")), F.col("_mid")))
+    stats = ranked.groupBy(*keys).agg(est("d", 0.5).alias("_move"), est("s", 0.25).alias("_s25"), est("s", 0.75).alias("_s75"))
     blocks = core.groupBy(*at).agg(F.min("_t").alias("_t"))
     for i, part in enumerate((stats, counted, reach)):
         names = keys + (["_block"] if "_block" in part.columns else [])

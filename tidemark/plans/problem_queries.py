@@ -1,16 +1,13 @@
-"""Queries of the general data-preparation problems (p1 to p5) and their SQL."""
+"""Queries of the general data-preparation problems (p1, p2, p3, p5) and their SQL."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.operators import drift, outliers, quantiles, regrid, snapshots
+from tidemark.operators import drift, outliers, regrid, snapshots
 from tidemark.sources.tables import table
 
-PERCENTS = [0.0, 0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99, 1.0]
-ERROR = 0.01
-
 
 # -- p1: what changed between full snapshots
 
@@ -113,61 +110,6 @@ FROM g
 """
 
 
-# -- p4: percentiles of very large numeric columns
-
-def fills_once(spark: SparkSession, base: str) -> DataFrame:
-    """Fills with their exit day; a row that was delivered twice is one fill."""
-    day = F.substring("exit_ts", 1, 10).alias("exit_day")
-    return table(spark, base, "fills").distinct().select("symbol", "side", day, "pnl")
-
-
-def _read(df: DataFrame, by: str, value: str) -> DataFrame:
-    return quantiles.percentiles(quantiles.sketch(df, [by], value, ERROR), [by], PERCENTS, ERROR)
-
-
-def p4_pnl_by_exit_day(spark: SparkSession, base: str) -> DataFrame:
-    return _read(fills_once(spark, base), "exit_day", "pnl")
-
-
-def p4_pnl_by_symbol(spark: SparkSession, base: str) -> DataFrame:
-    """Combined from the sketches of single exit days."""
-    days = quantiles.sketch(fills_once(spark, base), ["symbol", "exit_day"], "pnl", ERROR)
-    return quantiles.percentiles(quantiles.merge_sketches(days, ["symbol"]), ["symbol"], PERCENTS, ERROR)
-
-
-def p4_pnl_by_side(spark: SparkSession, base: str) -> DataFrame:
-    return _read(fills_once(spark, base), "side", "pnl")
-
-
-def p4_equity_by_symbol(spark: SparkSession, base: str) -> DataFrame:
-    return _read(table(spark, base, "run_metrics").distinct(), "symbol", "ending_equity")
-
-
-def p4_equity_by_timeframe(spark: SparkSession, base: str) -> DataFrame:
-    return _read(table(spark, base, "run_metrics").distinct(), "timeframe", "ending_equity")
-
-
-def _p4_sql(frm: str, by: str, value: str) -> str:
-    width = quantiles.log_width(ERROR)
-    import math
-
-    scale = 2 * math.exp(width) / (math.exp(width) + 1)
-    ps = ", ".join(f"CAST({p} AS DOUBLE)" for p in PERCENTS)
-    return f"""
-WITH v AS (SELECT {by}, {value} + 0.0::DOUBLE AS x FROM ({frm}) WHERE {value} IS NOT NULL AND NOT isnan({value})),
-b AS (
-  SELECT {by}, CAST(sign(x) AS INT) AS sgn,
-    CASE WHEN isinf(x) THEN 2147483647 WHEN x = 0 THEN 0 ELSE CAST(ceil(ln(abs(x)) / {width!r}::DOUBLE) AS INT) END AS idx,
-    count(*) AS n, min(x) AS lo, max(x) AS hi FROM v GROUP BY ALL
-), c AS (
-  SELECT *, sum(n) OVER (PARTITION BY {by} ORDER BY lo ROWS UNBOUNDED PRECEDING) AS c, sum(n) OVER (PARTITION BY {by}) AS t FROM b
-), q AS (SELECT *, unnest([{ps}]) AS p FROM c)
-SELECT {by}, p, CAST(t AS BIGINT) AS n_values, CAST(printf('%.11e', CASE WHEN sgn = 0 THEN 0.0
-    WHEN isinf(lo) THEN lo ELSE greatest(lo, least(hi, sgn * exp((idx - 1) * {width!r}::DOUBLE) * {scale!r}::DOUBLE)) END) AS DOUBLE) AS estimate
-FROM q WHERE floor(p * (t - 1)) >= c - n AND floor(p * (t - 1)) < c
-"""
-
-
 # -- p5: implausible spikes, stuck and impossible values
 
 def p5_found(spark: SparkSession, base: str) -> DataFrame:
@@ -218,15 +160,10 @@ def p5_by_source(spark: SparkSession, base: str) -> DataFrame:
     return found.groupBy("broker", "symbol").agg(*[F.count_if(k).alias(f"n_{k}") for k in ("impossible", "spike", "stuck")])
 
 
-_FILLS = "SELECT symbol, side, substr(exit_ts, 1, 10) AS exit_day, pnl FROM (SELECT DISTINCT * FROM fills)"
-_RUNS = "SELECT DISTINCT * FROM run_metrics"
-
 QUERIES = {
     "p1_found": p1_found, "p1_summary": p1_summary,
     "p2_found": p2_found, "p2_bars": p2_bars, "p2_metrics": p2_metrics,
     "p3_found": p3_found, "p3_grid": p3_grid,
-    "p4_pnl_by_exit_day": p4_pnl_by_exit_day, "p4_pnl_by_symbol": p4_pnl_by_symbol, "p4_pnl_by_side": p4_pnl_by_side,
-    "p4_equity_by_symbol": p4_equity_by_symbol, "p4_equity_by_timeframe": p4_equity_by_timeframe,
     "p5_found": p5_found, "p5_impossible": p5_impossible, "p5_stuck": p5_stuck, "p5_by_source": p5_by_source,
 }
 
@@ -235,10 +172,5 @@ SQL = {
     "p1_summary": P1_SQL + "SELECT snapshot_id, change_kind, count(*) AS n_changes FROM x GROUP BY ALL",
     "p3_found": f"SELECT broker, symbol, slot_epoch FROM ({P3_SQL}) WHERE status <> 'observed'",
     "p3_grid": P3_SQL,
-    "p4_pnl_by_exit_day": _p4_sql(_FILLS, "exit_day", "pnl"),
-    "p4_pnl_by_symbol": _p4_sql(_FILLS, "symbol", "pnl"),
-    "p4_pnl_by_side": _p4_sql(_FILLS, "side", "pnl"),
-    "p4_equity_by_symbol": _p4_sql(_RUNS, "symbol", "ending_equity"),
-    "p4_equity_by_timeframe": _p4_sql(_RUNS, "timeframe", "ending_equity"),
     "p5_impossible": P5_IMPOSSIBLE_SQL, "p5_stuck": P5_STUCK_SQL,
 }

@@ -1,4 +1,4 @@
-"""Structured Streaming forms: the ordered fold of averages and signals with state per series, and sketches that grow with the stream."""
+"""Structured Streaming form of the ordered fold of averages and signals, with state per series."""
 
 from __future__ import annotations
 
@@ -6,10 +6,8 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from tidemark.operators import quantiles
 from tidemark.session import ship
 
 _OUT = "symbol string, time timestamp, close double, fast double, slow double, direction double, n bigint"
@@ -41,16 +39,3 @@ def live_crossover(bars: DataFrame, fast: int, slow: int) -> DataFrame:
         yield pd.DataFrame(out, columns=["symbol", "time", "close", "fast", "slow", "direction", "n"])
 
     return bars.select("symbol", "time", "close").groupBy("symbol").applyInPandasWithState(step, _OUT, _STATE, "append", GroupStateTimeout.NoTimeout)
-
-
-def live_sketch(values: DataFrame, by: list[str], value: str, time: str, window: str = "1 day", late: str = "2 days", error: float = 0.01) -> DataFrame:
-    """The bucket counts of `quantiles.sketch` per window of event time, final once the watermark has passed; later values are dropped.
-
-    Finished windows merge with `quantiles.merge_sketches` like any other parts.
-    """
-    v = F.col(value).cast("double") + F.lit(0.0)
-    rows = values.withWatermark(time, late).where(v.isNotNull() & ~F.isnan(v)).withColumn("_v", v).withColumn("_b", quantiles.bucket(F.col("_v"), error))
-    counts = rows.groupBy(F.window(time, window).alias("_w"), *by, F.col("_b.sgn").alias("sgn"), F.col("_b.idx").alias("idx")).agg(
-        F.count(F.lit(1)).alias("n"), F.min("_v").alias("lo"), F.max("_v").alias("hi")
-    )
-    return counts.select(F.col("_w.start").alias("from_time"), *by, "sgn", "idx", "n", "lo", "hi")
