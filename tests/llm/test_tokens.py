@@ -1,7 +1,8 @@
 import public_tokenizers
 from tokenizers import Tokenizer
 
-from tidemark.llm.tokens import cut_lineage, with_token_counts
+from tidemark.llm.tokens import with_token_counts
+from tidemark.session import cut_lineage
 
 
 def test_counts_equal_another_library(spark):

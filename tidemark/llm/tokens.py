@@ -2,11 +2,8 @@
 
 from __future__ import annotations
 
-import atexit
 import base64
 import functools
-import shutil
-import tempfile
 from collections.abc import Iterator
 
 import pandas as pd
@@ -41,22 +38,3 @@ def with_token_counts(df: DataFrame, text: str = "text", name: str = "n_tokens",
             yield pd.Series([len(enc.encode_ordinary(t)) if t else 0 for t in texts], dtype="int64")
 
     return df.withColumn(name, count(F.col(text)))
-
-
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write `df` to the folder of spark.checkpoint.dir and go on from there.
-
-    Where no folder is named, a Spark of one machine gets a temporary one that is removed at the end; a cluster has no folder that all executors surely
-    share, so there the setting is required.
-    """
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if not sc.getCheckpointDir():
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder and not sc.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-        if not folder:
-            folder = tempfile.mkdtemp(prefix="tidemark-checkpoints-")
-            atexit.register(shutil.rmtree, folder, ignore_errors=True)
-        sc.setCheckpointDir(folder)
-    return df.checkpoint()
