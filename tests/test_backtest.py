@@ -162,3 +162,19 @@ def test_clashing_columns_are_replaced(spark, risk):
     assert dirty.columns.count("position") == 1 and dirty.where("note = 'kept'").count() == 40
     again = strategy.with_signal(sig, strategy.Crossover("sma_2_close", "sma_5_close", 5), FRAME)
     assert again.columns.count("direction") == 1 and again.where("direction != 0").count() > 0
+
+
+@pytest.mark.parametrize("wanted,closed,end", [((1, 2, 2, 1, 0, 0), 1, 1004.0), ((1, 3, -2, -1, None, 1), 2, None), ((0.5, 0.25, float("nan"), 2, 2, -1), 1, None)])
+def test_size_changes_of_one_sign_are_ignored_with_and_without_limits(spark, wanted, closed, end):
+    rows = [("s", dt.datetime(2024, 1, 1, i), 100.0 + i, 120.0, 90.0, 100.5 + i, 1.0, None if w is None else float(w)) for i, w in enumerate(wanted)]
+    df = spark.createDataFrame(rows, SCHEMA + ", direction double")
+    plain, limited = (frame_of(backtest.run(df, FRAME, 1000.0, 1.0, r)) for r in (RiskConfig(), RiskConfig(None, 99.0)))
+    for c in ("position", "fill_pnl", "equity"):
+        pd.testing.assert_series_equal(plain[c], limited[c])
+    assert plain["fill_pnl"].notna().sum() == closed and (end is None or plain["equity"].iloc[-1] == end)
+
+
+def test_drawdown_check_sees_a_wrong_curve(spark):
+    good = curve(spark, path(RAMP))
+    assert backtest.drawdown_error(good, FRAME, 100.0).first()["error"] < 1e-10
+    assert backtest.drawdown_error(good.withColumn("max_drawdown_pct", F.col("max_drawdown_pct") + 1), FRAME, 100.0).first()["error"] > 0.9

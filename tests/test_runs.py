@@ -47,7 +47,7 @@ def test_run_writes_all_and_repeats(spark, project):
     assert sum(float(t.split(",")[-1]) for t in trades[1:]) == pytest.approx(m["total_pnl"])
     ref = json.loads((a / "data_snapshot" / "DATA_REF.json").read_text())
     assert ref["row_count"] == 100 and ref["snapshot_path"] == config["snapshot_dir"]
-    assert (a / "plots" / "close_and_equity.csv").exists() and "Reproduce" in (a / "README.md").read_text()
+    assert len((a / "plots" / "close_and_equity.csv").read_text().splitlines()) == 101 and "Reproduce" in (a / "README.md").read_text()
 
 
 def test_no_trades_is_an_empty_file(spark, project):
@@ -77,6 +77,8 @@ def test_scenarios_give_the_known_figures(spark, tmp_path):
     a, b = runs.run_expectancy(spark, save(tmp_path, "ev.yaml", config), str(tmp_path / "out.json"))
     assert a == {"name": "A", "expectancy_per_trade": -2.25, "variance_per_trade": 278.6875, "mean_ending_equity": 9551.29, "median_ending_equity": 9550.0, "std_ending_equity": 238.56,
                  "probability_of_loss": 0.9672, "mean_max_drawdown": 550.36}
+    bins = (tmp_path / "out.histogram.csv").read_text().splitlines()
+    assert bins[0] == "name,bin,from_value,n" and sum(int(x.split(",")[3]) for x in bins[1:]) == 10_000
     assert b == {"name": "B", "expectancy_per_trade": 8.0, "variance_per_trade": 396.0, "mean_ending_equity": 11601.76, "median_ending_equity": 11600.0, "std_ending_equity": 282.82,
                  "probability_of_loss": 0.0, "mean_max_drawdown": 86.2}
 
@@ -91,6 +93,14 @@ def test_hashed_draws_agree_with_theory_and_partitions(spark):
     assert one == expectancy.paths(table.repartition(7), 5, 10, 0.0).orderBy("scenario", "sim", "trade").collect()
 
 
+def test_envelope_keeps_the_extremes(spark):
+    rows = [("s", dt.datetime(2024, 1, 1) + dt.timedelta(minutes=i), float(i % 977), float(-(i % 991))) for i in range(5000)]
+    df = spark.createDataFrame(rows, "symbol string, time timestamp, close double, equity double")
+    got = runs.envelope(df, runs.SERIES, 5000, 100).collect()
+    assert len(got) == 100 and max(r["high_close"] for r in got) == 976 and min(r["low_equity"] for r in got) == -990
+    assert runs.envelope(df.limit(3), runs.SERIES, 3, 100).count() == 3
+
+
 def test_histogram(spark):
     df = spark.createDataFrame([("a", float(x)) for x in range(81)] + [("b", 5.0)] * 3, "g string, x double")
     got = {(r["g"], r["bin"]): r["n"] for r in expectancy.histogram(df, "x", ["g"]).collect()}

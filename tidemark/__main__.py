@@ -18,6 +18,8 @@ def main(argv: list[str] | None = None) -> int:
     load.add_argument("--start", default="2005-01-01")
     load.add_argument("--end", default="", help="last day; yesterday (UTC) if left out")
     load.add_argument("--root", default="data")
+    for option in feed.CLIENT_OPTIONS:
+        load.add_argument(f"--{option}", type=int if option == "login" else str, help=f"{option} for the client, if it takes one")
     test = sub.add_parser("backtest", help="run one configuration")
     test.add_argument("--config", required=True)
     many = sub.add_parser("experiments", help="run configurations one after the other")
@@ -28,7 +30,7 @@ def main(argv: list[str] | None = None) -> int:
     a = ap.parse_args(argv)
     spark = session()
     if a.command == "loader":
-        print(feed.make_snapshot(spark, a.client, feed.FeedConfig(a.symbol, a.start, a.end), a.root) or "no bars")
+        print(feed.make_snapshot(spark, a.root, client=a.client, symbol=a.symbol, start=a.start, end=a.end, **{k: getattr(a, k) for k in feed.CLIENT_OPTIONS}) or "no bars")
     elif a.command == "backtest":
         print(runs.run_backtest(spark, a.config))
     elif a.command == "experiments":

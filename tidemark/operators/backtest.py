@@ -40,13 +40,18 @@ def execute(bars: DataFrame, frame: Frame, capital: float, size: float = 1.0, di
     """Add position, entry, fills and equity to bars with `open`, `close` and a direction.
 
     `position` is held during the bar, `entry_price`/`entry_time` are of the open position or the one closed at this bar's open, `fill_pnl` is of a
-    trade closed here (else null), and `equity`, `unrealized_pnl`, `realized_pnl` are after the close. The direction on a series' last bar is never
-    filled, and a position open at the end stays open. Columns of the added names are replaced; other extra columns stay. Null directions are flat; bars with
+    trade closed here (else null), and `equity`, `unrealized_pnl`, `realized_pnl` are after the close. A position is opened, closed or turned where the sign of what is wanted
+    changes; another size of the same sign changes nothing, the size of the opening bar is held. The direction on a series' last bar is never
+    filled, and a position open at the end stays open. Columns of the added names are replaced; other extra columns stay. Null and NaN directions are flat; bars with
     null prices give null equity.
     """
     w, run = frame.ordered, frame.so_far
     flat = F.lit(0.0)
-    step = bars.withColumn("position", F.coalesce(F.lag(direction).over(w).cast("double") * float(size), flat))
+    wanted = F.lag(direction).over(w).cast("double")
+    step = bars.withColumn("_target", F.coalesce(F.when(~F.isnan(wanted), wanted * float(size)), flat))
+    turn = F.signum("_target") != F.coalesce(F.signum(F.lag("_target").over(w)), flat)
+    step = step.withColumn("_turn", F.when(turn, F.col("_target")))
+    step = step.withColumn("position", F.coalesce(F.last("_turn", ignorenulls=True).over(run), flat))
     step = step.withColumn("_prev", F.coalesce(F.lag("position").over(w), flat))
     opened = (F.col("position") != F.col("_prev")) & (F.col("position") != 0)
     step = step.withColumns({
@@ -61,7 +66,7 @@ def execute(bars: DataFrame, frame: Frame, capital: float, size: float = 1.0, di
         "fill_qty": F.when(closing, F.abs("_prev")), "fill_side": F.when(closing, F.when(F.col("_prev") > 0, "long").otherwise("short")),
         "fill_entry_price": F.when(closing, F.col("_was")), "fill_entry_ts": F.when(closing, F.col("_was_since")),
     })
-    return step.withColumn("equity", F.lit(float(capital)) + F.col("realized_pnl") + F.col("unrealized_pnl")).drop("_prev", "_entry", "_since", "_was", "_was_since")
+    return step.withColumn("equity", F.lit(float(capital)) + F.col("realized_pnl") + F.col("unrealized_pnl")).drop("_target", "_turn", "_prev", "_entry", "_since", "_was", "_was_since")
 
 
 def with_drawdown(equity: DataFrame, frame: Frame, capital: float) -> DataFrame:
@@ -72,6 +77,12 @@ def with_drawdown(equity: DataFrame, frame: Frame, capital: float) -> DataFrame:
     return out.withColumn("max_drawdown_pct", F.max("drawdown_pct").over(run))
 
 
+def drawdown_error(curve: DataFrame, frame: Frame, capital: float) -> DataFrame:
+    """By series, how far the curve's greatest drawdown is from one taken anew from its equity alone: a check of whatever made the curve."""
+    anew = with_drawdown(curve.select(*frame.keys, frame.time, "equity", F.col("max_drawdown_pct").alias("_told")), frame, capital)
+    return anew.groupBy(*frame.keys).agg(F.abs(F.max("_told") - F.max("max_drawdown_pct")).alias("error"))
+
+
 _ADDED = ("position", "fill_pnl", "realized_pnl", "unrealized_pnl", "fill_qty", "fill_side", "fill_entry_price", "fill_entry_ts", "equity")
 
 

@@ -81,27 +81,49 @@ def simulate(scenarios: DataFrame, n_trades: int, n_sims: int, capital: float, s
     return analytic(scenarios).join(done, "scenario")
 
 
-def simulate_numpy(spark: SparkSession, scenarios: list[Scenario], n_trades: int, n_sims: int, capital: float, seed: int = 42) -> DataFrame:
-    """The same figures with numpy's generator, one task per scenario and seed `seed` plus the scenario's number: for results that must equal a run outside Spark."""
+def endings(scenarios: DataFrame, n_trades: int, n_sims: int, capital: float, seed: int = 42) -> DataFrame:
+    """The ending equity of every simulation of `simulate`: name, sim, ending_equity."""
+    last = paths(scenarios, n_trades, n_sims, capital, seed).where(F.col("trade") == n_trades).select("scenario", "sim", F.col("equity").alias("ending_equity"))
+    return last.join(scenarios.select("scenario", "name"), "scenario").select("name", "sim", "ending_equity")
+
+
+def _numpy_paths(s, n_trades: int, n_sims: int, capital: float, seed: int) -> np.ndarray:
+    """Equity after every trade of every simulation of a scenario, by numpy's generator in a fixed order of draws."""
+    rng = np.random.default_rng(seed + int(s.scenario))
+    win = rng.random((n_sims, n_trades)) < s.p_win
+    up = rng.normal(s.avg_win, s.win_std, win.shape) if s.win_std > 0 else s.avg_win
+    down = rng.normal(s.avg_loss, s.loss_std, win.shape) if s.loss_std > 0 else s.avg_loss
+    return capital + np.cumsum(np.where(win, up, -np.asarray(down)) - s.cost, axis=1)
+
+
+def _by_numpy(spark: SparkSession, scenarios: list[Scenario], schema: str, rows_of, *args) -> DataFrame:
     ship(spark)
     table = scenario_table(spark, scenarios).repartition(max(1, len(scenarios)), "scenario")
 
     def run(batches):
         for b in batches:
-            rows = []
             for s in b.itertuples():
-                rng = np.random.default_rng(seed + int(s.scenario))
-                win = rng.random((n_sims, n_trades)) < s.p_win
-                up = rng.normal(s.avg_win, s.win_std, win.shape) if s.win_std > 0 else s.avg_win
-                down = rng.normal(s.avg_loss, s.loss_std, win.shape) if s.loss_std > 0 else s.avg_loss
-                path = capital + np.cumsum(np.where(win, up, -np.asarray(down)) - s.cost, axis=1)
-                peak = np.maximum(np.maximum.accumulate(path, axis=1), capital)
-                end = path[:, -1]
-                rows.append((s.scenario, end.mean(), np.median(end), end.std(), (end < capital).mean(), (peak - path).max(axis=1).mean()))
-            yield pd.DataFrame(rows, columns=["scenario", "mean_ending_equity", "median_ending_equity", "std_ending_equity", "probability_of_loss", "mean_max_drawdown"])
-
-    done = table.mapInPandas(run, "scenario int, mean_ending_equity double, median_ending_equity double, std_ending_equity double, probability_of_loss double, mean_max_drawdown double")
-    return analytic(table).join(done, "scenario")
+                yield rows_of(s, _numpy_paths(s, *args))
+
+    return table.mapInPandas(run, schema)
+
+
+def simulate_numpy(spark: SparkSession, scenarios: list[Scenario], n_trades: int, n_sims: int, capital: float, seed: int = 42) -> DataFrame:
+    """The same figures with numpy's generator, one task per scenario and seed `seed` plus the scenario's number: for results that must equal a run outside Spark."""
+    names = ["scenario", "mean_ending_equity", "median_ending_equity", "std_ending_equity", "probability_of_loss", "mean_max_drawdown"]
+
+    def figures(s, path):
+        end, peak = path[:, -1], np.maximum(np.maximum.accumulate(path, axis=1), capital)
+        return pd.DataFrame([(s.scenario, end.mean(), np.median(end), end.std(), (end < capital).mean(), (peak - path).max(axis=1).mean())], columns=names)
+
+    done = _by_numpy(spark, scenarios, "scenario int, " + ", ".join(f"{n} double" for n in names[1:]), figures, n_trades, n_sims, capital, seed)
+    return analytic(scenario_table(spark, scenarios)).join(done, "scenario")
+
+
+def endings_numpy(spark: SparkSession, scenarios: list[Scenario], n_trades: int, n_sims: int, capital: float, seed: int = 42) -> DataFrame:
+    """The ending equity of every simulation of `simulate_numpy`: name, sim, ending_equity."""
+    rows = lambda s, path: pd.DataFrame({"name": s.name, "sim": np.arange(len(path)), "ending_equity": path[:, -1]})
+    return _by_numpy(spark, scenarios, "name string, sim int, ending_equity double", rows, n_trades, n_sims, capital, seed)
 
 
 def histogram(values: DataFrame, column: str, by: list[str], bins: int = 80) -> DataFrame:

@@ -16,7 +16,7 @@ def validation_counts(bars: DataFrame, keys: list[str] | None = None) -> DataFra
     `n_rows`, `null_times`, `duplicate_times` (beyond the first of a time), `out_of_order` (earlier than the bar before in
     order of arrival; 0 without an arrival column), `missing_<price>` (null or NaN, for the prices there are) and `negative_spreads`. Null
     spreads are fine. Times are counted per key in a first aggregation that combines before it shuffles; only the check
-    of arrival order windows single bars. An empty table gives no row with keys, and one of zeros without.
+    of arrival order windows single bars, of a scanned snapshot by split of its files. An empty table gives no row with keys, and one of zeros without.
     """
     keys = keys or []
     if "time" not in bars.columns:
@@ -27,13 +27,21 @@ def validation_counts(bars: DataFrame, keys: list[str] | None = None) -> DataFra
     rows = bars
     late = F.lit(0)
     if ARRIVAL in bars.columns:
-        w = Window.partitionBy(*keys).orderBy(ARRIVAL)
+        parts = [ARRIVAL + "." + c for c in ("file", "at")] if isinstance(bars.schema[ARRIVAL].dataType, T.StructType) and {"file", "at"} <= set(bars.schema[ARRIVAL].dataType.names) else []
+        w = Window.partitionBy(*keys, *parts).orderBy(ARRIVAL)
         rows = bars.withColumn("_late", F.lag("time").over(w) > F.col("time"))
         late = F.count_if("_late")
     spread = F.count_if(F.col("spread") < 0) if "spread" in bars.columns else F.lit(0)
     per_time = rows.groupBy(*keys, "time").agg(
         F.count(F.lit(1)).alias("_n"), late.cast("bigint").alias("_late"), spread.cast("bigint").alias("_spread"), *[F.count_if(g).alias(f"_{c}") for c, g in gone.items()]
     )
+    if ARRIVAL in bars.columns and parts:
+        # bars were compared within splits of files; between splits only their ends meet, of which there is a row for each split
+        ends = bars.groupBy(*keys, *[F.col(c).alias(f"_{i}") for i, c in enumerate(parts)]).agg(F.min_by("time", ARRIVAL).alias("_first"), F.max_by("time", ARRIVAL).alias("_last"))
+        seam = F.lag("_last").over(Window.partitionBy(*keys).orderBy("_0", "_1")) > F.col("_first")
+        zero = {c: F.lit(0).cast("bigint") for c in ("_n", "_spread", *[f"_{c}" for c in gone])}
+        seams = ends.withColumn("_seam", seam).where("_seam").select(*keys, F.col("_first").alias("time"), F.lit(1).cast("bigint").alias("_late"), *[v.alias(k) for k, v in zero.items()])
+        per_time = per_time.unionByName(seams).groupBy(*keys, "time").agg(*[F.sum(c).alias(c) for c in ("_n", "_late", "_spread", *[f"_{c}" for c in gone])])
     total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("bigint")
     known = F.col("time").isNotNull()
     return per_time.groupBy(*keys).agg(

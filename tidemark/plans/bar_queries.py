@@ -29,20 +29,18 @@ def hourly(spark: SparkSession, base: str) -> DataFrame:
 
 
 def market(spark: SparkSession, base: str) -> DataFrame:
-    """The bars table, each time of a series once: the latest arrival, without bars that lack a price or have an impossible one."""
+    """The bars table, each time of a series once: the latest arrival, without bars that lack a price."""
     raw = missing_as_null(table(spark, base, "bars"))
     w = Window.partitionBy("broker", "symbol", "time").orderBy(F.desc("arrived_utc"), *[F.desc_nulls_last(c) for c in ("close", "high", "low", "open")])
     once = raw.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r", "arrived_utc")
-    prices = [F.col(c) for c in validate.PRICES]
-    once = once.dropna(subset=list(validate.PRICES)).where((F.least(*prices) > 0) & (F.greatest(*prices) < 5e6))
-    return coalesce_volume(once).withColumn("time", F.col("time").cast("timestamp_ntz"))
+    return coalesce_volume(once.dropna(subset=list(validate.PRICES))).withColumn("time", F.col("time").cast("timestamp_ntz"))
 
 
 _HOURLY = """SELECT event_type AS symbol, date_trunc('hour', ts) AS time, arg_min(value, (ts, event_id)) AS open, max(value) AS high, min(value) AS low,
   arg_max(value, (ts, event_id)) AS close, count(*) AS volume FROM events GROUP BY ALL"""
 _MARKET = """SELECT * EXCLUDE (arrived_utc) REPLACE (CAST(time AT TIME ZONE 'UTC' AS TIMESTAMP) AS time), tick_volume AS volume FROM bars
   WHERE TRUE QUALIFY row_number() OVER (PARTITION BY broker, symbol, time ORDER BY arrived_utc DESC, close DESC NULLS LAST, high DESC NULLS LAST, low DESC NULLS LAST, open DESC NULLS LAST) = 1"""
-_MARKET = f"SELECT * FROM ({_MARKET}) WHERE open IS NOT NULL AND high IS NOT NULL AND low IS NOT NULL AND close IS NOT NULL AND least(open, high, low, close) > 0 AND greatest(open, high, low, close) < 5e6"
+_MARKET = f"SELECT * FROM ({_MARKET}) WHERE open IS NOT NULL AND high IS NOT NULL AND low IS NOT NULL AND close IS NOT NULL"
 
 
 def bars_hourly(spark, base):
@@ -243,6 +241,12 @@ def equity_curve(spark, base):
     return _six(backtest.equity_records(_curve(spark, base), HOURLY), "equity", "unrealized_pnl", "realized_pnl")
 
 
+def resized_positions(spark, base):
+    """Wanted positions of sizes one to three by turns: only changes of sign trade."""
+    sized = _signals(spark, base).withColumn("_n", F.row_number().over(HOURLY.ordered)).withColumn("direction", F.col("direction") * (1 + F.col("_n") % 3))
+    return _six(backtest.run(sized, HOURLY, CAPITAL, 0.5).select("symbol", "time", "position", "fill_pnl", "equity"), "fill_pnl", "equity")
+
+
 def drawdown(spark, base):
     return _six(_curve(spark, base).select("symbol", "time", "peak_equity", "drawdown_pct", "max_drawdown_pct"), "peak_equity", "drawdown_pct", "max_drawdown_pct")
 
@@ -254,12 +258,12 @@ def global_halt(spark, base):
 
 def period_pause(spark, base):
     curve = _curve(spark, base, backtest.RiskConfig(LIMIT, DAILY, MONTHLY))
-    return _six(curve.select("symbol", "time", "position", "equity", "max_drawdown_pct", "halted", "flatten", "daily_halts", "monthly_halts"), "equity", "max_drawdown_pct")
+    return _six(curve.select("symbol", "time", "position", "equity", "max_drawdown_pct", "halted", "flatten", "daily_halts", "monthly_halts", "risk_reason"), "equity", "max_drawdown_pct")
 
 
 def metrics(spark, base):
     risk = backtest.RiskConfig(LIMIT)
-    found = backtest.metrics(_curve(spark, base, risk), HOURLY, CAPITAL, risk).drop("daily_drawdown_pct_limit", "monthly_drawdown_pct_limit", "daily_halts", "monthly_halts")
+    found = backtest.metrics(_curve(spark, base, risk), HOURLY, CAPITAL, risk)
     return _six(found, "ending_equity", "total_pnl", "win_rate", "average_win", "average_loss", "max_drawdown_pct")
 
 
@@ -349,10 +353,12 @@ _HALT = _halt_sql(_SIGNAL_CTE, CAPITAL)
 _PAUSE = f"""WITH RECURSIVE {_SIGNAL_CTE},
 p AS (
   SELECT symbol, -1::BIGINT AS i, NULL::TIMESTAMP AS time, {CAPITAL}::DOUBLE AS realised, 0.0::DOUBLE AS position, 0.0::DOUBLE AS entry, {CAPITAL}::DOUBLE AS equity, {CAPITAL}::DOUBLE AS peak,
-    0.0::DOUBLE AS most, FALSE AS halted, FALSE AS dp, FALSE AS mp, {CAPITAL}::DOUBLE AS db, {CAPITAL}::DOUBLE AS mb, 0 AS nd, 0 AS nm, FALSE AS flatten, 0.0::DOUBLE AS target
+    0.0::DOUBLE AS most, '' AS risk_reason, FALSE AS halted, FALSE AS dp, FALSE AS mp, {CAPITAL}::DOUBLE AS db, {CAPITAL}::DOUBLE AS mb, 0 AS nd, 0 AS nm, FALSE AS flatten, 0.0::DOUBLE AS target
   FROM (SELECT DISTINCT symbol FROM sig)
   UNION ALL
-  SELECT symbol, i, time, realised, position, entry, equity, peak, greatest(most, dd), h, d OR h1, m OR h2, db, mb, nd + CASE WHEN h1 THEN 1 ELSE 0 END, nm + CASE WHEN h2 THEN 1 ELSE 0 END,
+  SELECT symbol, i, time, realised, position, entry, equity, peak, greatest(most, dd),
+    concat_ws('; ', CASE WHEN h AND NOT halted THEN printf('Global DD %.2f%% >= limit {LIMIT:.2f}%%', dd) END, CASE WHEN h1 THEN printf('Daily DD %.2f%% >= limit {DAILY:.2f}%%', greatest((db - equity) / db * 100, 0)) END,
+      CASE WHEN h2 THEN printf('Monthly DD %.2f%% >= limit {MONTHLY:.2f}%%', greatest((mb - equity) / mb * 100, 0)) END), h, d OR h1, m OR h2, db, mb, nd + CASE WHEN h1 THEN 1 ELSE 0 END, nm + CASE WHEN h2 THEN 1 ELSE 0 END,
     h OR d OR h1 OR m OR h2, CASE WHEN h OR d OR h1 OR m OR h2 THEN 0.0::DOUBLE ELSE direction END
   FROM (
     SELECT *, halted OR dd >= {LIMIT} AS h, NOT d AND db > 0 AND greatest((db - equity) / db * 100, 0) >= {DAILY} AS h1, NOT m AND mb > 0 AND greatest((mb - equity) / mb * 100, 0) >= {MONTHLY} AS h2
@@ -366,7 +372,7 @@ p AS (
             CASE WHEN p.time IS NOT NULL AND date_trunc('month', s.time) = date_trunc('month', p.time) THEN p.mb ELSE p.equity END AS mb
           FROM p JOIN sig s ON s.symbol = p.symbol AND s.i = p.i + 1))))
 )
-SELECT symbol, time, position, round(equity, 6) AS equity, round(most, 6) AS max_drawdown_pct, halted, flatten, nd AS daily_halts, nm AS monthly_halts FROM p WHERE i >= 0"""
+SELECT symbol, time, position, round(equity, 6) AS equity, round(most, 6) AS max_drawdown_pct, halted, flatten, nd AS daily_halts, nm AS monthly_halts, risk_reason FROM p WHERE i >= 0"""
 
 
 # -- expectancy
@@ -390,7 +396,7 @@ _VALUES = ", ".join(f"('{s.name}', {s.p_win}::DOUBLE, {s.avg_win}::DOUBLE, {s.av
 
 QUERIES = {f.__name__: f for f in (
     bars_hourly, market_bars, validate_counts, dedupe_first_wins, yearly_split_counts, snapshot_meta, sma, ema, diff, lag, rescale, zscore, feature_pipeline,
-    true_range_dm, adx, signal_ma, signal_adx, positions, trades, equity_curve, drawdown, global_halt, period_pause, metrics, market_backtest, market_ema, market_adx, market_signal_adx, market_period_pause, market_metrics,
+    true_range_dm, adx, signal_ma, signal_adx, positions, trades, equity_curve, resized_positions, drawdown, global_halt, period_pause, metrics, market_backtest, market_ema, market_adx, market_signal_adx, market_period_pause, market_metrics,
     expectancy_analytic, expectancy_sim, expectancy_numpy,
 )}
 
@@ -420,6 +426,13 @@ SQL = {
     "trades": f"""{_RUN} SELECT symbol, was_since AS entry_ts, time AS exit_ts, CASE WHEN prev > 0 THEN 'long' ELSE 'short' END AS side, abs(prev) AS qty, was AS entry_price, open AS exit_price,
       round(pnl, 6) AS pnl FROM x WHERE pnl IS NOT NULL""",
     "equity_curve": f"{_RUN} SELECT symbol, time AS timestamp, round(equity, 6) AS equity, position, round(unrealized_pnl, 6) AS unrealized_pnl, round(realized_pnl, 6) AS realized_pnl FROM x",
+    "resized_positions": f"""WITH {_SIGNAL_CTE}, z AS (SELECT *, coalesce(lag(direction * (1 + (i + 1) % 3)) OVER w * 0.5::DOUBLE, 0.0::DOUBLE) AS t FROM sig WINDOW w AS (PARTITION BY symbol ORDER BY time)),
+      g AS (SELECT *, sum(CASE WHEN sign(t) <> coalesce(s, 0) THEN 1 ELSE 0 END) OVER (PARTITION BY symbol ORDER BY time ROWS UNBOUNDED PRECEDING) AS k
+        FROM (SELECT *, lag(sign(t)) OVER (PARTITION BY symbol ORDER BY time) AS s FROM z)),
+      q AS (SELECT *, first_value(t) OVER v AS position, CASE WHEN t <> 0 THEN first_value(open) OVER v END AS entry FROM g WINDOW v AS (PARTITION BY symbol, k ORDER BY time)),
+      u AS (SELECT *, CASE WHEN k <> lag(k) OVER w AND lag(position) OVER w <> 0 THEN (open - lag(entry) OVER w) * lag(position) OVER w END AS fill_pnl FROM q WINDOW w AS (PARTITION BY symbol ORDER BY time))
+      SELECT symbol, time, position, round(fill_pnl, 6) AS fill_pnl, round({CAPITAL}::DOUBLE + coalesce(sum(fill_pnl) OVER (PARTITION BY symbol ORDER BY time ROWS UNBOUNDED PRECEDING), 0)
+        + CASE WHEN position <> 0 THEN (close - entry) * position ELSE 0 END, 6) AS equity FROM u""",
     "drawdown": f"""{_RUN} SELECT symbol, time, round(peak_equity, 6) AS peak_equity, round(drawdown_pct, 6) AS drawdown_pct,
       round(max(drawdown_pct) OVER (PARTITION BY symbol ORDER BY time ROWS UNBOUNDED PRECEDING), 6) AS max_drawdown_pct FROM x""",
     "global_halt": f"{_HALT} SELECT symbol, time, position, round(equity, 6) AS equity, halted, risk_reason FROM y",
@@ -427,7 +440,8 @@ SQL = {
     "metrics": f"""{_HALT} SELECT symbol, count(*) AS n_bars, min(time) AS start_ts, max(time) AS end_ts, {CAPITAL}::DOUBLE AS starting_capital, round(arg_max(equity, time), 6) AS ending_equity,
       count(pnl) AS n_trades, round(coalesce(sum(pnl), 0), 6) AS total_pnl, round(coalesce(avg(CASE WHEN pnl > 0 THEN 1.0 WHEN pnl IS NOT NULL THEN 0.0 END), 0), 6) AS win_rate,
       round(coalesce(avg(pnl) FILTER (pnl > 0), 0), 6) AS average_win, round(coalesce(avg(pnl) FILTER (pnl < 0), 0), 6) AS average_loss, round(max(drawdown_pct), 6) AS max_drawdown_pct,
-      max(halted) AS risk_halted, min(time) FILTER (halted) AS risk_halted_at FROM y GROUP BY symbol""",
+      max(halted) AS risk_halted, min(time) FILTER (halted) AS risk_halted_at, NULL::DOUBLE AS daily_drawdown_pct_limit, NULL::DOUBLE AS monthly_drawdown_pct_limit,
+      0 AS daily_halts, 0 AS monthly_halts FROM y GROUP BY symbol""",
     "market_backtest": _halt_sql(_signal_cte(f"SELECT * EXCLUDE (broker) REPLACE (broker || '/' || symbol AS symbol) FROM ({_MARKET})", 10, 30), 100_000.0)
     + " SELECT symbol, count(*) AS n_bars, count(pnl) AS n_trades, round(coalesce(sum(pnl), 0), 4) AS total_pnl, round(arg_max(equity, time), 4) AS ending_equity, max(halted) AS risk_halted FROM y GROUP BY symbol",
     "expectancy_analytic": f"""SELECT name, round(p * w - (1 - p) * l - c, 6) AS expectancy_per_trade, round(p * (w - (p * w - (1 - p) * l)) ** 2 + (1 - p) * (-l - (p * w - (1 - p) * l)) ** 2, 6) AS variance_per_trade

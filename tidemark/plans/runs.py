@@ -20,7 +20,7 @@ from tidemark.sources import snapshot
 
 log = logging.getLogger(__name__)
 SERIES = Frame(("symbol",))
-PLOT_POINTS = 5_000
+PIXELS = 1400  # columns of a picture; of the bars of a column the lowest and highest are drawn
 
 
 def load_config(path: str) -> dict:
@@ -60,21 +60,41 @@ def curve_of(bars: DataFrame, config: dict, frame: Frame = SERIES) -> tuple[Data
     return backtest.run(signals, frame, float(config["starting_capital"]), float(config.get("position_size", 1.0)), risk), risk, made
 
 
-def _write_csv(df: DataFrame, path: Path, order: str) -> int:
-    """One series' rows to one CSV, sorted by Spark and streamed to the file; returns their number."""
-    n = 0
-    with path.open("w", newline="", encoding="utf-8") as f:
-        out = csv.writer(f)
-        for row in df.orderBy(order).toLocalIterator():
-            if not n:
-                out.writerow(df.columns)
-            out.writerow(["" if v is None else v for v in row])
-            n += 1
-    return n
+def envelope(curve: DataFrame, frame: Frame, n_bars: int, columns: int = PIXELS) -> DataFrame:
+    """Time, and lowest and highest close and equity, of each of at most `columns` stretches of one series' curve: what a picture of that width shows of it."""
+    part = F.floor((F.row_number().over(frame.ordered) - 1) * F.lit(columns) / F.lit(max(n_bars, columns)))
+    cols = [f(c).alias(f"{name}_{c}") for c in ("close", "equity") for name, f in (("low", F.min), ("high", F.max))]
+    return curve.select(frame.time, "close", "equity", part.alias("_part")).groupBy("_part").agg(F.min(frame.time).alias("time"), *cols)
+
+
+def _pictures(draw) -> bool:
+    """Run `draw` with the plotting library, if it is there."""
+    try:
+        import matplotlib
+
+        matplotlib.use("Agg")
+        from matplotlib import pyplot
+    except ImportError:
+        log.info("no plotting library: no pictures")
+        return False
+    draw(pyplot)
+    return True
+
+
+def _draw_curve(rows, folder: Path) -> bool:
+    def draw(pyplot):
+        for column, name in (("close", "close_price"), ("equity", "equity")):
+            fig, ax = pyplot.subplots(figsize=(14, 5))
+            ax.fill_between([r["time"] for r in rows], [r[f"low_{column}"] for r in rows], [r[f"high_{column}"] for r in rows], step="mid", linewidth=0.8)
+            ax.set(title=name.replace("_", " "), xlabel="time", ylabel=column)
+            fig.savefig(folder / f"{name}.png", dpi=100)
+            pyplot.close(fig)
+
+    return _pictures(draw)
 
 
 def run_backtest(spark: SparkSession, config_path: str, root: str = ".") -> Path:
-    """Run one configuration on its snapshot and write equity.csv, trades.csv (empty without trades), metrics.json, plot tables, DATA_REF.json,
+    """Run one configuration on its snapshot and write equity.csv, trades.csv (empty without trades), metrics.json, the plotted table and, with a plotting library, PNGs, DATA_REF.json,
     the configuration and a README into a new directory, which is returned."""
     config = load_config(config_path)
     symbol, directory = config["symbol"], Path(root) / config["snapshot_dir"]
@@ -97,12 +117,17 @@ def run_backtest(spark: SparkSession, config_path: str, root: str = ".") -> Path
         found = found.withColumns({c: iso(F.col(c)) for c in ("start_ts", "end_ts", "risk_halted_at")})
         figures = {"run_id": out.name, "symbol": symbol, "timeframe": config.get("timeframe", "M5"), **{k: v for k, v in found.first().asDict().items() if k != "symbol"}, **git_state(root)}
         records = backtest.equity_records(curve, SERIES).drop("symbol").withColumn("timestamp", iso(F.col("timestamp")))
-        _write_csv(records, out / "equity.csv", "timestamp")
-        closed = backtest.trades(curve, SERIES).drop("symbol").withColumns({c: iso(F.col(c)) for c in ("entry_ts", "exit_ts")})
-        _write_csv(closed, out / "trades.csv", "entry_ts")
-        every = max(1, -(-figures["n_bars"] // PLOT_POINTS))
-        thin = curve.withColumn("_i", F.row_number().over(SERIES.ordered)).where((F.col("_i") - 1) % every == 0)
-        _write_csv(thin.select(iso(F.col("time")).alias("time"), "close", "equity"), out / "plots" / "close_and_equity.csv", "time")
+        off = backtest.drawdown_error(curve, SERIES, capital).first()["error"]
+        if off is not None and off >= 1e-10:
+            raise AssertionError(f"The greatest drawdown differs from that of the equity by {off}")
+        snapshot.write_csv(records, out / "equity.csv", "timestamp")
+        if figures["n_trades"]:
+            closed = backtest.trades(curve, SERIES).drop("symbol").withColumns({c: iso(F.col(c)) for c in ("entry_ts", "exit_ts")})
+            snapshot.write_csv(closed, out / "trades.csv", "entry_ts")
+        else:
+            (out / "trades.csv").touch()
+        snapshot.write_csv(curve.select(iso(F.col("time")).alias("time"), "close", "equity"), out / "plots" / "close_and_equity.csv", "time")
+        _draw_curve(envelope(curve, SERIES, figures["n_bars"]).orderBy("time").collect(), out / "plots")
     finally:
         curve.unpersist()
     snapshot.write_atomically(out / "metrics.json", json.dumps(figures, indent=2))
@@ -156,4 +181,20 @@ def run_expectancy(spark: SparkSession, config_path: str, out: str, exact: bool
         {k: v if isinstance(v, str) else round(v, 4 if k in rates else 2) for k, v in r.asDict().items() if k != "scenario"} for r in found.orderBy("scenario").collect()
     ]
     snapshot.write_atomically(Path(out), json.dumps(rows, indent=2))
+    ends = expectancy.endings_numpy(spark, scenarios, *args) if exact else expectancy.endings(expectancy.scenario_table(spark, scenarios), *args)
+    bins = expectancy.histogram(ends, "ending_equity", ["name"]).orderBy("name", "bin").toPandas()  # at most 80 rows a scenario
+    snapshot.write_atomically(Path(out).with_suffix(".histogram.csv"), bins.to_csv(index=False))
+
+    def draw(pyplot):
+        fig, axes = pyplot.subplots(1, len(rows), figsize=(7 * len(rows), 5), squeeze=False)
+        for ax, r in zip(axes[0], rows):
+            mine = bins[bins["name"] == r["name"]]
+            ax.step(mine["from_value"], mine["n"], where="post")
+            for value, style in ((r["mean_ending_equity"], "--"), (r["median_ending_equity"], "-."), (args[2], ":")):
+                ax.axvline(value, linestyle=style, linewidth=1)
+            ax.set(title=r["name"], xlabel="ending equity", ylabel="simulations")
+        fig.savefig(Path(out).with_suffix(".png"), dpi=150)
+        pyplot.close(fig)
+
+    _pictures(draw)
     return rows
