@@ -20,7 +20,8 @@ from tidemark.functions.blocks import halo, with_blocks
 from tidemark.schema import require_ohlcv
 from tidemark.session import ship
 
-EXACT = "decimal(30,12)"
+EXACT = "decimal(38,0)"
+BITS = 96  # of a sum's whole part, counted from the greatest value of the series
 FADED = 40.0  # a weight of exp(-40) is below the last digit of a double
 
 
@@ -38,6 +39,10 @@ class Frame:
     def last(self, n: int) -> WindowSpec:
         return self.ordered.rowsBetween(-(n - 1), 0)
 
+    @property
+    def whole(self) -> WindowSpec:
+        return Window.partitionBy(*self.keys)
+
     @property
     def so_far(self) -> WindowSpec:
         return self.ordered.rowsBetween(Window.unboundedPreceding, 0)
@@ -73,10 +78,11 @@ class Recurrence(Protocol):
 
 @dataclass(frozen=True)
 class SMA:
-    """Simple moving average: null unless there are `period` values and none is missing.
+    """Simple moving average: null unless there are `period` values and none is missing or infinite.
 
-    Taken as the difference of two exact running sums (12 decimal places, magnitudes below 1e18), so it costs the same for any period and constant
-    stretches give exactly their value. A window over a window needs two projections, which `stages` gives.
+    Taken as the difference of two exact running sums, so it costs the same for any period and constant stretches give exactly their value. The sums are of whole
+    numbers: every value is scaled by the power of two that brings the greatest of its series (or block) to 96 bits, so values of any magnitude keep all their digits unless they are 2^43 times
+    smaller than the greatest one. A window over a window needs two projections, which `stages` gives.
     """
 
     period: int
@@ -95,14 +101,23 @@ class SMA:
         return (self.source,)
 
     def stages(self, frame: Frame) -> list[dict[str, Column]]:
-        exact = F.col(self.source).cast("double").try_cast(EXACT)
-        s, c = f"_sum_{self.source}", f"_cnt_{self.source}"
-        zero = F.lit(0).cast("decimal(38,12)")
+        x = F.col(self.source).cast("double")
+        x = F.when(~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))), x)
+        s, c, up = f"_sum_{self.source}", f"_cnt_{self.source}", f"_up_{self.source}"
+        top = F.max(F.abs(x)).over(frame.whole)
+        bits = F.least(F.lit(float(BITS)) - F.floor(F.log2(F.when(top > 0, top).otherwise(1.0))), F.lit(1170.0))
+        # in two steps, as one power of two may be beyond a double
+        half = F.floor(F.col(up) / 2).cast("double")
+        power = lambda e: F.pow(F.lit(2.0), e)
+        exact = (x * power(half) * power(F.col(up) - half)).try_cast(EXACT)
+        zero = F.lit(0).cast(EXACT)
         total = F.col(s) - F.coalesce(F.lag(s, self.period).over(frame.ordered), zero)
         full = F.col(c) - F.lag(c, self.period, 0).over(frame.ordered) == self.period
+        mean = (total / F.lit(self.period).cast("decimal(10,0)")).cast("double") * power(half - F.col(up)) * power(-half)
         return [
+            {up: bits},
             {s: F.coalesce(F.sum(exact).over(frame.so_far), zero), c: F.count(exact).over(frame.so_far)},
-            {self.name: F.when(full, total.cast("double") / F.lit(self.period))},
+            {self.name: F.when(full, mean)},
         ]
 
 
@@ -196,21 +211,23 @@ class ADX:
             dx[(str_ == 0) | np.isnan(str_)] = np.nan
         # dx[k] belongs to row p + k
         if n > 2 * p:
-            value = dx[1:p + 1].mean()
-            out[2 * p] = value
-            for row in range(2 * p + 1, n):
-                value = (value * (p - 1) + dx[row - p]) / p
-                out[row] = value
+            out[2 * p:] = _smooth(dx[1:p + 1].mean(), dx[p + 1:], p)
         return {self.name: out}
 
 
+def _smooth(first: float, rest: np.ndarray, p: int) -> np.ndarray:
+    """The recurrence y = y + (x - y)/p from `first` on; a missing value leaves all later ones missing."""
+    x = np.concatenate(([first], rest))
+    y = pd.Series(x).ewm(alpha=1.0 / p, adjust=False).mean().to_numpy(copy=True)
+    gone = np.isnan(x)
+    if gone.any():
+        y[int(np.argmax(gone)):] = np.nan
+    return y
+
+
 def _wilder_sum(x: np.ndarray, p: int) -> np.ndarray:
-    out = np.empty(len(x) - p + 1)
-    out[0] = s = x[:p].sum()
-    for k, v in enumerate(x[p:].tolist(), 1):
-        s = s - s / p + v
-        out[k] = s
-    return out
+    """The sum of the first `p` values, then s = s - s/p + x, which is p times the smoothing of x."""
+    return p * _smooth(x[:p].sum() / p, x[p:], p)
 
 
 @dataclass(frozen=True)
@@ -380,15 +397,17 @@ class FeaturePipeline:
                 raise ValueError(f"Source column not found: {', '.join(lost)}")
         names = self.names(bars)
         out = fold_features(bars, [s.base for s in self.specs if isinstance(s.base, Recurrence)], self.frame)
-        first, second = {}, {}
+        stages: list[dict[str, Column]] = [{}]
         for s in self.specs:
             if hasattr(s.base, "stages"):
-                a, b = s.base.stages(self.frame)
-                first, second = {**first, **a}, {**second, **b}
+                made = s.base.stages(self.frame)
+                stages = [{} for _ in range(len(made) - len(stages))] + stages
+                for k, stage in enumerate(reversed(made), 1):
+                    stages[-k].update(stage)
             elif not isinstance(s.base, Recurrence):
-                second = {**second, **s.base.columns(self.frame)}
-        helpers = list(first)
-        for stage in (first, {k: v for k, v in second.items() if k not in out.columns}):
+                stages[-1].update(s.base.columns(self.frame))
+        for stage in stages:
+            stage = {k: v for k, v in stage.items() if k not in out.columns}
             out = out.withColumns(stage) if stage else out
         # each round applies the next transform of every spec
         current: dict[str, Column] = {}
@@ -409,12 +428,6 @@ class FeaturePipeline:
         return done.select(*self.frame.keys, self.frame.time, *self.names())
 
 
-def has_long_series(bars: DataFrame, keys: tuple[str, ...], rows: int = 2_000_000) -> bool:
-    """Whether some series has more rows than a task should hold; counted before it is shuffled, one number comes back."""
-    most = bars.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n")).first()[0]
-    return (most or 0) > rows
-
-
 def fold_features(bars: DataFrame, recurrences: list[Recurrence], frame: Frame) -> DataFrame:
     """Add the columns of recurrences, all in one pass over each series.
 

@@ -98,12 +98,12 @@ FEATURES = [
 
 
 def _rounded(df, keys, names, **places):
-    """Averages to 14 significant digits; others to decimal places, as differences of large numbers have few good digits."""
-    return df.select(*keys, *[(F.round(n, places[n]) if n in places else round_sig(F.col(n), 14)).alias(n) for n in names])
+    """Averages to 12 significant digits; others to decimal places, as differences of large numbers have few good digits."""
+    return df.select(*keys, *[(F.round(n, places[n]) if n in places else round_sig(F.col(n), 12)).alias(n) for n in names])
 
 
 def _sig(x):
-    return f"CASE WHEN {x} IS NOT NULL THEN CAST(printf('%.13e', CAST({x} AS DOUBLE)) AS DOUBLE) END"
+    return f"CASE WHEN {x} IS NOT NULL THEN CAST(printf('%.11e', CAST({x} AS DOUBLE)) AS DOUBLE) END"
 
 
 def _sql_sma(n, source, keys):
@@ -114,8 +114,8 @@ def _sql_sma(n, source, keys):
 
 
 def _market_features(spark, base, pipe):
-    """Series too long for a task are cut into blocks; the result is the same."""
-    return pipe.features(market(spark, base), split=features.has_long_series(table(spark, base, "bars"), SERIES.keys))
+    """Series of any length in blocks."""
+    return pipe.features(market(spark, base), split=True)
 
 
 def sma(spark, base):
