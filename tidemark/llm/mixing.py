@@ -135,11 +135,11 @@ def mix(
     rows = slim.join(F.broadcast(part), F.col("_source") == F.col("_msource")).drop("_msource")
     whole = F.floor(F.col("rate") + EPS)
     fraction = F.greatest(F.col("rate") - whole, F.lit(0.0))
-    # the shard decides only who is paired with whom
+    # the shard decides only who is paired with whom; the place of a row keeps many records of one id and size from sharing one
     rows = rows.select(
         "mix_id", "_source", "_id", "_w", F.when(F.col("_w") > 0, whole).otherwise(0).cast("bigint").alias("_whole"),
         F.when(F.col("_w") > 0, fraction).otherwise(0.0).alias("_x"),
-        F.pmod(F.xxhash64("_id", "_w", F.lit(seed)), F.col("_shards")).cast("bigint").alias("_shard"),
+        F.pmod(F.xxhash64("_id", "_w", F.monotonically_increasing_id(), F.lit(seed)), F.col("_shards")).cast("bigint").alias("_shard"),
     )
     kinds = dict(rows.dtypes)
     schema = ", ".join(f"{c} {kinds[c]}" for c in rows.columns)
