@@ -83,6 +83,6 @@ def test_empty(spark):
 def test_records_of_one_id_and_size_are_spread(spark):
     docs = spark.range(0, 3000, 1, 6).selectExpr("CAST(NULL AS BIGINT) AS doc_id", "'a' AS source", "10L AS n_tokens").unionByName(spark.createDataFrame([(1, "b", 20_000)], "doc_id bigint, source string, n_tokens bigint"))
     targets = spark.createDataFrame([("m", "a", 0.6, 1), ("m", "b", 0.4, 1)], "mix_id string, source string, target_share double, max_repeats int")
-    copies, report = mixing.mix(docs, targets, shard_rows=100, fan_in=4)
+    copies, report = mix(docs, targets, shard_rows=100, fan_in=4)
     got = {r["source"]: r for r in report.collect()}
     assert got["a"]["n_records"] == 3000 and abs(got["a"]["actual_share"] - 0.6) < 0.001
