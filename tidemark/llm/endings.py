@@ -22,6 +22,7 @@ REACH = 160  # characters within which running prose has the end of a sentence
 LOWEST, POINTS = -12.0, 97  # scores at which the curve of likelihood ratios is kept
 # Signs that a cut or the scanner leaves behind the last word (fixed values).
 _MARKS = "".join(filter(str.isspace, map(chr, range(0x3001)))) + "…�|·•°¦`´'[]<>^~*_"
+HYPHENS = ("-", "=", "~", "¬")
 _DOTS = re.compile(r"(?<=[^\s.])\s?\.\.\.$")
 _STOP = re.compile(r"[.!?][\"”“»'’)\]]*$|[.!?]\s[»“”\"]$")
 _INNER_STOP = re.compile(r"(?:(?<=[^\W\d_]{4})|(?<=[\"”“»'’)\]]))[.!?](?=[\s\"”“»'’)\]])")
@@ -139,6 +140,10 @@ def features(text: str) -> np.ndarray:
     shape, shape_b, shape_a = _shape(last), _shape(prev), _shape(third)
     f += ["s" + shape, "S" + shape[-9:], "p" + shape_b[:16] + "|" + shape, "P" + " ".join(before[:2]) + "|" + shape]
     f += ["x" + w for w in before] + ["y" + w for w in above] + ["X" + shape_b, f"Y{shape_a}|{shape_b}|{shape}", "X2" + " ".join(before[:2]), "Y2" + " ".join(above[:2])]
+    # the last two lines as one, whole words across the break, as what is announced may be wrapped anywhere
+    joined = prev[:-1] + last if prev[-1:] in HYPHENS and prev else f"{prev} {last}"
+    pair = [fold(w) for w in re.sub(r"\d+", "9", joined).split()]
+    f += ["V" + w for w in pair] + [f"B{a} {b}" for a, b in zip(pair, pair[1:])] + ["W" + " ".join(_shape(joined).split()[-6:]), "H" + " ".join(pair[:1]) + f"|{len(pair)}"]
     letters = [c for c in last if c.isalpha()]
     f += [f"c{round(4 * sum(c.isupper() for c in letters) / len(letters)) if letters else -1}", f"n{min(8, len(words))}"]
     end, end_a = ("a" if x[-1:].isalpha() else x[-1:] for x in (prev, third))
@@ -168,8 +173,8 @@ class Model:
         return np.bincount(at, self.weights[np.concatenate(rows)], len(rows)) / np.sqrt(n) + self.bias
 
 
-def fit(rows: list[np.ndarray], y: np.ndarray, weight: np.ndarray, epochs: int = 8, batch: int = 64, rate: float = 0.5, seed: int = 1) -> Model:
-    """Logistic regression by AdaGrad, averaged over the later half of the epochs; the same rows in the same order give the same model."""
+def fit(rows: list[np.ndarray], y: np.ndarray, weight: np.ndarray, epochs: int = 8, batch: int = 64, rate: float = 0.5, shrink: float = 3e-4, seed: int = 1) -> Model:
+    """Logistic regression by AdaGrad, averaged over the later half of the epochs, with weights drawn to zero by `shrink`; the same rows in the same order give the same model."""
     w, b, g2 = np.zeros(SIZE), 0.0, np.full(SIZE, 1e-6)
     n = np.array([len(r) for r in rows])
     rng, order = np.random.default_rng(seed), np.arange(len(rows))
@@ -182,7 +187,7 @@ def fit(rows: list[np.ndarray], y: np.ndarray, weight: np.ndarray, epochs: int =
             used, back = np.unique(np.concatenate([rows[i] for i in o]), return_inverse=True)
             z = np.bincount(at, w[used][back], len(o)) * scale + b
             err = (1 / (1 + np.exp(-z)) - y[o]) * weight[o]
-            g = np.bincount(back, (err * scale)[at], len(used)) / len(o) + 1e-6 * w[used]
+            g = np.bincount(back, (err * scale)[at], len(used)) / len(o) + shrink * w[used]
             g2[used] += g * g
             w[used] -= rate * g / np.sqrt(g2[used])
             b -= 0.05 * err.mean()
