@@ -100,59 +100,85 @@ def implausible(
                         "impossible", "spike", "stuck", "score")
 
 
+_BAR = "struct<high:double,low:double,close:double>"
+_SUMMARY = (f"_t bigint, _nruns bigint, _ac bigint, _ab {_BAR}, _zc bigint, _zb {_BAR}, _in_fresh bigint, _in_runs bigint, _in_n1 bigint, _in_n2 bigint, _in_n3 bigint, "
+            "_first double, _end double, _counts array<struct<m:string,b:int,c:bigint>>")
+
+
+def _summary(part: pa.Table, keys: list[str], max_price: float) -> pa.Table:
+    """One row for a block: its first time, the runs of equal bars at its ends and the number of those inside, its first and last close, and counts of changes and spreads by bucket."""
+    t = part.column("_t").to_numpy(zero_copy_only=False)
+    order = np.argsort(t, kind="stable")
+    bars = np.column_stack([_column(part, c)[order] for c in ("high", "low", "close")])
+    close, spread = bars[:, 2], _column(part, "spread")[order]
+    bars = bars[~np.isnan(bars).any(axis=1)]
+    row: dict = dict.fromkeys(("_ac", "_ab", "_zc", "_zb", "_first", "_end")) | dict.fromkeys(("_nruns", "_in_fresh", "_in_runs", "_in_n1", "_in_n2", "_in_n3"), 0)
+    if len(bars):
+        starts = np.flatnonzero(np.concatenate(([True], (bars[1:] != bars[:-1]).any(axis=1))))
+        size = np.diff(np.concatenate((starts, [len(bars)])))
+        inside = size[1:-1]
+        as_bar = lambda i: dict(zip(("high", "low", "close"), bars[i].tolist()))
+        row |= {"_nruns": len(size), "_ac": int(size[0]), "_ab": as_bar(0), "_zc": int(size[-1]), "_zb": as_bar(-1), "_in_fresh": len(inside), "_in_runs": int((inside > 1).sum()),
+                **{f"_in_n{n}": int((inside == n + 1).sum()) for n in (1, 2, 3)}}
+    with np.errstate(invalid="ignore", divide="ignore"):
+        ln = np.log(close[(close > 0) & (close < max_price)])
+        change, spread = np.abs(np.diff(ln)), spread[spread >= 0]
+    if len(ln):
+        row |= {"_first": float(ln[0]), "_end": float(ln[-1])}
+    counts = []
+    for m, values in (("d", change[change > 0]), ("s", spread[spread > 0])):
+        bucket, n = np.unique(np.ceil(np.log(values) / buckets.log_width(ERROR)).astype(int), return_counts=True)
+        counts += [{"m": m, "b": int(i), "c": int(c)} for i, c in zip(bucket, n)]
+    counts.append({"m": "0", "b": 0, "c": int((spread == 0).sum())})
+    row |= {"_t": int(t.min()), "_counts": counts}
+    kinds = [pa.field(k, part.schema.field(k).type) for k in (*keys, "_block")]
+    bar = pa.struct([("high", pa.float64()), ("low", pa.float64()), ("close", pa.float64())])
+    typed = {"_ab": bar, "_zb": bar, "_first": pa.float64(), "_end": pa.float64(), "_counts": pa.list_(pa.struct([("m", pa.string()), ("b", pa.int32()), ("c", pa.int64())]))}
+    names = [x.split()[0] for x in _SUMMARY.split(", ")]
+    arrays = [part.column(f.name).slice(0, 1).combine_chunks() for f in kinds] + [pa.array([row[n]], typed.get(n, pa.int64())) for n in names]
+    return pa.table(arrays, schema=pa.schema([*kinds, *[pa.field(n, typed.get(n, pa.int64())) for n in names]]))
+
+
 def _normal(core: DataFrame, keys: list[str], max_price: float) -> DataFrame:
     """What is normal for a source, as one row for each of its blocks, and how far the runs at the block's ends reach.
 
     `_move` is the median change of the logarithm of the close, of changes that aren't zero; `_s25`, `_s75` are quartiles of the spread; `_runs`, `_n1`, `_n2`, `_n3` and `_fresh` are the
     numbers of runs of repeats, of those of exactly one, two and three, and of readings that repeat none. `_head` and `_tail` are the numbers of readings of the whole
-    runs that the block's first and last full readings belong to, `_linked` tells that the first one isn't the beginning of its run.
+    runs that the block's first and last full readings belong to, `_linked` tells that the first one isn't the beginning of its run. Readings are passed over once, a block at a time; the
+    rest works on one row per block.
     """
     at = [*keys, "_block"]
-    w = Window.partitionBy(*at).orderBy("_t")
-    before = w.rowsBetween(Window.unboundedPreceding, -1)
-    fair = F.when((F.col("close") > 0) & (F.col("close") < max_price), F.ln("close"))
-    full = F.col("high").isNotNull() & F.col("low").isNotNull() & F.col("close").isNotNull()
-    told = core.select(*at, "_t", "spread", fair.alias("_ln"), F.when(full, F.struct("high", "low", "close")).alias("_bar"))
-    told = told.withColumns({"_d": F.abs(F.col("_ln") - F.last("_ln", ignorenulls=True).over(before)), "_prev": F.last("_bar", ignorenulls=True).over(before)})
-    told = told.withColumn("_run", F.sum((F.col("_bar").isNotNull() & ~F.coalesce(F.col("_bar") == F.col("_prev"), F.lit(False))).cast("bigint")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    # runs within blocks, then blocks; the exchange by block serves both
-    runs = told.where(F.col("_bar").isNotNull()).groupBy(*at, "_run").agg(F.count(F.lit(1)).alias("_c"), F.first("_bar").alias("_bar"))
-    last = F.col("_last")
-    inner = runs.withColumn("_last", F.max("_run").over(Window.partitionBy(*at)))
-    inside = (F.col("_run") > 1) & (F.col("_run") < last)
-    per_block = inner.groupBy(*at).agg(
-        F.max("_last").alias("_nruns"), F.max(F.when(F.col("_run") == 1, F.struct("_c", "_bar"))).alias("_a"), F.max(F.when(F.col("_run") == last, F.struct("_c", "_bar"))).alias("_z"),
-        F.count_if(inside).alias("_in_fresh"), F.count_if(inside & (F.col("_c") > 1)).alias("_in_runs"), *[F.count_if(inside & (F.col("_c") == n + 1)).alias(f"_in_n{n}") for n in (1, 2, 3)],
-    )
+    kinds = dict(core.dtypes)
+    schema = ", ".join([*[f"{k} {kinds[k]}" for k in at], _SUMMARY])
+    parts = core.groupBy(*at).applyInArrow(lambda part: _summary(part, keys, max_price), schema)
     series = Window.partitionBy(*keys).orderBy("_block")
-    edges = per_block.withColumn("_linked", F.coalesce(F.col("_a._bar") == F.lag("_z._bar").over(series), F.lit(False)))
+    so_far = series.rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.withColumns({
+        "_linked": F.coalesce(F.col("_ab") == F.last("_zb", ignorenulls=True).over(so_far), F.lit(False)),
+        "_cut": F.abs(F.col("_first") - F.last("_end", ignorenulls=True).over(so_far)),
+    })
     # the runs at the ends of blocks: those that are one across a cut form an island
-    ends = edges.select(*at, "_linked", "_nruns", F.explode(F.filter(F.array(
-        F.struct(F.lit(0).alias("pos"), F.col("_a._c").alias("c"), (~F.col("_linked")).alias("new")), F.when(F.col("_nruns") > 1, F.struct(F.lit(1).alias("pos"), F.col("_z._c").alias("c"), F.lit(True).alias("new"))),
-    ), lambda x: x.isNotNull())).alias("e")).select(*at, "_linked", "_nruns", "e.*")
-    along = Window.partitionBy(*keys).orderBy("_block", "pos")
-    ends = ends.withColumn("_island", F.sum(F.col("new").cast("bigint")).over(along.rowsBetween(Window.unboundedPreceding, 0)))
-    ends = ends.withColumn("_rows", F.sum("c").over(Window.partitionBy(*keys, "_island"))).withColumn("_begins", F.col("new"))
-    reach = ends.groupBy(*at).agg(F.max(F.when(F.col("pos") == 0, F.col("_rows"))).alias("_head"), F.max_by("_rows", "pos").alias("_tail"), F.max("_linked").alias("_linked"))
-    islands = ends.where("_begins")
-    counted = islands.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("_fresh"), F.count_if(F.col("_rows") > 1).alias("_runs"), *[F.count_if(F.col("_rows") == n + 1).alias(f"_n{n}") for n in (1, 2, 3)],
-    ).unionByName(per_block.groupBy(*keys).agg(F.sum("_in_fresh").alias("_fresh"), F.sum("_in_runs").alias("_runs"), *[F.sum(f"_in_n{n}").alias(f"_n{n}") for n in (1, 2, 3)]))
+    end = lambda pos, c, new: F.struct(F.lit(pos).alias("pos"), F.col(c).alias("c"), new.alias("new"))
+    ends = parts.where(F.col("_nruns") > 0).select(*at, "_linked", F.explode(F.filter(
+        F.array(end(0, "_ac", ~F.col("_linked")), F.when(F.col("_nruns") > 1, end(1, "_zc", F.lit(True)))), lambda x: x.isNotNull())).alias("e")).select(*at, "_linked", "e.*")
+    along = Window.partitionBy(*keys).orderBy("_block", "pos").rowsBetween(Window.unboundedPreceding, 0)
+    ends = ends.withColumn("_island", F.sum(F.col("new").cast("bigint")).over(along)).withColumn("_rows", F.sum("c").over(Window.partitionBy(*keys, "_island")))
+    exact = lambda c, shift: [F.count_if(F.col("new") & (F.col(c) == n + shift)).alias(f"_n{n}") for n in (1, 2, 3)]
+    counted = ends.groupBy(*keys).agg(F.count_if("new").alias("_fresh"), F.count_if(F.col("new") & (F.col("_rows") > 1)).alias("_runs"), *exact("_rows", 1))
+    counted = counted.unionByName(parts.groupBy(*keys).agg(F.sum("_in_fresh").alias("_fresh"), F.sum("_in_runs").alias("_runs"), *[F.sum(f"_in_n{n}").alias(f"_n{n}") for n in (1, 2, 3)]))
     counted = counted.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in ("_fresh", "_runs", "_n1", "_n2", "_n3")])
-    # changes within blocks and, from the blocks' first and last closes, those across cuts
-    cuts = told.where(F.col("_ln").isNotNull()).groupBy(*at).agg(F.min_by("_ln", "_t").alias("_first"), F.max_by("_ln", "_t").alias("_end"))
-    cuts = cuts.select(*keys, F.abs(F.col("_first") - F.lag("_end").over(series)).alias("_v"), F.lit("d").alias("_m"))
-    metric = lambda name, value: F.struct(F.lit(name).alias("m"), value.cast("double").alias("v"))
-    long = told.select(*keys, F.explode(F.array(metric("d", F.col("_d")), metric("s", F.when(F.col("spread") >= 0, F.col("spread"))))).alias("_x"))
-    values = long.select(*keys, F.col("_x.m").alias("_m"), F.col("_x.v").alias("_v")).unionByName(cuts).where((F.col("_m") == "s") | (F.col("_v") > 0))
-    # counts by bucket, combined before they are shuffled; the value of a rank is then read from the running count
-    counts = values.where(F.col("_v").isNotNull()).withColumn("_b", buckets.bucket(F.col("_v"), ERROR)).groupBy(*keys, "_m", "_b").agg(F.count(F.lit(1)).alias("_c"))
+    reach = ends.groupBy(*at).agg(F.max(F.when(F.col("pos") == 0, F.col("_rows"))).alias("_head"), F.max_by("_rows", "pos").alias("_tail"), F.max("_linked").alias("_linked"))
+    # counts by bucket of all blocks, and the changes across cuts; the value of a rank is read from the running count
+    across = F.ceil(F.log("_cut") / F.lit(buckets.log_width(ERROR))).cast("int")
+    cuts = parts.where(F.col("_cut") > 0).select(*keys, F.lit("d").alias("m"), across.alias("b"), F.lit(1).cast("bigint").alias("c"))
+    counts = parts.select(*keys, F.explode("_counts").alias("_x")).select(*keys, "_x.*").unionByName(cuts).where(F.col("c") > 0)
+    counts = counts.groupBy(*keys, F.when(F.col("m") == "0", "s").otherwise(F.col("m")).alias("_m"), F.when(F.col("m") == "0", 0).otherwise(1).alias("sgn"), "b").agg(F.sum("c").alias("_c"))
     group = Window.partitionBy(*keys, "_m")
-    upto = group.orderBy(buckets.order(F.col("_b.sgn"), F.col("_b.idx"))).rowsBetween(Window.unboundedPreceding, 0)
-    ranked = counts.withColumns({"_upto": F.sum("_c").over(upto), "_all": F.sum("_c").over(group), "_mid": buckets.middle(F.col("_b.sgn"), F.col("_b.idx"), ERROR)})
+    upto = group.orderBy(buckets.order(F.col("sgn"), F.col("b"))).rowsBetween(Window.unboundedPreceding, 0)
+    ranked = counts.withColumns({"_upto": F.sum("_c").over(upto), "_all": F.sum("_c").over(group), "_mid": buckets.middle(F.col("sgn"), F.col("b"), ERROR)})
     est = lambda m, p: F.min(F.when((F.col("_m") == m) & (F.floor(F.lit(p) * (F.col("_all") - 1)) < F.col("_upto")), F.col("_mid")))
     stats = ranked.groupBy(*keys).agg(est("d", 0.5).alias("_move"), est("s", 0.25).alias("_s25"), est("s", 0.75).alias("_s75"))
-    blocks = core.groupBy(*at).agg(F.min("_t").alias("_t"))
+    blocks = parts.select(*at, "_t")
     for i, part in enumerate((stats, counted, reach)):
         names = keys + (["_block"] if "_block" in part.columns else [])
         named = part.select(*[F.col(k).alias(f"{k}n{i}") for k in names], *[c for c in part.columns if c not in names])
