@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import buckets, robust
 from tidemark.functions.blocks import halo, same_keys, with_blocks
 from tidemark.functions.cols import no_nan, require
-from tidemark.session import ship
+from tidemark.session import cut_lineage, ship
 
 HALO = 48  # readings of the neighbouring blocks
 ERROR = 0.01  # relative, of the median changes and quartiles
@@ -150,7 +150,8 @@ def _normal(core: DataFrame, keys: list[str], max_price: float) -> DataFrame:
     at = [*keys, "_block"]
     kinds = dict(core.dtypes)
     schema = ", ".join([*[f"{k} {kinds[k]}" for k in at], _SUMMARY])
-    parts = core.groupBy(*at).applyInArrow(lambda part: _summary(part, keys, max_price), schema)
+    # written once, as everything below reads it
+    parts = cut_lineage(core.groupBy(*at).applyInArrow(lambda part: _summary(part, keys, max_price), schema))
     series = Window.partitionBy(*keys).orderBy("_block")
     so_far = series.rowsBetween(Window.unboundedPreceding, -1)
     parts = parts.withColumns({
