@@ -79,6 +79,45 @@ def p2_metrics(spark: SparkSession, base: str) -> DataFrame:
     })
 
 
+# An independent way to the same changes: the spellings are listed, as SQL can't match them.
+_SPELLED = {
+    "bars_csv": {"tick_volume": "tickvolume tickvol nticks volticks", "real_volume": "realvolume realvol volumereal tradedvolume"},
+    "metrics_json": {
+        "git_commit": "git_commit gitCommit git_sha commit commit_sha build.git_commit git.commit vcs.revision",
+        "n_trades": "n_trades nTrades N_TRADES num_trades trade_count trades stats.n_trades trades.count",
+    },
+}
+_CSV_FIELD = "CASE " + " ".join(f"WHEN k IN ({', '.join(repr(n) for n in names.split())}) THEN '{f}'" for f, names in _SPELLED["bars_csv"].items()) + " END"
+_JSON_PATHS = ", ".join(f"('{f}', '{n}', '$.{n}')" for f, names in _SPELLED["metrics_json"].items() for n in names.split())
+_COUNTS = ", ".join(f"len(h) - len(replace(h, {d}, '')) AS c{i}" for i, d in enumerate(("','", "';'", "chr(9)", "'|'")))
+P2_SQL = rf"""
+WITH l AS (SELECT stream_id, file_name, kind, line_no, min(file_date) AS d, max(line_text) AS t FROM raw_records GROUP BY ALL),
+f AS (SELECT stream_id, kind, file_name, min(d) AS d FROM l GROUP BY ALL),
+h AS (SELECT stream_id, file_name, ltrim(t, chr(65279)) AS h FROM l WHERE kind = 'bars_csv' AND line_no = 1),
+e AS (SELECT *, CASE greatest(c0, c1, c2, c3) WHEN c0 THEN ',' WHEN c1 THEN ';' WHEN c2 THEN chr(9) ELSE '|' END AS e FROM (SELECT *, {_COUNTS} FROM h)),
+c AS (SELECT stream_id, file_name, e, unnest(string_split(h, e)) AS n, generate_subscripts(string_split(h, e), 1) AS pos FROM e),
+cf AS (SELECT *, {_CSV_FIELD} AS field FROM (SELECT stream_id, file_name, e, pos, trim(n, ' "' || chr(39)) AS name, lower(regexp_replace(n, '[^A-Za-z]', '', 'g')) AS k FROM c)),
+cv AS (SELECT cf.stream_id, cf.file_name, cf.field, cf.name, trim(string_split(regexp_replace(l.t, '"([^"]*),([^"]*)"', '"\1_\2"', 'g'), cf.e)[cf.pos], ' "') AS v
+  FROM cf LEFT JOIN l ON l.stream_id = cf.stream_id AND l.file_name = cf.file_name AND l.line_no > 1 AND l.kind = 'bars_csv' WHERE cf.field IS NOT NULL),
+ck AS (SELECT stream_id, file_name, field, name, CASE WHEN v IS NULL OR lower(v) IN ('', 'null', 'na', 'nan') THEN NULL WHEN regexp_full_match(v, '[+-]?\d+') THEN 0
+  WHEN regexp_full_match(v, '[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?') THEN 1 ELSE 2 END AS k FROM cv),
+j AS (SELECT stream_id, file_name, CAST(t AS JSON) AS t FROM l WHERE kind = 'metrics_json' AND json_valid(t)),
+jk AS (SELECT stream_id, file_name, field, name, CASE json_type(t, path) WHEN 'ARRAY' THEN 3 WHEN 'DOUBLE' THEN 1 WHEN 'BOOLEAN' THEN 2 WHEN 'NULL' THEN NULL
+  WHEN 'VARCHAR' THEN CASE WHEN lower(trim(json_extract_string(t, path))) NOT IN ('', 'null', 'na', 'nan') THEN 2 END ELSE 0 END AS k
+  FROM j, (VALUES {_JSON_PATHS}) AS p(field, name, path) WHERE json_exists(t, path) AND json_type(t, path) <> 'OBJECT'),
+m AS (SELECT stream_id, file_name, field, max(name) AS name, max(k) AS k FROM (SELECT * FROM ck UNION ALL SELECT * FROM jk) GROUP BY ALL),
+s AS (SELECT f.stream_id, f.file_name, p.field, f.d, m.name, m.k FROM f
+  JOIN (VALUES ('bars_csv', 'tick_volume'), ('bars_csv', 'real_volume'), ('metrics_json', 'git_commit'), ('metrics_json', 'n_trades')) AS p(kind, field) ON p.kind = f.kind
+  LEFT JOIN m ON m.stream_id = f.stream_id AND m.file_name = f.file_name AND m.field = p.field),
+w AS (SELECT *, row_number() OVER w AS n, lag(name) OVER w AS before, last_value(k IGNORE NULLS) OVER (PARTITION BY stream_id, field ORDER BY d, file_name ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS told
+  FROM s WINDOW w AS (PARTITION BY stream_id, field ORDER BY d, file_name))
+SELECT stream_id, file_name, field, 'added' AS change_kind FROM w WHERE n > 1 AND before IS NULL AND name IS NOT NULL
+UNION ALL SELECT stream_id, file_name, field, 'removed' FROM w WHERE n > 1 AND before IS NOT NULL AND name IS NULL
+UNION ALL SELECT stream_id, file_name, field, 'renamed' FROM w WHERE n > 1 AND before <> name
+UNION ALL SELECT stream_id, file_name, field, 'type_changed' FROM w WHERE n > 1 AND told <> k
+"""
+
+
 # -- p3: irregular readings onto a regular grid
 
 def p3_grid(spark: SparkSession, base: str) -> DataFrame:
@@ -168,6 +207,7 @@ QUERIES = {
 }
 
 SQL = {
+    "p2_found": P2_SQL,
     "p1_found": P1_SQL + "SELECT snapshot_id, CAST(floor(epoch(time)) AS BIGINT) AS bar_epoch, change_kind FROM x",
     "p1_summary": P1_SQL + "SELECT snapshot_id, change_kind, count(*) AS n_changes FROM x GROUP BY ALL",
     "p3_found": f"SELECT broker, symbol, slot_epoch FROM ({P3_SQL}) WHERE status <> 'observed'",
