@@ -9,6 +9,7 @@ from tidemark.functions.cols import round_sig
 from tidemark.operators import backtest, expectancy, features, strategy, validate
 from tidemark.operators.features import ADX, EMA, SMA, Diff, FeaturePipeline, FeatureSpec, Frame, Lag, Rescale, ZScore
 from tidemark.schema import coalesce_volume, missing_as_null
+from tidemark.sources import snapshot
 from tidemark.sources.tables import table
 
 HOURLY = Frame(("symbol",))
@@ -80,13 +81,12 @@ QUALIFY row_number() OVER (PARTITION BY broker, symbol, time ORDER BY month(arri
 
 
 def yearly_split_counts(spark, base):
-    year = F.year(F.to_utc_timestamp("time", F.current_timezone()))
-    return table(spark, base, "bars").groupBy("broker", "symbol", year.alias("year")).agg(F.countDistinct("time").alias("n_bars"))
+    """Bars in each of the files that the yearly writer would write."""
+    return snapshot.year_counts(table(spark, base, "bars"), ["broker", "symbol"])
 
 
 def snapshot_meta(spark, base):
-    t = F.unix_seconds("time")
-    return table(spark, base, "snapshot_bars").groupBy("snapshot_id").agg(F.count(F.lit(1)).alias("total_rows"), F.min(t).alias("range_start"), F.max(t).alias("range_end"))
+    return snapshot.ranges(table(spark, base, "snapshot_bars"), ["snapshot_id"])
 
 
 # -- features
@@ -102,8 +102,8 @@ def _rounded(df, keys, names, **places):
     return df.select(*keys, *[(F.round(n, places[n]) if n in places else round_sig(F.col(n), 12)).alias(n) for n in names])
 
 
-def _sig(x):
-    return f"CASE WHEN {x} IS NOT NULL THEN CAST(printf('%.11e', CAST({x} AS DOUBLE)) AS DOUBLE) END"
+def _sig(x, places=11):
+    return f"CASE WHEN {x} IS NOT NULL THEN CAST(printf('%.{places}e', CAST({x} AS DOUBLE)) AS DOUBLE) END"
 
 
 def _sql_sma(n, source, keys):
@@ -177,6 +177,9 @@ SELECT broker, symbol, time, {_sig('a10')} AS sma_10_close, {_sig('a200')} AS sm
 _NUMBERED = f"SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY time) - 1 AS i FROM ({_HOURLY})"
 
 
+_NUMBERED_MARKET = f"SELECT * EXCLUDE (broker) REPLACE (broker || '/' || symbol AS symbol), row_number() OVER (PARTITION BY broker, symbol ORDER BY time) - 1 AS i FROM ({_MARKET})"
+
+
 def _ema_sql(n):
     a = 2.0 / (n + 1)
     return f"""e{n} AS (SELECT symbol, i, close AS v FROM b WHERE i = 0
@@ -298,7 +301,7 @@ def _market_run(spark, base, risk=None):
 
 def market_ema(spark, base):
     pipe = FeaturePipeline([FeatureSpec(EMA(10)), FeatureSpec(EMA(30))], SERIES.keys)
-    return _rounded(_market_features(spark, base, pipe), ["broker", "symbol", "time"], pipe.names())
+    return _market_features(spark, base, pipe).select("broker", "symbol", "time", *[round_sig(F.col(n), 8).alias(n) for n in pipe.names()])
 
 
 def market_adx(spark, base):
@@ -392,15 +395,25 @@ def expectancy_numpy(spark, base):
     return expectancy.simulate_numpy(spark, SCENARIOS, 200, 5000, 10_000.0)
 
 
+def expectancy_published(spark, base):
+    """The two scenarios whose figures are published, rounded as they are."""
+    places = {"mean_ending_equity": 2, "median_ending_equity": 2, "std_ending_equity": 2, "probability_of_loss": 4, "mean_max_drawdown": 2}
+    found = expectancy.simulate_numpy(spark, SCENARIOS[:2], 200, 5000, 10_000.0)
+    return found.select("name", *[F.round(c, n).alias(c) for c, n in places.items()])
+
+
 _VALUES = ", ".join(f"('{s.name}', {s.p_win}::DOUBLE, {s.avg_win}::DOUBLE, {s.avg_loss}::DOUBLE, {s.commission_per_trade + s.slippage}::DOUBLE)" for s in SCENARIOS)
 
 QUERIES = {f.__name__: f for f in (
     bars_hourly, market_bars, validate_counts, dedupe_first_wins, yearly_split_counts, snapshot_meta, sma, ema, diff, lag, rescale, zscore, feature_pipeline,
     true_range_dm, adx, signal_ma, signal_adx, positions, trades, equity_curve, resized_positions, drawdown, global_halt, period_pause, metrics, market_backtest, market_ema, market_adx, market_signal_adx, market_period_pause, market_metrics,
-    expectancy_analytic, expectancy_sim, expectancy_numpy,
+    expectancy_analytic, expectancy_sim, expectancy_numpy, expectancy_published,
 )}
 
 SQL = {
+    "market_ema": f"""WITH RECURSIVE b AS MATERIALIZED ({_NUMBERED_MARKET}), {_ema_sql(10)}, {_ema_sql(30)}
+      SELECT split_part(symbol, '/', 1) AS broker, split_part(symbol, '/', 2) AS symbol, time, CASE WHEN i >= 9 THEN {_sig('x.v', 7)} END AS ema_10_close, CASE WHEN i >= 29 THEN {_sig('y.v', 7)} END AS ema_30_close
+      FROM b JOIN e10 x USING (symbol, i) JOIN e30 y USING (symbol, i)""",
     "bars_hourly": _HOURLY,
     "market_bars": f"SELECT broker, symbol, time, open, high, low, close, volume FROM ({_MARKET})",
     "validate_counts": _VALIDATE,
@@ -444,6 +457,9 @@ SQL = {
       0 AS daily_halts, 0 AS monthly_halts FROM y GROUP BY symbol""",
     "market_backtest": _halt_sql(_signal_cte(f"SELECT * EXCLUDE (broker) REPLACE (broker || '/' || symbol AS symbol) FROM ({_MARKET})", 10, 30), 100_000.0)
     + " SELECT symbol, count(*) AS n_bars, count(pnl) AS n_trades, round(coalesce(sum(pnl), 0), 4) AS total_pnl, round(arg_max(equity, time), 4) AS ending_equity, max(halted) AS risk_halted FROM y GROUP BY symbol",
+    # the published figures of both scenarios (fixed values)
+    "expectancy_published": """SELECT * FROM (VALUES ('A', 9551.29::DOUBLE, 9550.0::DOUBLE, 238.56::DOUBLE, 0.9672::DOUBLE, 550.36::DOUBLE), ('B', 11601.76, 11600.0, 282.82, 0.0, 86.2))
+      AS t(name, mean_ending_equity, median_ending_equity, std_ending_equity, probability_of_loss, mean_max_drawdown)""",
     "expectancy_analytic": f"""SELECT name, round(p * w - (1 - p) * l - c, 6) AS expectancy_per_trade, round(p * (w - (p * w - (1 - p) * l)) ** 2 + (1 - p) * (-l - (p * w - (1 - p) * l)) ** 2, 6) AS variance_per_trade
       FROM (VALUES {_VALUES}) AS t(name, p, w, l, c)""",
 }

@@ -72,6 +72,17 @@ def _by_year(bars: DataFrame) -> DataFrame:
     return bars.withColumn("_year", year)
 
 
+def year_counts(bars: DataFrame, keys: list[str]) -> DataFrame:
+    """Bars by key and UTC `year`, each time once: `n_bars`."""
+    return _by_year(bars.where(F.col("time").isNotNull())).groupBy(*keys, F.col("_year").alias("year")).agg(F.countDistinct("time").alias("n_bars"))
+
+
+def ranges(bars: DataFrame, keys: list[str]) -> DataFrame:
+    """What the metadata of a snapshot tell of its bars as fetched: `total_rows`, and `range_start` and `range_end` in epoch seconds; one row without keys."""
+    t = F.unix_seconds("time")
+    return bars.groupBy(*keys).agg(F.count(F.lit(1)).alias("total_rows"), F.min(t).alias("range_start"), F.max(t).alias("range_end"))
+
+
 def write_yearly(bars: DataFrame, directory: str, symbol: str, timeframe: str = "M5") -> list[str]:
     """Write bars to one CSV a UTC year, `<symbol>_<timeframe>_<year>.csv`, sorted and each time once; existing rows win over new ones.
 
@@ -80,7 +91,7 @@ def write_yearly(bars: DataFrame, directory: str, symbol: str, timeframe: str =
     """
     spark, base = bars.sparkSession, Path(directory).resolve()
     new = bars.select(*[c for c in BAR_COLUMNS if c in bars.columns]).where(F.col("time").isNotNull())
-    years = sorted(r[0] for r in _by_year(new).select("_year").distinct().collect())
+    years = sorted(r["year"] for r in year_counts(new, []).collect())
     old = [str(p) for y in years if (p := base / f"{symbol}_{timeframe}_{y}.csv").exists()]
     if not years:
         return []
