@@ -190,19 +190,29 @@ _EMA = f"""WITH RECURSIVE b AS MATERIALIZED ({_NUMBERED}), {_ema_sql(10)}, {_ema
 SELECT symbol, time, CASE WHEN i >= 9 THEN round(x.v, 8) END AS ema_10_close, CASE WHEN i >= 29 THEN round(y.v, 8) END AS ema_30_close
 FROM b JOIN e10 x USING (symbol, i) JOIN e30 y USING (symbol, i)"""
 
-_MOVES = f"""SELECT *, CASE WHEN pc IS NOT NULL THEN greatest(high - low, abs(high - pc), abs(low - pc)) END AS tr,
+def _moves(numbered):
+    return f"""SELECT *, CASE WHEN pc IS NOT NULL THEN greatest(high - low, abs(high - pc), abs(low - pc)) END AS tr,
   CASE WHEN pc IS NOT NULL THEN CASE WHEN high - ph > pl - low AND high - ph > 0 THEN high - ph ELSE 0.0 END END AS pdm,
   CASE WHEN pc IS NOT NULL THEN CASE WHEN pl - low > high - ph AND pl - low > 0 THEN pl - low ELSE 0.0 END END AS mdm
-FROM (SELECT *, lag(close) OVER w AS pc, lag(high) OVER w AS ph, lag(low) OVER w AS pl FROM ({_NUMBERED}) WINDOW w AS (PARTITION BY symbol ORDER BY time))"""
+FROM (SELECT *, lag(close) OVER w AS pc, lag(high) OVER w AS ph, lag(low) OVER w AS pl FROM ({numbered}) WINDOW w AS (PARTITION BY symbol ORDER BY time))"""
+
+
+_MOVES = _moves(_NUMBERED)
 
 _P = ADX_N
-_ADX_CTE = f"""m AS MATERIALIZED ({_MOVES}),
+
+
+def _adx_cte(moves):
+    return f"""m AS MATERIALIZED ({moves}),
 seed AS (SELECT symbol, sum(tr ORDER BY i) AS t, sum(pdm ORDER BY i) AS p, sum(mdm ORDER BY i) AS q FROM m WHERE i BETWEEN 1 AND {_P} GROUP BY symbol HAVING count(*) = {_P}),
 s AS (SELECT symbol, {_P} AS i, t, p, q FROM seed
   UNION ALL SELECT m.symbol, m.i, s.t - s.t / {_P} + m.tr, s.p - s.p / {_P} + m.pdm, s.q - s.q / {_P} + m.mdm FROM s JOIN m ON m.symbol = s.symbol AND m.i = s.i + 1),
 d AS MATERIALIZED (SELECT symbol, i, CASE WHEN t = 0 THEN NULL WHEN p + q = 0 THEN 0 ELSE 100 * abs(100 * p / t - 100 * q / t) / (100 * p / t + 100 * q / t) END AS dx FROM s),
 a AS (SELECT symbol, {2 * _P} AS i, CASE WHEN count(dx) = {_P} THEN avg(dx) END AS v FROM d WHERE i BETWEEN {_P + 1} AND {2 * _P} GROUP BY symbol HAVING count(*) = {_P}
   UNION ALL SELECT d.symbol, d.i, (a.v * {_P - 1} + d.dx) / {_P} FROM a JOIN d ON d.symbol = a.symbol AND d.i = a.i + 1)"""
+
+
+_ADX_CTE = _adx_cte(_MOVES)
 _ADX = f"WITH RECURSIVE {_ADX_CTE} SELECT m.symbol, m.time, round(a.v, 8) AS adx_{_P} FROM m LEFT JOIN a USING (symbol, i)"
 
 
@@ -306,7 +316,7 @@ def market_ema(spark, base):
 
 def market_adx(spark, base):
     pipe = FeaturePipeline([FeatureSpec(ADX(ADX_N))], SERIES.keys)
-    return _rounded(_market_features(spark, base, pipe), ["broker", "symbol", "time"], pipe.names(), **{f"adx_{ADX_N}": 8})
+    return _rounded(_market_features(spark, base, pipe), ["broker", "symbol", "time"], pipe.names(), **{f"adx_{ADX_N}": 5})
 
 
 def market_signal_adx(spark, base):
@@ -353,11 +363,25 @@ h2 AS (SELECT symbol, time, i, open, close, halted, CASE WHEN halted THEN 0.0::D
 
 _HALT = _halt_sql(_SIGNAL_CTE, CAPITAL)
 
-_PAUSE = f"""WITH RECURSIVE {_SIGNAL_CTE},
+
+
+def _filtered_cte(signals, adx):
+    return f"""{signals}, {adx}, z AS (SELECT sig.*, round(a.v, {DIGITS}) AS adx FROM sig LEFT JOIN a USING (symbol, i)),
+      k AS (SELECT *, CASE WHEN i < {max(SLOW, 2 * ADX_N)} OR f IS NULL OR g IS NULL OR adx IS NULL THEN 0 WHEN adx < {ADX_LEVEL} THEN 1 ELSE 2 END AS k FROM z),
+      fil AS MATERIALIZED (SELECT * REPLACE (CASE WHEN k = 2 THEN direction ELSE 0.0::DOUBLE END AS direction, CASE k WHEN 0 THEN '{strategy.WARMUP}' WHEN 1 THEN 'adx_below_threshold' ELSE reason END AS reason) FROM k)"""
+
+
+_ONE_KEY = f"SELECT * EXCLUDE (broker) REPLACE (broker || '/' || symbol AS symbol) FROM ({_MARKET})"
+_MARKET_FILTERED = _filtered_cte(_signal_cte(_ONE_KEY, FAST, SLOW), _adx_cte(_moves(_NUMBERED_MARKET)))
+_TWO_KEYS = "split_part(symbol, '/', 1) AS broker, split_part(symbol, '/', 2) AS symbol"
+
+
+def _pause_sql(ctes, source, capital):
+    return f"""WITH RECURSIVE {ctes},
 p AS (
-  SELECT symbol, -1::BIGINT AS i, NULL::TIMESTAMP AS time, {CAPITAL}::DOUBLE AS realised, 0.0::DOUBLE AS position, 0.0::DOUBLE AS entry, {CAPITAL}::DOUBLE AS equity, {CAPITAL}::DOUBLE AS peak,
-    0.0::DOUBLE AS most, '' AS risk_reason, FALSE AS halted, FALSE AS dp, FALSE AS mp, {CAPITAL}::DOUBLE AS db, {CAPITAL}::DOUBLE AS mb, 0 AS nd, 0 AS nm, FALSE AS flatten, 0.0::DOUBLE AS target
-  FROM (SELECT DISTINCT symbol FROM sig)
+  SELECT symbol, -1::BIGINT AS i, NULL::TIMESTAMP AS time, {capital}::DOUBLE AS realised, 0.0::DOUBLE AS position, 0.0::DOUBLE AS entry, {capital}::DOUBLE AS equity, {capital}::DOUBLE AS peak,
+    0.0::DOUBLE AS most, '' AS risk_reason, FALSE AS halted, FALSE AS dp, FALSE AS mp, {capital}::DOUBLE AS db, {capital}::DOUBLE AS mb, 0 AS nd, 0 AS nm, FALSE AS flatten, 0.0::DOUBLE AS target
+  FROM (SELECT DISTINCT symbol FROM {source})
   UNION ALL
   SELECT symbol, i, time, realised, position, entry, equity, peak, greatest(most, dd),
     concat_ws('; ', CASE WHEN h AND NOT halted THEN printf('Global DD %.2f%% >= limit {LIMIT:.2f}%%', dd) END, CASE WHEN h1 THEN printf('Daily DD %.2f%% >= limit {DAILY:.2f}%%', greatest((db - equity) / db * 100, 0)) END,
@@ -373,9 +397,13 @@ p AS (
             p.dp AND date_trunc('day', s.time) = date_trunc('day', p.time) AS d, p.mp AND date_trunc('month', s.time) = date_trunc('month', p.time) AS m,
             CASE WHEN p.time IS NOT NULL AND date_trunc('day', s.time) = date_trunc('day', p.time) THEN p.db ELSE p.equity END AS db,
             CASE WHEN p.time IS NOT NULL AND date_trunc('month', s.time) = date_trunc('month', p.time) THEN p.mb ELSE p.equity END AS mb
-          FROM p JOIN sig s ON s.symbol = p.symbol AND s.i = p.i + 1))))
+          FROM p JOIN {source} s ON s.symbol = p.symbol AND s.i = p.i + 1))))
 )
-SELECT symbol, time, position, round(equity, 6) AS equity, round(most, 6) AS max_drawdown_pct, halted, flatten, nd AS daily_halts, nm AS monthly_halts, risk_reason FROM p WHERE i >= 0"""
+"""
+
+
+_PAUSED = "position, round(equity, 6) AS equity, round(most, 6) AS max_drawdown_pct, halted, flatten, nd AS daily_halts, nm AS monthly_halts"
+_PAUSE = f"{_pause_sql(_SIGNAL_CTE, 'sig', CAPITAL)} SELECT symbol, time, {_PAUSED}, risk_reason FROM p WHERE i >= 0"
 
 
 # -- expectancy
@@ -414,6 +442,8 @@ SQL = {
     "market_ema": f"""WITH RECURSIVE b AS MATERIALIZED ({_NUMBERED_MARKET}), {_ema_sql(10)}, {_ema_sql(30)}
       SELECT split_part(symbol, '/', 1) AS broker, split_part(symbol, '/', 2) AS symbol, time, CASE WHEN i >= 9 THEN {_sig('x.v', 7)} END AS ema_10_close, CASE WHEN i >= 29 THEN {_sig('y.v', 7)} END AS ema_30_close
       FROM b JOIN e10 x USING (symbol, i) JOIN e30 y USING (symbol, i)""",
+    "market_adx": f"""WITH RECURSIVE {_adx_cte(_moves(_NUMBERED_MARKET))} SELECT split_part(m.symbol, '/', 1) AS broker, split_part(m.symbol, '/', 2) AS symbol, m.time, round(a.v, 5) AS adx_{_P}
+      FROM m LEFT JOIN a USING (symbol, i)""",
     "bars_hourly": _HOURLY,
     "market_bars": f"SELECT broker, symbol, time, open, high, low, close, volume FROM ({_MARKET})",
     "validate_counts": _VALIDATE,
@@ -431,10 +461,9 @@ SQL = {
     "true_range_dm": f"SELECT symbol, time, tr AS true_range, pdm AS plus_dm, mdm AS minus_dm FROM ({_MOVES})",
     "adx": _ADX,
     "signal_ma": f"WITH {_SIGNAL_CTE} SELECT symbol, time, direction, abs(direction) AS strength, reason FROM sig",
-    "signal_adx": f"""WITH RECURSIVE {_SIGNAL_CTE}, {_ADX_CTE}, z AS (SELECT sig.*, round(a.v, {DIGITS}) AS adx FROM sig LEFT JOIN a USING (symbol, i)),
-      k AS (SELECT symbol, time, CASE WHEN i < {max(SLOW, 2 * ADX_N)} OR f IS NULL OR g IS NULL OR adx IS NULL THEN 0 WHEN adx < {ADX_LEVEL} THEN 1 ELSE 2 END AS k, direction, reason FROM z)
-      SELECT symbol, time, CASE WHEN k = 2 THEN direction ELSE 0.0::DOUBLE END AS direction, CASE WHEN k = 2 THEN abs(direction) ELSE 0.0::DOUBLE END AS strength,
-      CASE k WHEN 0 THEN '{strategy.WARMUP}' WHEN 1 THEN 'adx_below_threshold' ELSE reason END AS reason FROM k""",
+    "signal_adx": f"WITH RECURSIVE {_filtered_cte(_SIGNAL_CTE, _ADX_CTE)} SELECT symbol, time, direction, abs(direction) AS strength, reason FROM fil",
+    "market_signal_adx": f"WITH RECURSIVE {_MARKET_FILTERED} SELECT {_TWO_KEYS}, time, direction, abs(direction) AS strength, reason FROM fil",
+    "market_period_pause": f"{_pause_sql(_MARKET_FILTERED, 'fil', 100_000.0)} SELECT {_TWO_KEYS}, time, {_PAUSED} FROM p WHERE i >= 0",
     "positions": f"{_RUN} SELECT symbol, time, position FROM x",
     "trades": f"""{_RUN} SELECT symbol, was_since AS entry_ts, time AS exit_ts, CASE WHEN prev > 0 THEN 'long' ELSE 'short' END AS side, abs(prev) AS qty, was AS entry_price, open AS exit_price,
       round(pnl, 6) AS pnl FROM x WHERE pnl IS NOT NULL""",
