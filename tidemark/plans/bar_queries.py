@@ -380,20 +380,20 @@ def _pause_sql(ctes, source, capital):
     return f"""WITH RECURSIVE {ctes},
 p AS (
   SELECT symbol, -1::BIGINT AS i, NULL::TIMESTAMP AS time, {capital}::DOUBLE AS realised, 0.0::DOUBLE AS position, 0.0::DOUBLE AS entry, {capital}::DOUBLE AS equity, {capital}::DOUBLE AS peak,
-    0.0::DOUBLE AS most, '' AS risk_reason, FALSE AS halted, FALSE AS dp, FALSE AS mp, {capital}::DOUBLE AS db, {capital}::DOUBLE AS mb, 0 AS nd, 0 AS nm, FALSE AS flatten, 0.0::DOUBLE AS target
+    0.0::DOUBLE AS most, '' AS risk_reason, FALSE AS halted, FALSE AS dp, FALSE AS mp, {capital}::DOUBLE AS db, {capital}::DOUBLE AS mb, 0 AS nd, 0 AS nm, FALSE AS flatten, 0.0::DOUBLE AS target, NULL::DOUBLE AS pnl
   FROM (SELECT DISTINCT symbol FROM {source})
   UNION ALL
   SELECT symbol, i, time, realised, position, entry, equity, peak, greatest(most, dd),
     concat_ws('; ', CASE WHEN h AND NOT halted THEN printf('Global DD %.2f%% >= limit {LIMIT:.2f}%%', dd) END, CASE WHEN h1 THEN printf('Daily DD %.2f%% >= limit {DAILY:.2f}%%', greatest((db - equity) / db * 100, 0)) END,
       CASE WHEN h2 THEN printf('Monthly DD %.2f%% >= limit {MONTHLY:.2f}%%', greatest((mb - equity) / mb * 100, 0)) END), h, d OR h1, m OR h2, db, mb, nd + CASE WHEN h1 THEN 1 ELSE 0 END, nm + CASE WHEN h2 THEN 1 ELSE 0 END,
-    h OR d OR h1 OR m OR h2, CASE WHEN h OR d OR h1 OR m OR h2 THEN 0.0::DOUBLE ELSE direction END
+    h OR d OR h1 OR m OR h2, CASE WHEN h OR d OR h1 OR m OR h2 THEN 0.0::DOUBLE ELSE direction END, pnl
   FROM (
     SELECT *, halted OR dd >= {LIMIT} AS h, NOT d AND db > 0 AND greatest((db - equity) / db * 100, 0) >= {DAILY} AS h1, NOT m AND mb > 0 AND greatest((mb - equity) / mb * 100, 0) >= {MONTHLY} AS h2
     FROM (SELECT *, greatest(peak0, equity) AS peak, CASE WHEN greatest(peak0, equity) <= 0 THEN 0.0 ELSE greatest((greatest(peak0, equity) - equity) / greatest(peak0, equity) * 100, 0.0) END AS dd
       FROM (SELECT *, realised + CASE WHEN position <> 0 THEN (close - entry) * position ELSE 0.0 END AS equity
         FROM (SELECT s.symbol, s.i, s.time, s.close, s.direction, p.peak AS peak0, p.most, p.halted, p.nd, p.nm,
             p.realised + CASE WHEN p.target <> p.position AND p.position <> 0 THEN (s.open - p.entry) * p.position ELSE 0.0 END AS realised,
-            p.target AS position, CASE WHEN p.target <> p.position AND p.target <> 0 THEN s.open ELSE p.entry END AS entry,
+            p.target AS position, CASE WHEN p.target <> p.position AND p.position <> 0 THEN (s.open - p.entry) * p.position END AS pnl, CASE WHEN p.target <> p.position AND p.target <> 0 THEN s.open ELSE p.entry END AS entry,
             p.dp AND date_trunc('day', s.time) = date_trunc('day', p.time) AS d, p.mp AND date_trunc('month', s.time) = date_trunc('month', p.time) AS m,
             CASE WHEN p.time IS NOT NULL AND date_trunc('day', s.time) = date_trunc('day', p.time) THEN p.db ELSE p.equity END AS db,
             CASE WHEN p.time IS NOT NULL AND date_trunc('month', s.time) = date_trunc('month', p.time) THEN p.mb ELSE p.equity END AS mb
@@ -463,6 +463,11 @@ SQL = {
     "signal_ma": f"WITH {_SIGNAL_CTE} SELECT symbol, time, direction, abs(direction) AS strength, reason FROM sig",
     "signal_adx": f"WITH RECURSIVE {_filtered_cte(_SIGNAL_CTE, _ADX_CTE)} SELECT symbol, time, direction, abs(direction) AS strength, reason FROM fil",
     "market_signal_adx": f"WITH RECURSIVE {_MARKET_FILTERED} SELECT {_TWO_KEYS}, time, direction, abs(direction) AS strength, reason FROM fil",
+    "market_metrics": f"""{_pause_sql(_MARKET_FILTERED, 'fil', 100_000.0)} SELECT split_part(symbol, '/', 1) AS broker, split_part(symbol, '/', 2) AS symbol, count(*) AS n_bars, min(time) AS start_ts, max(time) AS end_ts,
+      100000.0::DOUBLE AS starting_capital, round(arg_max(equity, time), 6) AS ending_equity, count(pnl) AS n_trades, round(coalesce(sum(pnl), 0), 6) AS total_pnl,
+      round(coalesce(avg(CASE WHEN pnl > 0 THEN 1.0 WHEN pnl IS NOT NULL THEN 0.0 END), 0), 6) AS win_rate, round(coalesce(avg(pnl) FILTER (pnl > 0), 0), 6) AS average_win,
+      round(coalesce(avg(pnl) FILTER (pnl < 0), 0), 6) AS average_loss, round(max(most), 6) AS max_drawdown_pct, max(halted) AS risk_halted, min(time) FILTER (halted) AS risk_halted_at,
+      {DAILY}::DOUBLE AS daily_drawdown_pct_limit, {MONTHLY}::DOUBLE AS monthly_drawdown_pct_limit, max(nd) AS daily_halts, max(nm) AS monthly_halts FROM p WHERE i >= 0 GROUP BY symbol""",
     "market_period_pause": f"{_pause_sql(_MARKET_FILTERED, 'fil', 100_000.0)} SELECT {_TWO_KEYS}, time, {_PAUSED} FROM p WHERE i >= 0",
     "positions": f"{_RUN} SELECT symbol, time, position FROM x",
     "trades": f"""{_RUN} SELECT symbol, was_since AS entry_ts, time AS exit_ts, CASE WHEN prev > 0 THEN 'long' ELSE 'short' END AS side, abs(prev) AS qty, was AS entry_price, open AS exit_price,
