@@ -165,12 +165,15 @@ class Model:
     weights: np.ndarray
     bias: float
 
-    def score(self, rows: list[np.ndarray]) -> np.ndarray:
-        if not rows:
-            return np.zeros(0)
-        n = np.array([len(r) for r in rows])
-        at = np.repeat(np.arange(len(rows)), n)
-        return np.bincount(at, self.weights[np.concatenate(rows)], len(rows)) / np.sqrt(n) + self.bias
+    def score(self, rows: list[np.ndarray], step: int = 1024) -> np.ndarray:
+        """Scores, taken in steps that bound the memory."""
+        out = np.zeros(len(rows))
+        for a in range(0, len(rows), step):
+            part = rows[a:a + step]
+            n = np.array([len(r) for r in part])
+            at = np.repeat(np.arange(len(part)), n)
+            out[a:a + step] = np.bincount(at, self.weights[np.concatenate(part)], len(part)) / np.sqrt(n) + self.bias
+        return out
 
 
 def fit(rows: list[np.ndarray], y: np.ndarray, weight: np.ndarray, epochs: int = 8, batch: int = 64, rate: float = 0.5, shrink: float = 3e-4, seed: int = 1) -> Model:

@@ -218,7 +218,7 @@ def _blocks(rows: DataFrame) -> tuple[int, float] | None:
 
 
 def truncated(
-    docs: DataFrame, id: str = "doc_id", text: str = "text", source: str = "source", sample: int = 20_000, cuts: int = 2, use_lengths: bool = True,
+    docs: DataFrame, id: str = "doc_id", text: str = "text", source: str = "source", sample: int = 14_000, cuts: int = 2, use_lengths: bool = True,
 ) -> tuple[DataFrame, DataFrame]:
     """The chance of every text to be cut off, and the limits of every source.
 
@@ -240,9 +240,10 @@ def truncated(
     first = cut_lineage(_lengths(named).withColumn("cut", F.col("n").cast("double")))
     n = first.where("unit = 'chars'").agg(F.sum("n")).first()[0] or 0
     train = _training_rows(named, n, _piles(first.where(F.lit(use_lengths))), sample, cuts)
-    rows = [np.asarray(f, np.int32) for f in train["f"]]
+    rows = [np.asarray(f, np.int32) for f in train.pop("f")]
     cut, half = (train["k"].to_numpy() > 0).astype(int), (train["h"].to_numpy() & 1).astype(int)
     evidence = endings.learn(rows, cut, half, train["done"].to_numpy(bool), train["c"].to_numpy(float))
+    del rows, train
     shared = docs.sparkSession.sparkContext.broadcast(evidence)  # two vectors of endings.SIZE
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
