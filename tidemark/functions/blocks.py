@@ -16,14 +16,14 @@ def same_keys(keys: list[str], suffix: str) -> Column:
     return same
 
 
-def with_blocks(rows: DataFrame, keys: list[str], us: str, size: int = 50_000, few: int = 10_000) -> DataFrame:
+def with_blocks(rows: DataFrame, keys: list[str], us: str, size: int = 50_000, few: int = 10_000, sizes: DataFrame | None = None) -> DataFrame:
     """Add `_block`: a number of stretches of time in which no source is expected to have more than `size` readings.
 
     The stretch is the source's own, from its hour with most readings (counted before anything is shuffled), at most 180 days. The table of
-    stretches has a row per source; it is broadcast only if it was seen to have at most `few` rows, and joined like any table otherwise.
+    stretches has a row per source; where rows are dear to make, `sizes`, a table with the same keys and times and at least as many rows, is counted in their place. It is broadcast only if it was seen to have at most `few` rows, and joined like any table otherwise.
     """
     hour = F.floor(F.col(us) / F.lit(3_600_000_000)).cast("bigint")
-    per_hour = rows.groupBy(*keys, hour.alias("_hour")).agg(F.count(F.lit(1)).alias("_n"))
+    per_hour = (rows if sizes is None else sizes).groupBy(*keys, hour.alias("_hour")).agg(F.count(F.lit(1)).alias("_n"))
     span = F.least(F.lit(LONGEST_US), F.greatest(F.lit(1_000_000), F.floor(F.lit(3_600_000_000) * F.lit(size) / F.max("_n")))).cast("bigint")
     spans = per_hour.groupBy(*keys).agg(span.alias("_span")).select(*[F.col(k).alias(f"{k}p") for k in keys], "_span")
     seen = spans.take(few + 1)

@@ -357,11 +357,12 @@ class FeaturePipeline:
         many = getattr(spec.base, "outputs", None)
         return [m + "".join(t.name for t in spec.transforms) for m in many] if many and len(many) > 1 else [spec.name]
 
-    def transform_split(self, bars: DataFrame, block_rows: int = 50_000) -> DataFrame:
+    def transform_split(self, bars: DataFrame, block_rows: int = 50_000, sizes: DataFrame | None = None) -> DataFrame:
         """Like `transform`, with every series cut into blocks of about `block_rows` bars, for series too long for one task.
 
         A block sees as many bars before it, and after it, as its features look back and ahead; averages with endless memory get as many as still
         show in a double, so they equal those of the whole series but for the last digits, as long as no stretch without values is longer than that.
+        `sizes` may be a table with the same keys and times that is cheaper to count, such as the one the bars were made from.
         Recurrences with `splits` False (an ADX can stay null for good) are folded over whole series first, each in one task.
         """
         require_ohlcv(bars)
@@ -381,7 +382,7 @@ class FeaturePipeline:
         ahead = max((sum(max(-t.lookback, 0) for t in s.transforms) for s in specs), default=0)
         keys, time = list(self.frame.keys), self.frame.time
         us = F.unix_micros(F.to_timestamp(time))
-        core = with_blocks(ready.withColumn("_us", us), keys, "_us", max(block_rows, 10 * (memory + ahead))).drop("_us")
+        core = with_blocks(ready.withColumn("_us", us), keys, "_us", max(block_rows, 10 * (memory + ahead)), sizes=None if sizes is None else sizes.withColumn("_us", us)).drop("_us")
         both = core.withColumn("_mine", F.lit(True))
         for rows, after in ((memory, False), (ahead, True)):
             if rows:
@@ -423,8 +424,8 @@ class FeaturePipeline:
             out = out.withColumns({temp[n]: t[depth].apply(F.col(temp[n]), self.frame) for _, n, t in pending if depth < len(t)})
         return out.select(*bars.columns, *[F.col(temp[n]).alias(n) for n in names])
 
-    def features(self, bars: DataFrame, split: bool = False) -> DataFrame:
-        done = self.transform_split(bars) if split else self.transform(bars)
+    def features(self, bars: DataFrame, split: bool = False, sizes: DataFrame | None = None) -> DataFrame:
+        done = self.transform_split(bars, sizes=sizes) if split else self.transform(bars)
         return done.select(*self.frame.keys, self.frame.time, *self.names())
 
 

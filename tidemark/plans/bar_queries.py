@@ -115,7 +115,7 @@ def _sql_sma(n, source, keys):
 
 def _market_features(spark, base, pipe):
     """Series of any length in blocks."""
-    return pipe.features(market(spark, base), split=True)
+    return pipe.features(market(spark, base), split=True, sizes=table(spark, base, "bars"))
 
 
 def sma(spark, base):
